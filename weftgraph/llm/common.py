@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,23 +97,29 @@ def word_spans(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
+STEP = 1 << 16
+POWERS: dict[str, np.ndarray] = {}
+
+
+def powers() -> dict[str, np.ndarray]:
+    """Powers of an odd base and of its inverse modulo 2**64, and a code for each byte; made once a task."""
+    if not POWERS:
+        for name, base in (("up", 0x9E3779B97F4A7C15), ("down", pow(0x9E3779B97F4A7C15, -1, 1 << 64))):
+            run = np.full(STEP + 1, base, np.uint64)
+            run[0] = 1
+            POWERS[name] = np.cumprod(run)
+        POWERS["code"] = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return POWERS
+
+
 def span_hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each byte span; equal spans have equal hashes wherever they stand."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
     out = np.empty(len(starts), np.uint64)
-    base, inverse = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-    coded = mix64((np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
-    step = 1 << 20  # powers restart in each block, so that tables stay small
-    ones = np.full(step, base, np.uint64)
-    ones[0] = 1
-    up = np.cumprod(ones)
-    ones[1:] = inverse
-    down = np.cumprod(ones)
+    p = powers()
     first = 0
-    while first < len(starts):
+    while first < len(starts):  # powers restart in each block, so that tables stay small
         at = int(starts[first])
-        last = int(np.searchsorted(ends, at + step, side="right"))
+        last = int(np.searchsorted(ends, at + STEP, side="right"))
         if last <= first:  # a span longer than a block
             import xxhash
 
@@ -119,7 +127,17 @@ def span_hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
             first += 1
             continue
         s, e = starts[first:last] - at, ends[first:last] - at
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(coded[b[at : ends[last - 1]]] * up[: int(e[-1])])])
-        out[first:last] = mix64((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
+        sums = np.zeros(int(e[-1]) + 1, np.uint64)
+        np.cumsum(p["code"][b[at : ends[last - 1]]] * p["up"][: int(e[-1])], out=sums[1:])
+        out[first:last] = mix64((sums[e] - sums[s]) * p["down"][s] + (e - s).astype(np.uint64))
         first = last
     return out
+
+
+def shipped(spark: SparkSession, model):
+    """A fitted model of bounded size for the executors, which may not have this package."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(model))
+
+
+def unpacked(box):
+    return pickle.loads(box.value)
