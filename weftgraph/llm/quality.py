@@ -190,9 +190,9 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The documents that the classifier does not reject, with the columns they came with."""
-    model = shipped(docs.sparkSession, fit(docs, labels))
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, train: DataFrame | None = None) -> DataFrame:
+    """The documents that the classifier, fitted on ``train`` (docs), does not reject, with the columns they came with."""
+    model = shipped(docs.sparkSession, fit(docs if train is None else train, labels))
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
