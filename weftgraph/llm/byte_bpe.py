@@ -25,11 +25,13 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import stored, table, texts
+from weftgraph.llm.common import table, texts
 
 SLOTS = 65_537
 SHIFT = 1 << 20
 NONE = 2**31 - 1
+#: Size of the map of frequent pieces, and of the sample of documents that it is drawn from.
+MEMO, MEMO_DOCS = 300_000, 30_000
 #: Unicode's White_Space, the tokenizer library's \s.
 SPACE = r"\t-\r \x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
@@ -50,11 +52,19 @@ def bound(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def literal(value, kind: str) -> Column:
-    return F.from_json(F.lit(json.dumps({"v": value}, ensure_ascii=False, separators=(",", ":"))), f"v {kind}")["v"]
+def with_tables(rows: DataFrame, tables: Column, name: str, f) -> DataFrame:
+    """Adds the column ``name``, ``f`` of the lookup tables, which the optimiser moves into it."""
+    held = rows.withColumn("bpe_tables", tables)
+    return held.select(*rows.columns, bound(F.col("bpe_tables"), f).alias(name))
 
 
-def rank_map(ranks: dict[bytes, int]) -> Column:
+def literal(spark: SparkSession, **tables: tuple[object, str]) -> Column:
+    """Lookup tables as one value that the query's plan holds as a scalar subquery: read once, not printed in plans."""
+    rows = spark.createDataFrame([tuple(json.dumps(v, ensure_ascii=False, separators=(",", ":")) for v, _ in tables.values())], [*tables])
+    return rows.select(F.struct(*[F.from_json(F.concat(F.lit('{"v":'), F.col(n), F.lit("}")), f"v {kind}")["v"].alias(n) for n, (_, kind) in tables.items()]).alias("t")).scalar()
+
+
+def rank_map(ranks: dict[bytes, int]) -> dict[str, tuple[object, str]]:
     """Literal tables: keys and ranks of all mergeable pairs by slot, the token of each byte, the rank of each pair of bytes."""
     keys: list[list[int]] = [[] for _ in range(SLOTS)]
     values: list[list[int]] = [[] for _ in range(SLOTS)]
@@ -66,10 +76,8 @@ def rank_map(ranks: dict[bytes, int]) -> Column:
                 keys[key % SLOTS].append(key)
                 values[key % SLOTS].append(rank)
     first = [ranks.get(bytes([a, b]), NONE) for a in range(256) for b in range(256)]
-    return F.struct(
-        literal(keys, "array<array<bigint>>").alias("keys"), literal(values, "array<array<int>>").alias("ranks"),
-        literal([ranks[bytes([i])] for i in range(256)], "array<int>").alias("bytes"), literal(first, "array<int>").alias("first"),
-    )
+    kinds = {"keys": "array<array<bigint>>", "ranks": "array<array<int>>", "bytes": "array<int>", "first": "array<int>"}
+    return {n: (v, k) for (n, k), v in zip(kinds.items(), (keys, values, [ranks[bytes([i])] for i in range(256)], first))}
 
 
 def slot_of(raw: bytes) -> int:
@@ -78,12 +86,12 @@ def slot_of(raw: bytes) -> int:
     return xxhash.xxh64_intdigest(raw, seed=42) & 0xFFFF
 
 
-def word_map(words: dict[str, list[int]]) -> Column:
-    """A literal map from pieces to their tokens, by slots of the piece's hash."""
+def word_map(words: dict[str, list[int]]) -> dict[str, tuple[object, str]]:
+    """A map from pieces to their tokens, by slots of the piece's hash."""
     slots: list[dict[str, list[int]]] = [{} for _ in range(1 << 16)]
     for word, ids in words.items():
         slots[slot_of(word.encode())][word] = ids
-    return literal(slots, "array<map<string,array<int>>>")
+    return {"words": (slots, "array<map<string,array<int>>>")}
 
 
 def looked_up(tables: Column, a: Column, b: Column) -> Column:
@@ -136,55 +144,68 @@ def memo_words(rows: DataFrame, ranks: dict[bytes, int], pattern: str, memo: int
         except UnicodeDecodeError:
             continue
     if memo:
-        some = rows.select("text").limit(memo_docs)
+        share = min(1.0, memo_docs / max(1, rows.count()))
+        some = rows.select("text").sample(False, share, 1) if share < 1 else rows.select("text")
         seen = some.select(F.explode(pieces_of(F.col("text"), pattern)).alias("w")).groupBy("w").count()
         seen = seen.where(F.length("w") <= 64).orderBy(F.desc("count"), "w").limit(memo).select("w").repartition(16)
-        tables = rank_map(ranks)
-        done = seen.select("w", bound(tables, lambda t: folded(t, F.col("w"))).alias("ids"))
+        tables = literal(rows.sparkSession, **rank_map(ranks))
+        done = with_tables(seen, tables, "ids", lambda t: folded(t, F.col("w")))
         got = done.toArrow()
         for w, ids in zip(got.column("w").to_pylist(), got.column("ids").to_pylist()):
             words.setdefault(w, ids)
     return words
 
 
-def encoded(rows: DataFrame, path: str, pattern: str, memo: int = 200_000, memo_docs: int = 20_000) -> DataFrame:
+def ids_of(t: Column, text: Column, pattern: str) -> Column:
+    """Tokens of a text by the lookup tables t."""
+
+    def one(w: Column) -> Column:
+        known = F.get(t["words"], F.xxhash64(w).bitwiseAND(0xFFFF).cast("int"))[w]
+        return F.coalesce(known, folded(t, w))
+
+    return F.flatten(F.transform(pieces_of(text, pattern), one))
+
+
+def encoded(rows: DataFrame, path: str, pattern: str, memo: int = MEMO, memo_docs: int = MEMO_DOCS) -> DataFrame:
     """Adds ``ids``, the tokens of ``text``."""
     ranks = ranks_of(path)
     words = memo_words(rows, ranks, pattern, memo, memo_docs)
-    tables = F.struct(rank_map(ranks).alias("pairs"), word_map(words).alias("words"))
+    tables = literal(rows.sparkSession, **rank_map(ranks), **word_map(words))
+    return with_tables(rows, tables, "ids", lambda t: ids_of(t, F.col("text"), pattern))
 
-    def one(t: Column, w: Column) -> Column:
-        known = F.get(t["words"], F.xxhash64(w).bitwiseAND(0xFFFF).cast("int"))[w]
-        return F.coalesce(known, folded(t["pairs"], w))
 
-    ids = bound(tables, lambda t: F.flatten(F.transform(pieces_of(F.col("text"), pattern), lambda w: one(t, w))))
-    return rows.withColumn("ids", ids)
+def joined_bytes(ids: Column, parts: Column) -> Column:
+    """The hexadecimal parts that the ids stand for, as one binary."""
+    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(parts, i)), ""))
 
 
-def decoded(ids: Column, ranks: dict[bytes, int]) -> Column:
-    """The bytes that the ids stand for."""
+def byte_tables(ranks: dict[bytes, int]) -> dict[str, tuple[object, str]]:
+    """Of each id: its little-endian 32-bit form and the bytes it stands for, both hexadecimal."""
     size = max(ranks.values()) + 1
-    hexes = [""] * size
+    pieces = [""] * size
     for token, rank in ranks.items():
-        hexes[rank] = token.hex()
-    return bound(literal(hexes, "array<string>"), lambda t: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(t, i)), "")))
+        pieces[rank] = token.hex()
+    return {"packed": ([i.to_bytes(4, "little").hex() for i in range(size)], "array<string>"), "text": (pieces, "array<string>")}
 
 
-def little_endian(ids: Column, size: int) -> Column:
-    """The ids as unsigned 32-bit integers, lowest byte first."""
-    table_ = literal([i.to_bytes(4, "little").hex() for i in range(size)], "array<string>")
-    return bound(table_, lambda t: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(t, i)), "")))
+def decoded(rows: DataFrame, path: str) -> DataFrame:
+    """Adds ``bytes``, what the tokens in ``ids`` stand for."""
+    tables = literal(rows.sparkSession, text=byte_tables(ranks_of(path))["text"])
+    return with_tables(rows, tables, "bytes", lambda t: joined_bytes(F.col("ids"), t["text"]))
 
 
-def tokens_digest(docs: DataFrame, path: str, pattern: str, **memo) -> DataFrame:
+def tokens_digest(docs: DataFrame, path: str, pattern: str, memo: int = MEMO, memo_docs: int = MEMO_DOCS) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    ranks = ranks_of(path)
-    rows = encoded(texts(docs), path, pattern, **memo)
-    packed = little_endian(F.col("ids"), max(ranks.values()) + 1)
-    return rows.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(packed, 256).alias("ids_sha256"), F.sha2(decoded(F.col("ids"), ranks), 256).alias("decoded_sha256"),
-    )
+    ranks, rows = ranks_of(path), texts(docs)
+    words = memo_words(rows, ranks, pattern, memo, memo_docs)
+    tables = literal(rows.sparkSession, **rank_map(ranks), **word_map(words), **byte_tables(ranks))
+
+    def digest(t: Column) -> Column:
+        return bound(ids_of(t, F.col("text"), pattern), lambda ids: F.struct(
+            F.size(ids).cast("long").alias("n_tokens"), F.sha2(joined_bytes(ids, t["packed"]), 256).alias("ids_sha256"), F.sha2(joined_bytes(ids, t["text"]), 256).alias("decoded_sha256"),
+        ))
+
+    return with_tables(rows, tables, "d", digest).select(F.col("doc_id").cast("long").alias("doc_id"), "d.*")
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
