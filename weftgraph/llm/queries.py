@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import byte_bpe, fingerprints, line_dedup, mixing, quality, simhash, token_counts, topk, toxicity
+from weftgraph.llm import byte_bpe, fingerprints, line_dedup, mixing, quality, simhash, substring_dedup, token_counts, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_token_counts": token_counts.op6_token_counts,
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_topk": topk.op8_topk,
+        "op9_substring_dedup": substring_dedup.op9_substring_dedup,
         "op10_byte_bpe": byte_bpe.op10_byte_bpe,
     }
 
