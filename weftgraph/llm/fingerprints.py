@@ -141,7 +141,8 @@ def seated(docs: DataFrame, rows_each: int = 256, most_ranges: int = 100_000) ->
     firsts = docs.select(key.alias("k")).withColumn("range", place).groupBy("range").agg(F.min("k").alias("first"))
     every, order = Window.partitionBy(), Window.orderBy("range")
     firsts = firsts.withColumn("before", F.coalesce(F.lag("range").over(order), F.max("range").over(every)))
-    joined = rows.withColumn("range", place).join(firsts.withColumnRenamed("range", "f_range"), F.col("range") == F.col("f_range"))
+    firsts = F.broadcast(firsts.withColumnRenamed("range", "f_range"))  # most_ranges rows of three numbers at most
+    joined = rows.withColumn("range", place).join(firsts, F.col("range") == F.col("f_range"))
     copies = F.when(F.col("k") == F.col("first"), F.array(F.struct("range", F.lit(False).alias("extra")), F.struct(F.col("before").alias("range"), F.lit(True).alias("extra")))).otherwise(
         F.array(F.struct("range", F.lit(False).alias("extra")))
     )
