@@ -66,7 +66,7 @@ def keyword_share(text: Column, keywords: list[str]) -> Column:
 
 def without_fence(x: Column) -> Column:
     """The inside of a text that is exactly one code fence; any other text as it is."""
-    inner = F.regexp_extract(x, r"(?s)^\s*```[A-Za-z0-9_-]*[ \t]*\n((?:(?!```).)*)\n?```\s*$", 1)
+    inner = F.regexp_extract(x, r"(?s)^\s*```[A-Za-z0-9_-]*[ \t]*\n((?:(?!\n?```).)*)\n?```\s*$", 1)
     fenced = x.rlike(r"(?s)^\s*```[A-Za-z0-9_-]*[ \t]*\n(?:(?!```).)*```\s*$")
     return F.when(fenced, F.trim(inner)).otherwise(x)
 
