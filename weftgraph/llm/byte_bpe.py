@@ -25,7 +25,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import table, texts
+from weftgraph.llm.common import stored, table, texts
 
 SLOTS = 65_537
 SHIFT = 1 << 20
@@ -52,10 +52,11 @@ def bound(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def with_tables(rows: DataFrame, tables: Column, name: str, f) -> DataFrame:
+def with_tables(rows: DataFrame, tables: Column, name: str, f, words: Column | None = None) -> DataFrame:
     """Adds the column ``name``, ``f`` of the lookup tables, which the optimiser moves into it."""
-    held = rows.withColumn("bpe_tables", tables)
-    return held.select(*rows.columns, bound(F.col("bpe_tables"), f).alias(name))
+    held = rows.select("*", tables.alias("bpe_tables"), *([words.alias("bpe_words")] if words is not None else []))
+    value = bound(F.col("bpe_tables"), f) if words is None else bound(F.col("bpe_tables"), lambda t: bound(F.col("bpe_words"), lambda w: f(t, w)))
+    return held.select(*rows.columns, value.alias(name))
 
 
 def literal(spark: SparkSession, **tables: tuple[object, str]) -> Column:
@@ -80,18 +81,13 @@ def rank_map(ranks: dict[bytes, int]) -> dict[str, tuple[object, str]]:
     return {n: (v, k) for (n, k), v in zip(kinds.items(), (keys, values, [ranks[bytes([i])] for i in range(256)], first))}
 
 
-def slot_of(raw: bytes) -> int:
-    import xxhash
-
-    return xxhash.xxh64_intdigest(raw, seed=42) & 0xFFFF
-
-
-def word_map(words: dict[str, list[int]]) -> dict[str, tuple[object, str]]:
-    """A map from pieces to their tokens, by slots of the piece's hash."""
-    slots: list[dict[str, list[int]]] = [{} for _ in range(1 << 16)]
-    for word, ids in words.items():
-        slots[slot_of(word.encode())][word] = ids
-    return {"words": (slots, "array<map<string,array<int>>>")}
+def word_map(words: DataFrame) -> Column:
+    """A map from pieces to their tokens, in 65,536 slots by the piece's hash, as one value that the plan holds as a subquery."""
+    slot = F.xxhash64("w").bitwiseAND(0xFFFF).cast("int").alias("slot")
+    slots = words.select(slot, "w", "ids").groupBy("slot").agg(F.collect_list(F.struct("w", "ids")).alias("e"))
+    every = words.sparkSession.range(1 << 16).select(F.col("id").cast("int").alias("slot"))
+    full = every.join(slots, "slot", "left").agg(F.sort_array(F.collect_list(F.struct("slot", "e"))).alias("all"))
+    return full.select(F.transform("all", lambda s: F.map_from_entries(F.coalesce(s["e"], F.array().cast("array<struct<w:string,ids:array<int>>>")))).alias("words")).scalar()
 
 
 def looked_up(tables: Column, a: Column, b: Column) -> Column:
@@ -135,32 +131,31 @@ def pieces_of(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(java_pattern(pattern)), F.lit(0))
 
 
-def memo_words(rows: DataFrame, ranks: dict[bytes, int], pattern: str, memo: int, memo_docs: int) -> dict[str, list[int]]:
-    """Tokens of the most frequent distinct pieces; all of the vocabulary's own text pieces are there too."""
-    words = {}
+def memo_words(rows: DataFrame, ranks: dict[bytes, int], pattern: str, memo: int, memo_docs: int) -> DataFrame:
+    """w, ids: the vocabulary's own text pieces and the most frequent distinct pieces of a sample, with their tokens."""
+    spark = rows.sparkSession
+    own = []
     for token, rank in ranks.items():  # a piece that is a token is that token
         try:
-            words[token.decode()] = [rank]
+            own.append((token.decode(), [rank]))
         except UnicodeDecodeError:
             continue
+    words = spark.createDataFrame(own, "w string, ids array<int>")
     if memo:
         share = min(1.0, memo_docs / max(1, rows.count()))
         some = rows.select("text").sample(False, share, 1) if share < 1 else rows.select("text")
-        seen = some.select(F.explode(pieces_of(F.col("text"), pattern)).alias("w")).groupBy("w").count()
-        seen = seen.where(F.length("w") <= 64).orderBy(F.desc("count"), "w").limit(memo).select("w").repartition(16)
-        tables = literal(rows.sparkSession, **rank_map(ranks))
-        done = with_tables(seen, tables, "ids", lambda t: folded(t, F.col("w")))
-        got = done.toArrow()
-        for w, ids in zip(got.column("w").to_pylist(), got.column("ids").to_pylist()):
-            words.setdefault(w, ids)
-    return words
+        seen = some.select(F.explode(pieces_of(F.col("text"), pattern)).alias("w")).groupBy("w").count().where(F.length("w") <= 64)
+        seen = seen.orderBy(F.desc("count"), "w").limit(memo).select("w").join(words.select("w"), "w", "left_anti")
+        seen = seen.repartition(16)
+        words = words.union(with_tables(seen, literal(spark, **rank_map(ranks)), "ids", lambda t: folded(t, F.col("w"))))
+    return stored(words, "pieces")
 
 
-def ids_of(t: Column, text: Column, pattern: str) -> Column:
-    """Tokens of a text by the lookup tables t."""
+def ids_of(t: Column, words: Column, text: Column, pattern: str) -> Column:
+    """Tokens of a text by the lookup tables t and the map of known pieces."""
 
     def one(w: Column) -> Column:
-        known = F.get(t["words"], F.xxhash64(w).bitwiseAND(0xFFFF).cast("int"))[w]
+        known = F.get(words, F.xxhash64(w).bitwiseAND(0xFFFF).cast("int"))[w]
         return F.coalesce(known, folded(t, w))
 
     return F.flatten(F.transform(pieces_of(text, pattern), one))
@@ -170,8 +165,8 @@ def encoded(rows: DataFrame, path: str, pattern: str, memo: int = MEMO, memo_doc
     """Adds ``ids``, the tokens of ``text``."""
     ranks = ranks_of(path)
     words = memo_words(rows, ranks, pattern, memo, memo_docs)
-    tables = literal(rows.sparkSession, **rank_map(ranks), **word_map(words))
-    return with_tables(rows, tables, "ids", lambda t: ids_of(t, F.col("text"), pattern))
+    tables = literal(rows.sparkSession, **rank_map(ranks))
+    return with_tables(rows, tables, "ids", lambda t, w: ids_of(t, w, F.col("text"), pattern), word_map(words))
 
 
 def joined_bytes(ids: Column, parts: Column) -> Column:
@@ -198,14 +193,14 @@ def tokens_digest(docs: DataFrame, path: str, pattern: str, memo: int = MEMO, me
     """doc_id, n_tokens, ids_sha256, decoded_sha256."""
     ranks, rows = ranks_of(path), texts(docs)
     words = memo_words(rows, ranks, pattern, memo, memo_docs)
-    tables = literal(rows.sparkSession, **rank_map(ranks), **word_map(words), **byte_tables(ranks))
+    tables = literal(rows.sparkSession, **rank_map(ranks), **byte_tables(ranks))
 
-    def digest(t: Column) -> Column:
-        return bound(ids_of(t, F.col("text"), pattern), lambda ids: F.struct(
+    def digest(t: Column, w: Column) -> Column:
+        return bound(ids_of(t, w, F.col("text"), pattern), lambda ids: F.struct(
             F.size(ids).cast("long").alias("n_tokens"), F.sha2(joined_bytes(ids, t["packed"]), 256).alias("ids_sha256"), F.sha2(joined_bytes(ids, t["text"]), 256).alias("decoded_sha256"),
         ))
 
-    return with_tables(rows, tables, "d", digest).select(F.col("doc_id").cast("long").alias("doc_id"), "d.*")
+    return with_tables(rows, tables, "d", digest, word_map(words)).select(F.col("doc_id").cast("long").alias("doc_id"), "d.*")
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
