@@ -12,6 +12,7 @@ def last_segment(x: Column) -> Column:
 
 def node_id(arxiv: Column, doi: Column, source_id: Column) -> Column:
     """The first of the three identifiers that is there, with its scheme; empty counts as missing."""
+    # The schemes' names.
     some = lambda scheme, x: F.concat(F.lit(f"{scheme}:"), F.nullif(x, F.lit("")))
     return F.coalesce(some("arxiv", last_segment(arxiv)), some("doi", doi), some("openalex", last_segment(source_id)))
 
