@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from weftgraph.llm import byte_bpe, fingerprints, line_dedup, mixing, quality, queries, simhash, substring_dedup, token_counts, topk, toxicity
+from weftgraph.llm import byte_bpe, fingerprints, line_dedup, mixing, near_copies, quality, queries, simhash, substring_dedup, token_counts, topk, toxicity
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -224,10 +224,60 @@ def test_top_k_ties_and_bad_vectors(spark):
     assert many.groupBy("query_id").count().where("count <> 4").count() == 0
 
 
+def edited(rng, words, n):
+    """The words with n of them replaced."""
+    out = list(words)
+    for i in rng.sample(range(len(out)), n):
+        out[i] = f"new{rng.randrange(10**9)}"
+    return out
+
+
+def test_near_copies_against_brute_force(spark):
+    """Bases with edited, cut, chained and case-changed copies, and documents that share only a passage."""
+    rng, texts = random.Random(4), []
+    passage = [f"p{i}" for i in range(40)]
+    for g in range(60):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([6, 30, 150, 600]))]
+        texts += [base, edited(rng, base, max(1, len(base) // 60)), edited(rng, base, len(base) // 25), base[: len(base) - len(base) // 10], [w.upper() for w in base], base + passage]
+        last = base
+        for _ in range(4):
+            last = edited(rng, last, max(1, len(base) // 70))
+            texts.append(last)
+    texts += [[], [], ["one"], ["one"], ["one", "two"]]
+    rng.shuffle(texts)
+    sets = [{" ".join(w).lower() for w in zip(*[t[i:] for i in range(5)])} or ({" ".join(t).lower()} if t else set()) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] == sets[j] or 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_copies.near_groups(docs).collect()}
+    wrong = [i for i, r in enumerate(root) if got[i] != r]
+    assert len(wrong) <= 0.01 * len(texts)  # a pair at exactly 0.8 is met with probability 0.98
+    kept = {r.doc_id for r in near_copies.without_near_copies(docs).collect()}
+    assert kept == {i for i, r in got.items() if i == r}
+
+
+def test_large_buckets_give_all_unequal_pairs_or_the_nearest():
+    rng = np.random.default_rng(8)
+    bits = rng.integers(0, 2, (9, 256), dtype=np.uint8)[rng.integers(0, 9, 700)]
+    bits ^= (rng.random(bits.shape) < 0.1).astype(np.uint8)
+    fp, n, label = np.packbits(bits, axis=1).view(np.uint64), np.full(700, 50), rng.integers(0, 3, 700)
+    apart = near_copies.hamming(fp[:, None], fp[None]).astype(int)
+    np.fill_diagonal(apart, 999)
+    want = {(i, j) for i in range(700) for j in range(i) if apart[i, j] <= near_copies.MOST and label[i] != label[j]}
+    got = {(max(a, b), min(a, b)) for i, j, _ in near_copies.bucket_pairs(fp, n, label, 0.8) for a, b in zip(i.tolist(), j.tolist())}
+    assert got == want and want
+    got = Counter(a for i, j, d in near_copies.bucket_pairs(fp, n, None, 0.8) for a in i.tolist())
+    assert got == {i: min(near_copies.NEAREST, int((apart[i] <= near_copies.MOST).sum())) for i in range(700) if apart[i].min() <= near_copies.MOST}
+
+
 OPERATORS = {
     "lines": lambda d, _: line_dedup.without_repeated_lines(d), "mix": lambda d, _: mixing.mix(d), "mixed": lambda d, _: mixing.mixed_documents(d),
     "fingerprints": lambda d, _: fingerprints.fingerprint_neighbours(d), "quality": lambda d, labels: quality.quality_scores(d, labels), "accepted": lambda d, labels: quality.accepted(d, labels),
-    "simhash": lambda d, _: simhash.groups(d), "near": lambda d, _: simhash.without_near_copies(d),
+    "simhash": lambda d, _: simhash.groups(d), "near": lambda d, _: near_copies.without_near_copies(d),
     "counts": lambda d, _: token_counts.token_counts(d, token_counts.tokenizer_path("piece_bpe_32k.model")), "toxicity": lambda d, labels: toxicity.toxicity_scores(d, labels),
     "substrings": lambda d, _: substring_dedup.removed(d),
 }
@@ -246,7 +296,7 @@ def test_odd_rows_and_no_rows(name, odd, none, labels):
 
 
 def test_repeated_rows_are_one_group(odd):
-    assert simhash.without_near_copies(odd).where("doc_id = 5").count() == 1
+    assert near_copies.without_near_copies(odd).where("doc_id = 5").count() == 1
 
 
 def test_pipeline(spark, raw):

@@ -235,14 +235,3 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and group of every document."""
     found = groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def without_near_copies(docs: DataFrame, shingle: int = SHINGLE, most: int = MAX_BITS) -> DataFrame:
-    """The document with the smallest doc_id of each group, with the columns it came with.
-
-    Rows with the same doc_id and text count as one; a row with a null doc_id can't be told from
-    others by its name and goes only if a row with the same text has a null doc_id too.
-    """
-    found = groups(docs, shingle, SEED, most)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
