@@ -180,6 +180,19 @@ def test_token_counts_equal_the_library():
         assert token_counts.Counter(model, chunk, overlap).counts(some).tolist() == [len(sp.encode(t)) for t in some]
 
 
+def test_byte_bpe_folds_short_and_long_pieces_alike(spark):
+    import public_tokenizers
+    import tiktoken
+
+    ranks = byte_bpe.ranks_of(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    words = ["x" * 300, "é" * 200, "ab", "q", "ñaïveté" * 50] + ["thequickbrown" * k for k in range(1, 9)]
+    df, tables = spark.createDataFrame([(w,) for w in words], "w string"), byte_bpe.literal(spark, **byte_bpe.rank_map(ranks))
+    for short in (0, byte_bpe.SHORT, 10_000):
+        got = byte_bpe.with_tables(df, tables, "ids", lambda t, short=short: byte_bpe.folded(t, F.col("w"), short)).collect()
+        assert all(r.ids == enc._encode_single_piece(r.w.encode()) for r in got)
+
+
 def test_byte_bpe_equals_the_library(spark, docs, raw):
     import public_tokenizers
     import tiktoken

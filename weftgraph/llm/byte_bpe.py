@@ -3,7 +3,7 @@
 A text is cut into pieces by the tokenizer's pattern. A piece that is a token as it stands is that
 token; any other starts as the tokens of its bytes, and a fold merges, again and again, the
 leftmost of the adjacent pairs with the lowest rank, looking ranks up in a literal map. The fold's
-state is the token array and the ranks of its adjacent pairs, so that a merge looks up two ranks only.
+state is one array that holds each token with its pair's rank, so that a merge looks up two ranks only.
 
 Frequent distinct pieces are folded once beforehand into a second literal map; every other piece is
 folded where it stands, so the map's size changes the speed and never the result. It is drawn from
@@ -29,7 +29,12 @@ from weftgraph.llm.common import stored, table, texts
 
 SLOTS = 65_537
 SHIFT = 1 << 20
-NONE = 2**31 - 1
+#: State of a token that has no pair, less the token; above that of any pair.
+LAST = (2**31 - 1) * SHIFT
+#: The fold finds the next merge by rank and then place, in one number.
+UNPAIRED, UNPLACED = (2**31 - 1) << 31, (1 << 31) - 1
+#: Bytes of a piece up to which the fold's array keeps its length.
+SHORT = 64
 #: Size of the map of frequent pieces, and of the sample of documents that it is drawn from.
 MEMO, MEMO_DOCS = 300_000, 30_000
 #: Unicode's White_Space, the tokenizer library's \s.
@@ -62,11 +67,14 @@ def with_tables(rows: DataFrame, tables: Column, name: str, f, words: Column | N
 def literal(spark: SparkSession, **tables: tuple[object, str]) -> Column:
     """Lookup tables as one value that the query's plan holds as a scalar subquery: read once, not printed in plans."""
     rows = spark.createDataFrame([tuple(json.dumps(v, ensure_ascii=False, separators=(",", ":")) for v, _ in tables.values())], [*tables])
-    return rows.select(F.struct(*[F.from_json(F.concat(F.lit('{"v":'), F.col(n), F.lit("}")), f"v {kind}")["v"].alias(n) for n, (_, kind) in tables.items()]).alias("t")).scalar()
+    value = {n: F.from_json(F.concat(F.lit('{"v":'), F.col(n), F.lit("}")), f"v {kind}")["v"] for n, (_, kind) in tables.items()}
+    if "keys" in value:
+        value["pairs"] = F.zip_with(value.pop("keys"), value.pop("ranks"), F.map_from_arrays)
+    return rows.select(F.struct(*[v.alias(n) for n, v in value.items()]).alias("t")).scalar()
 
 
 def rank_map(ranks: dict[bytes, int]) -> dict[str, tuple[object, str]]:
-    """Literal tables: keys and ranks of all mergeable pairs by slot, the token of each byte, the rank of each pair of bytes."""
+    """Literal tables: keys and ranks of all mergeable pairs by slot, the fold's state of a last byte and of each byte before another."""
     keys: list[list[int]] = [[] for _ in range(SLOTS)]
     values: list[list[int]] = [[] for _ in range(SLOTS)]
     for token, rank in ranks.items():
@@ -76,9 +84,10 @@ def rank_map(ranks: dict[bytes, int]) -> dict[str, tuple[object, str]]:
                 key = a * SHIFT + b
                 keys[key % SLOTS].append(key)
                 values[key % SLOTS].append(rank)
-    first = [ranks.get(bytes([a, b]), NONE) for a in range(256) for b in range(256)]
-    kinds = {"keys": "array<array<bigint>>", "ranks": "array<array<int>>", "bytes": "array<int>", "first": "array<int>"}
-    return {n: (v, k) for (n, k), v in zip(kinds.items(), (keys, values, [ranks[bytes([i])] for i in range(256)], first))}
+    own = [ranks[bytes([i])] for i in range(256)]
+    first = [(ranks[pair] * SHIFT if (pair := bytes([a, b])) in ranks else LAST) + own[a] for a in range(256) for b in range(256)]
+    kinds = {"keys": "array<array<bigint>>", "ranks": "array<array<bigint>>", "bytes": "array<bigint>", "first": "array<bigint>"}
+    return {n: (v, k) for (n, k), v in zip(kinds.items(), (keys, values, [LAST + x for x in own], first))}
 
 
 def word_map(words: DataFrame) -> Column:
@@ -91,40 +100,52 @@ def word_map(words: DataFrame) -> Column:
 
 
 def looked_up(tables: Column, a: Column, b: Column) -> Column:
-    """Rank of the pair of tokens (a, b), or NONE."""
+    """Rank of the pair of tokens (a, b); null where they don't merge or one is null."""
 
-    def find(key: Column) -> Column:
-        slot = (key % SLOTS).cast("int")
-        at = F.array_position(F.get(tables["keys"], slot), key).cast("int") - 1
-        return F.coalesce(F.get(F.get(tables["ranks"], slot), at), F.lit(NONE))
+    return bound(a * SHIFT + b, lambda key: F.get(tables["pairs"], (key % SLOTS).cast("int"))[key])
 
-    return bound(a.cast("bigint") * F.lit(SHIFT).cast("bigint") + b, find)
 
+def folded(tables: Column, piece: Column, short: int = SHORT) -> Column:
+    """Tokens of one piece by ranked merges.
 
-def folded(tables: Column, piece: Column) -> Column:
-    """Tokens of one piece by ranked merges."""
+    The state is one array: for each token, the rank of its pair with the next token (``LAST`` for none)
+    times SHIFT, plus the token. The next merge is of the lowest rank at the first place. Pieces of ``short``
+    bytes or less keep the array's length, with nulls at its end; longer ones cut and join it, which costs
+    more a merge and less a byte.
+    """
     units = F.transform(F.split(F.decode(F.encode(piece, "UTF-8"), "ISO-8859-1"), ""), lambda c: F.ascii(c))
+    start = lambda u: F.transform(u, lambda x, i: F.coalesce(F.get(tables["first"], x * 256 + F.get(u, i + 1)), F.get(tables["bytes"], x)))
+    done = lambda s: F.transform(F.filter(s, lambda x: x.isNotNull()), lambda x: (x % SHIFT).cast("int"))
 
-    def start(units: Column) -> Column:
-        pairs = F.zip_with(units, F.slice(units, F.lit(2), F.size(units)), lambda a, b: F.get(tables["first"], a * 256 + b))
-        return F.struct(F.transform(units, lambda u: F.get(tables["bytes"], u)).alias("ids"), F.slice(pairs, F.lit(1), F.size(units) - 1).alias("ranks"))
+    def entry(token: Column, following: Column) -> Column:
+        return F.coalesce(looked_up(tables, token, following) * SHIFT, F.lit(LAST)) + token
+
+    def before(x: Column, best: Column) -> Column:
+        return bound(x % SHIFT, lambda token: entry(token, best))
 
     def merge(state: Column, _: Column) -> Column:
-        def at(best: Column) -> Column:
-            ids, ranks = state["ids"], state["ranks"]
+        def at(least: Column) -> Column:  # rank and place; array_position would serve, but it throws where it finds
+            def joined(i: Column) -> Column:
+                best = F.shiftright(least, 31)
+                return F.transform(state, lambda x, j: F.when(j > i, F.get(state, j + 1)).when(j == i, entry(best, F.get(state, i + 2) % SHIFT)).when(j == i - 1, before(x, best)).otherwise(x))
+
+            return F.when(least < UNPAIRED, bound(least.bitwiseAND(UNPLACED).cast("int"), joined)).otherwise(state)
+
+        return bound(F.array_min(F.transform(state, lambda x, j: F.shiftleft(F.shiftright(x, 20), 31) + j)), at)
 
+    def merge_long(state: Column, _: Column) -> Column:
+        def at(least: Column) -> Column:
             def joined(i: Column) -> Column:  # 1-based place of the pair's left token
-                left = F.when(i > 1, F.array(looked_up(tables, F.get(ids, i - 2), best))).otherwise(F.array().cast("array<int>"))
-                right = F.when(i + 1 < F.size(ids), F.array(looked_up(tables, best, F.get(ids, i + 1)))).otherwise(F.array().cast("array<int>"))
-                new_ids = F.concat(F.slice(ids, F.lit(1), i - 1), F.array(best), F.slice(ids, i + 2, F.size(ids)))
-                new_ranks = F.concat(F.slice(ranks, F.lit(1), F.greatest(i - 2, F.lit(0))), left, right, F.slice(ranks, i + 2, F.size(ids)))
-                return F.struct(new_ids.alias("ids"), new_ranks.alias("ranks"))
+                best = F.shiftright(least, 20)
+                new = lambda rest: F.concat(rest, F.array(entry(best, F.get(state, i + 1) % SHIFT)), F.slice(state, i + 2, F.size(state)))
+                return F.when(i > 1, new(F.concat(F.slice(state, F.lit(1), i - 2), F.array(before(F.get(state, i - 2), best))))).otherwise(new(F.array().cast("array<bigint>")))
 
-            return F.when(best.isNull() | (best == NONE), state).otherwise(bound(F.array_position(ranks, best).cast("int"), joined))
+            return F.when(least < LAST, bound(F.array_position(state, least).cast("int"), joined)).otherwise(state)
 
-        return bound(F.array_min(state["ranks"]), at)
+        return bound(F.array_min(state), at)
 
-    return bound(units, lambda u: F.aggregate(F.sequence(F.lit(1), F.size(u)), start(u), merge, lambda s: s["ids"]))
+    fold = lambda u, f: F.aggregate(F.slice(u, F.lit(2), F.size(u)), start(u), f, done)
+    return bound(units, lambda u: F.when(F.size(u) <= short, fold(u, merge)).otherwise(fold(u, merge_long)))
 
 
 def pieces_of(text: Column, pattern: str) -> Column:
