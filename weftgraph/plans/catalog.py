@@ -18,7 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 V1 = "v1 AS (SELECT DISTINCT 'order:' || l_orderkey AS source_id, 'part:' || l_partkey AS target_id, year(o_orderdate)::INT AS y, l_partkey AS pk, l_orderkey AS ok FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
-V2 = "v2 AS (SELECT DISTINCT printf('part:%06d', a.l_partkey) AS source_id, printf('part:%06d', b.l_partkey) AS target_id FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey > b.l_partkey AND a.l_partkey <= 120 AND b.l_partkey <= 120)"
+V2 = "v2 AS (SELECT DISTINCT printf('part:%06d', a.l_partkey) AS source_id, printf('part:%06d', b.l_partkey) AS target_id FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey > b.l_partkey)"
 V4 = "v4 AS (SELECT 'supplier:' || s_suppkey AS source_id, 'nation:' || s_nationkey AS target_id FROM supplier UNION ALL SELECT 'nation:' || n_nationkey, 'region:' || n_regionkey FROM nation)"
 
 
@@ -45,28 +45,33 @@ def cocitation_all(spark, d):
     return graph.cocitation(corpus.order_part(spark, d))
 
 
-@query("cocitation_unknown_endpoints", f"WITH {V1} SELECT DISTINCT target_id AS node_id FROM v1 WHERE pk % 2 = 1")
+@query("cocitation_unknown_endpoints", f"WITH {V1} SELECT DISTINCT source_id AS node_id FROM v1 JOIN orders ON o_orderkey = ok WHERE o_orderstatus <> 'F'")
 def cocitation_unknown(spark, d):
-    parts = table(spark, d, "part").where("p_partkey % 2 = 0").select(F.concat(F.lit("part:"), "p_partkey").alias("node_id"))
-    known = parts.union(table(spark, d, "orders").select(F.concat(F.lit("order:"), "o_orderkey")))
+    """Known are all parts and the finished orders."""
+    parts = table(spark, d, "part").select(F.concat(F.lit("part:"), "p_partkey").alias("node_id"))
+    known = parts.union(table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.concat(F.lit("order:"), "o_orderkey")))
     return graph.unknown_endpoints(corpus.order_part(spark, d), known)
 
 
-def _seed_suppliers(spark, d, n):
-    return table(spark, d, "supplier").where(F.col("s_suppkey") <= n).select(F.concat(F.lit("supplier:"), "s_suppkey").alias("node_id"))
+def _suppliers(spark, d):
+    return table(spark, d, "supplier").select(F.concat(F.lit("supplier:"), "s_suppkey").alias("node_id"))
 
 
 @query("backward_two_hop", f"""
-WITH {V4}, s AS (SELECT 'supplier:' || s_suppkey AS node_id FROM supplier WHERE s_suppkey <= 5),
+WITH {V4}, s AS (SELECT 'supplier:' || s_suppkey AS node_id FROM supplier),
 h1 AS (SELECT DISTINCT target_id AS node_id, s.node_id AS root, 1 AS hop FROM s JOIN v4 ON source_id = s.node_id),
 h2 AS (SELECT DISTINCT target_id AS node_id, root, 2 AS hop FROM h1 JOIN v4 ON source_id = h1.node_id),
 u AS (SELECT * FROM h1 UNION ALL SELECT * FROM h2)
 SELECT node_id, min(hop)::INT AS hop_depth, string_agg(DISTINCT root, ',' ORDER BY root) AS roots FROM u WHERE node_id NOT IN (SELECT node_id FROM s) GROUP BY node_id""")
 def backward_two_hop(spark, d):
-    rows = graph.backward(_seed_suppliers(spark, d, 5), corpus.supplier_tree(spark, d))
+    rows = graph.backward(_suppliers(spark, d), corpus.supplier_tree(spark, d))
     return rows.select("node_id", "hop_depth", F.array_join("root_ids", ",").alias("roots"))
 
 
+def _parts(spark, d):
+    return table(spark, d, "part").select(F.concat(F.lit("part:"), "p_partkey").alias("node_id"))
+
+
 def _cited_parts(spark, d):
     e = corpus.order_part(spark, d)
     return e.groupBy(F.col("target_id").alias("node_id")).agg(F.count("*").alias("citation_count"), F.min("citing_paper_year").alias("year"))
@@ -82,18 +87,16 @@ def backward_score(spark, d):
 
 
 @query("forward_citers_ranked", f"""
-WITH {V1}, r AS (SELECT target_id AS seed, source_id, y, row_number() OVER (PARTITION BY target_id ORDER BY y DESC, source_id) AS place, count(*) OVER (PARTITION BY target_id) AS total FROM v1 WHERE pk <= 20)
+WITH {V1}, r AS (SELECT target_id AS seed, source_id, y, row_number() OVER (PARTITION BY target_id ORDER BY y DESC, source_id) AS place, count(*) OVER (PARTITION BY target_id) AS total FROM v1)
 SELECT seed, source_id, y AS citing_paper_year, place::INT AS place, total FROM r WHERE place <= 10""")
 def forward_citers(spark, d):
-    seeds = table(spark, d, "part").where("p_partkey <= 20").select(F.concat(F.lit("part:"), "p_partkey").alias("node_id"))
-    got = graph.citers(seeds, corpus.order_part(spark, d), [F.desc("citing_paper_year"), F.col("source_id")], page=10)
+    got = graph.citers(_parts(spark, d), corpus.order_part(spark, d), [F.desc("citing_paper_year"), F.col("source_id")], page=10)
     return got.select("seed", "source_id", "citing_paper_year", "place", "total")
 
 
-@query("forward_truncation", f"WITH {V1} SELECT target_id AS seed, least(count(*), 10) AS returned, count(*) AS total FROM v1 WHERE pk <= 50 GROUP BY 1 HAVING count(*) > 10")
+@query("forward_truncation", f"WITH {V1} SELECT target_id AS seed, least(count(*), 10) AS returned, count(*) AS total FROM v1 GROUP BY 1 HAVING count(*) > 10")
 def forward_truncation(spark, d):
-    seeds = table(spark, d, "part").where("p_partkey <= 50").select(F.concat(F.lit("part:"), "p_partkey").alias("node_id"))
-    got = graph.citers(seeds, corpus.order_part(spark, d), [F.col("source_id")], page=10)
+    got = graph.citers(_parts(spark, d), corpus.order_part(spark, d), [F.col("source_id")], page=10)
     return got.groupBy("seed").agg(F.count("*").alias("returned"), F.first("total").alias("total")).where("returned < total")
 
 
@@ -122,44 +125,46 @@ def forward_score(spark, d):
     return rows.select("node_id", F.round(score, 9).alias("score"))
 
 
-def _parts_by_quantity(spark, d):
-    """Two sources of the same edges with different years, for assembly."""
-    e = corpus.order_part(spark, d).withColumn("pk", F.substring_index("target_id", ":", -1).cast("int")).withColumn("ord", F.substring_index("source_id", ":", -1).cast("long"))
-    one = e.where("pk <= 60")
-    two = e.where("pk BETWEEN 40 AND 90").withColumn("citing_paper_year", F.col("citing_paper_year") + F.when(F.col("pk") % 3 == 0, 1).otherwise(0))
+def _two_sources(spark, d):
+    """Two sources of edges for assembly: lines that were not returned, in their orders' year, and all lines, in the year first shipped."""
+    li, o = table(spark, d, "lineitem"), table(spark, d, "orders")
+    ends = [F.concat(F.lit("order:"), "l_orderkey").alias("source_id"), F.concat(F.lit("part:"), "l_partkey").alias("target_id"), F.lit("cites").alias("type")]
+    one = li.where("l_returnflag <> 'R'").join(o, li.l_orderkey == o.o_orderkey).select(*ends, F.year("o_orderdate").alias("citing_paper_year"), F.col("l_orderkey").alias("ord")).distinct()
+    two = li.groupBy("l_orderkey", "l_partkey").agg(F.min(F.year("l_shipdate")).alias("citing_paper_year")).select(*ends, "citing_paper_year", F.col("l_orderkey").alias("ord"))
     return one, two
 
 
-TWO = "one AS (SELECT source_id, target_id, y, 0 AS src FROM v1 WHERE pk <= 60), two AS (SELECT source_id, target_id, y + CASE WHEN pk % 3 = 0 THEN 1 ELSE 0 END AS y, 1 AS src FROM v1 WHERE pk BETWEEN 40 AND 90), both_ AS (SELECT * FROM one UNION ALL SELECT * FROM two)"
+ENDS = "'order:' || l_orderkey AS source_id, 'part:' || l_partkey AS target_id"
+TWO = f"one AS (SELECT DISTINCT {ENDS}, year(o_orderdate)::INT AS y, 0 AS src FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag <> 'R'), two AS (SELECT {ENDS}, min(year(l_shipdate))::INT AS y, 1 AS src FROM lineitem GROUP BY l_orderkey, l_partkey), both_ AS (SELECT * FROM one UNION ALL SELECT * FROM two)"
 
 
-@query("assemble_edges", f"WITH {V1}, {TWO} SELECT source_id, target_id, arg_min(y, src)::INT AS citing_paper_year, min(src)::INT AS src_rank FROM both_ GROUP BY ALL")
+@query("assemble_edges", f"WITH {TWO} SELECT source_id, target_id, arg_min(y, src)::INT AS citing_paper_year, min(src)::INT AS src_rank FROM both_ GROUP BY ALL")
 def assemble_edges(spark, d):
-    return graph.first_seen([*_parts_by_quantity(spark, d)], ["source_id", "target_id", "type"]).select("source_id", "target_id", "citing_paper_year", "src_rank")
+    return graph.first_seen([*_two_sources(spark, d)], ["source_id", "target_id", "type"]).select("source_id", "target_id", "citing_paper_year", "src_rank")
 
 
-@query("edge_mismatches", f"WITH {V1}, {TWO} SELECT b.source_id, b.target_id, a.y::INT AS kept_year, b.y::INT AS other_year FROM one a JOIN two b ON a.source_id = b.source_id AND a.target_id = b.target_id AND a.y IS DISTINCT FROM b.y")
+@query("edge_mismatches", f"WITH {TWO} SELECT b.source_id, b.target_id, a.y::INT AS kept_year, b.y::INT AS other_year FROM one a JOIN two b ON a.source_id = b.source_id AND a.target_id = b.target_id AND a.y IS DISTINCT FROM b.y")
 def edge_mismatches(spark, d):
-    got = graph.edge_mismatches([*_parts_by_quantity(spark, d)], ["citing_paper_year"])
+    got = graph.edge_mismatches([*_two_sources(spark, d)], ["citing_paper_year"])
     return got.select("source_id", "target_id", F.col("first_citing_paper_year").alias("kept_year"), F.col("citing_paper_year").alias("other_year"))
 
 
-@query("assemble_nodes", f"WITH {V1}, {TWO} SELECT target_id AS node_id, min(src)::INT AS src_rank, count(DISTINCT source_id) AS roots FROM both_ GROUP BY 1")
+@query("assemble_nodes", f"WITH {TWO} SELECT target_id AS node_id, min(src)::INT AS src_rank, count(DISTINCT source_id) AS roots FROM both_ GROUP BY 1")
 def assemble_nodes(spark, d):
-    one, two = _parts_by_quantity(spark, d)
+    one, two = _two_sources(spark, d)
     rows = one.withColumn("src", F.lit(0)).unionByName(two.withColumn("src", F.lit(1)))
     return rows.groupBy(F.col("target_id").alias("node_id")).agg(F.min("src").alias("src_rank"), F.size(F.collect_set("source_id")).cast("long").alias("roots"))
 
 
 @query("depth_per_root", f"""
 WITH RECURSIVE {V4}, e AS (SELECT * FROM v4 UNION SELECT target_id, source_id FROM v4),
-w AS (SELECT 'supplier:1' AS root, 'supplier:1' AS node_id, 0 AS depth UNION SELECT 'supplier:2', 'supplier:2', 0
+w AS (SELECT 'region:' || r_regionkey AS root, 'region:' || r_regionkey AS node_id, 0 AS depth FROM region
   UNION SELECT root, target_id, depth + 1 FROM w JOIN e ON source_id = node_id WHERE depth < 6)
 SELECT root, node_id, min(depth)::INT AS depth FROM w GROUP BY ALL""")
 def depth_per_root(spark, d):
     e = corpus.supplier_tree(spark, d)
-    roots = spark.createDataFrame([("supplier:1",), ("supplier:2",)], "node_id string")
-    return graph.distances(e.union(graph.flipped(e)), roots).where("depth <= 6")
+    roots = table(spark, d, "region").select(F.concat(F.lit("region:"), "r_regionkey").alias("node_id"))
+    return graph.distances(e.union(graph.flipped(e)), roots)
 
 
 @query("directed_reach", f"""
@@ -167,8 +172,7 @@ WITH RECURSIVE {V4}, w AS (SELECT source_id AS root, target_id AS node_id FROM v
 SELECT root, node_id FROM w WHERE root LIKE 'supplier:%'""")
 def directed_reach(spark, d):
     e = corpus.supplier_tree(spark, d)
-    roots = table(spark, d, "supplier").select(F.concat(F.lit("supplier:"), "s_suppkey").alias("node_id"))
-    return graph.distances(e, roots).where("depth > 0").select("root", "node_id")
+    return graph.distances(e, _suppliers(spark, d)).where("depth > 0").select("root", "node_id")
 
 
 def _pagerank_sql(rounds: int) -> str:
@@ -187,21 +191,21 @@ def _chain_nodes(e):
 
 @query("pagerank", _pagerank_sql(10))
 def pagerank(spark, d):
-    e = corpus.part_chain(spark, d, 120)
+    e = corpus.part_chain(spark, d)
     return graph.pagerank(_chain_nodes(e), e, rounds=10, tolerance=0).select("node_id", F.round("pagerank", 9).alias("pagerank"))
 
 
 @query("cycle_clean")
 def cycle_clean(spark, d):
-    e = corpus.part_chain(spark, d, 200, acyclic=False)
-    nodes = _chain_nodes(e).withColumn("citation_count", F.substring_index("node_id", ":", -1).cast("long") % 7)
+    e = corpus.trade(spark, d)
+    nodes = e.groupBy(F.col("target_id").alias("node_id")).agg(F.sum("strength").alias("citation_count")).join(_chain_nodes(e), "node_id", "right").fillna(0, ["citation_count"])
     kept, gone = graph.clean_cycles(nodes, e)
     return kept.select("source_id", "target_id", F.lit(False).alias("suppressed")).union(gone.select("source_id", "target_id", F.lit(True)))
 
 
 @query("communities")
 def communities(spark, d):
-    e = corpus.part_chain(spark, d, 120)
+    e = corpus.part_chain(spark, d)
     return graph.communities(_chain_nodes(e), e, rounds=6)
 
 
@@ -269,14 +273,14 @@ def coverage_verdict(spark, d):
 
 
 @query("overlap_report", """
-WITH s AS (SELECT o_custkey AS c, l_partkey AS p FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey IN (SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 400) GROUP BY ALL),
-a AS (SELECT p FROM s WHERE c % 2 = 0), b AS (SELECT p FROM s WHERE c % 2 = 1)
+WITH s AS (SELECT o_custkey AS c, l_partkey AS p FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL),
+a AS (SELECT p FROM s JOIN customer ON c = c_custkey WHERE c_mktsegment = 'BUILDING'), b AS (SELECT p FROM s JOIN customer ON c = c_custkey WHERE c_mktsegment = 'MACHINERY')
 SELECT (SELECT count(*) FROM (SELECT p FROM a INTERSECT SELECT p FROM b)) AS shared, (SELECT count(*) FROM (SELECT p FROM a EXCEPT SELECT p FROM b)) AS only_a, (SELECT count(*) FROM (SELECT p FROM b EXCEPT SELECT p FROM a)) AS only_b,
 CASE WHEN (SELECT count(*) FROM (SELECT p FROM a INTERSECT SELECT p FROM b)) >= 10 THEN 'GREEN' WHEN (SELECT count(*) FROM (SELECT p FROM a INTERSECT SELECT p FROM b)) >= 3 THEN 'YELLOW' ELSE 'RED' END AS verdict""")
 def overlap_report(spark, d):
-    c = table(spark, d, "customer").select("c_custkey").orderBy("c_custkey").limit(400)
+    c = table(spark, d, "customer").where("c_mktsegment IN ('BUILDING', 'MACHINERY')").select("c_custkey", (F.col("c_mktsegment") == "BUILDING").alias("in_a"))
     s = table(spark, d, "orders").join(c, F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
-    sides = s.groupBy("l_partkey").agg(F.bool_or(F.col("o_custkey") % 2 == 0).alias("a"), F.bool_or(F.col("o_custkey") % 2 == 1).alias("b"))
+    sides = s.groupBy("l_partkey").agg(F.bool_or("in_a").alias("a"), F.bool_or(~F.col("in_a")).alias("b"))
     n = sides.agg(F.count_if(F.col("a") & F.col("b")).alias("shared"), F.count_if(F.col("a") & ~F.col("b")).alias("only_a"), F.count_if(F.col("b") & ~F.col("a")).alias("only_b"))
     return n.withColumn("verdict", F.when(F.col("shared") >= 10, "GREEN").when(F.col("shared") >= 3, "YELLOW").otherwise("RED"))
 
@@ -320,12 +324,12 @@ def content_hash(spark, d):
 
 
 @query("manifest_diff", """
-WITH a AS (SELECT p_partkey AS k, p_brand AS v FROM part WHERE p_partkey % 7 <> 0), b AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 11 = 0 THEN p_type ELSE p_brand END AS v FROM part WHERE p_partkey % 5 <> 0)
+WITH a AS (SELECT l_partkey AS k, min(l_shipdate::DATE)::VARCHAR AS v FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1), b AS (SELECT l_partkey AS k, min(l_shipdate::DATE)::VARCHAR AS v FROM lineitem GROUP BY 1)
 SELECT coalesce(a.k, b.k) AS module, a.v AS baseline, b.v AS live FROM a FULL JOIN b ON a.k = b.k WHERE a.v IS DISTINCT FROM b.v OR a.k IS NULL OR b.k IS NULL""")
 def manifest_diff(spark, d):
-    p = table(spark, d, "part")
-    a = p.where("p_partkey % 7 <> 0").select(F.col("p_partkey").alias("ka"), F.col("p_brand").alias("baseline"))
-    b = p.where("p_partkey % 5 <> 0").select(F.col("p_partkey").alias("kb"), F.when(F.col("p_partkey") % 11 == 0, F.col("p_type")).otherwise(F.col("p_brand")).alias("live"))
+    li, first = table(spark, d, "lineitem"), F.min(F.to_date("l_shipdate")).cast("string")
+    a = li.where("l_returnflag = 'R'").groupBy(F.col("l_partkey").alias("ka")).agg(first.alias("baseline"))
+    b = li.groupBy(F.col("l_partkey").alias("kb")).agg(first.alias("live"))
     j = a.join(b, F.col("ka") == F.col("kb"), "full")
     return j.where(~F.col("baseline").eqNullSafe(F.col("live")) | F.col("ka").isNull() | F.col("kb").isNull()).select(F.coalesce("ka", "kb").alias("module"), "baseline", "live")
 
@@ -337,11 +341,12 @@ def array_assign(spark, d):
     return n.select(F.col("n_regionkey").alias("r_regionkey"), F.explode(zipped).alias("z")).select("r_regionkey", F.col("z")["role"].alias("role"), F.col("z")["value"].alias("value"))
 
 
-@query("token_upsert", "SELECT coalesce(b.n_nationkey, a.n_nationkey) AS key, coalesce(b.v, a.v) AS value FROM (SELECT n_nationkey, n_name AS v FROM nation WHERE n_nationkey < 15) a FULL JOIN (SELECT n_nationkey, lower(n_name) AS v FROM nation WHERE n_nationkey > 10) b ON a.n_nationkey = b.n_nationkey")
+@query("token_upsert", "SELECT coalesce(b.n_nationkey, a.n_nationkey) AS key, coalesce(b.v, a.v) AS value FROM (SELECT n_nationkey, n_name AS v FROM nation) a FULL JOIN (SELECT n_nationkey, lower(n_name) AS v FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name LIKE 'A%') b ON a.n_nationkey = b.n_nationkey")
 def token_upsert(spark, d):
     n = table(spark, d, "nation")
-    old = n.where("n_nationkey < 15").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("value"), F.lit(1).alias("o"))
-    new = n.where("n_nationkey > 10").select(F.col("n_nationkey").alias("key"), F.lower("n_name").alias("value"), F.lit(0).alias("o"))
+    old = n.select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("value"), F.lit(1).alias("o"))
+    r = table(spark, d, "region").where("r_name LIKE 'A%'")
+    new = n.join(r, F.col("n_regionkey") == F.col("r_regionkey"), "left_semi").select(F.col("n_nationkey").alias("key"), F.lower("n_name").alias("value"), F.lit(0).alias("o"))
     return old.union(new).groupBy("key").agg(F.min_by("value", "o").alias("value"))
 
 
@@ -419,12 +424,12 @@ def citation_pipeline(spark, d):
     from weftgraph.plans.citation import registry
     from weftgraph.plans.runner import halted, run
 
-    e = corpus.part_chain(spark, d, 120, acyclic=False).where("source_id <> target_id")
+    e = corpus.part_chain(spark, d)
     nodes = _chain_nodes(e)
     counts = e.groupBy(F.col("target_id").alias("node_id")).agg(F.count("*").alias("citation_count"))
     works = nodes.join(counts, "node_id", "left").select("node_id", F.coalesce("citation_count", F.lit(0)).alias("citation_count"), (F.lit(1990) + F.substring_index("node_id", ":", -1).cast("int") % 10).alias("year"))
     seeds = [r.node_id for r in works.orderBy(F.desc("citation_count"), "node_id").limit(2).collect()]
-    params = {"seeds": seeds, "n_backward": 40, "n_forward": 20, "lambda_decay": 0.1, "alpha": 1.0, "beta": 0.0, "current_year": 2000, "min_strength": 2, "damping": 0.85, "rounds": 4}
+    params = {"seeds": seeds, "n_backward": 3200, "n_forward": 20, "lambda_decay": 0.1, "alpha": 1.0, "beta": 0.0, "current_year": 2000, "min_strength": 2, "damping": 0.85, "rounds": 4}
     plan = model.citation_plan(params)
     out = halted(plan, run(plan, registry(works, e)))["enrich"]["enriched_nodes"]
     return out.select("node_id", "hop_depth", "citation_count", "traversal_direction", F.round("pagerank", 9).alias("pagerank"), "community_id")
