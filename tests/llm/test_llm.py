@@ -287,6 +287,33 @@ def test_large_buckets_give_all_unequal_pairs_or_the_nearest():
     assert got == {i: min(near_copies.NEAREST, int((apart[i] <= near_copies.MOST).sum())) for i in range(700) if apart[i].min() <= near_copies.MOST}
 
 
+def test_buckets_above_a_block_lose_no_pair():
+    """A tight group of over 4096 fingerprints, of which few bits differ, and loose ones beside it."""
+    rng = np.random.default_rng(9)
+    m, tight = 5000, 4500
+    bits = np.repeat(rng.integers(0, 2, (1, 256), dtype=np.uint8), m, axis=0)
+    bits[:tight, :40] ^= (rng.random((tight, 40)) < 0.2).astype(np.uint8)
+    bits[tight:] ^= (rng.random((m - tight, 256)) < 0.15).astype(np.uint8)
+    fp, n = np.packbits(bits, axis=1).view(np.uint64), np.full(m, 50)
+    label = np.where(rng.random(m) < 0.01, np.arange(m), -1)
+    want, nearest = set(), {}
+    for i in range(m):
+        apart = near_copies.hamming(fp[i], fp).astype(int)
+        apart[i] = 999
+        want |= {(i, int(j)) for j in np.flatnonzero((apart <= near_copies.MOST) & (label != label[i])) if i < j}
+        if apart.min() <= near_copies.MOST:
+            nearest[i] = int(apart.min())
+    got = {(min(a, b), max(a, b)) for i, j, _ in near_copies.bucket_pairs(fp, n, label, 0.8) for a, b in zip(i.tolist(), j.tolist())}
+    assert got == want and want
+    found, root = {}, np.arange(m)
+    for i, j, d in near_copies.bucket_pairs(fp, n, None, 0.8):
+        for a, x in zip(i.tolist(), d.tolist()):
+            found[a] = min(x, found.get(a, 999))
+        root = root[simhash.roots(m, np.concatenate([np.arange(m), i]), np.concatenate([root, j]))]
+    assert found == nearest
+    assert len(np.unique(root[:tight])) == 1  # within one group, the second round has no pairs to give
+
+
 OPERATORS = {
     "lines": lambda d, _: line_dedup.without_repeated_lines(d), "mix": lambda d, _: mixing.mix(d), "mixed": lambda d, _: mixing.mixed_documents(d),
     "fingerprints": lambda d, _: fingerprints.fingerprint_neighbours(d), "quality": lambda d, labels: quality.quality_scores(d, labels), "accepted": lambda d, labels: quality.accepted(d, labels),

@@ -13,7 +13,8 @@ whose rows differ by more than ``MOST`` in a coordinate are discarded, the other
 and those within ``MOST`` are checked: ``SURE`` or fewer differing bits need no more, for the rest the
 shingle sets are compared. Links leave in two rounds, so that large groups never give all their
 pairs: first each fingerprint's ``NEAREST`` in each bucket, then, after the links found have joined
-groups, every pair within ``MOST`` whose two sides are still in different groups.
+groups, every pair within ``MOST`` whose two sides are still in different groups. Buckets are compared whole at
+every size, in blocks; one bucket is one task's work, which grows with the square of a group that fills it.
 
 Known limits: a pair at exactly ``LIKENESS`` is met with probability ``MEET`` (times 0.998, its chance to be
 within ``MOST``), one pair in 40,000 at ``LIKENESS`` may be taken as sure while below, and sets and fingerprints
@@ -41,7 +42,7 @@ SHINGLE, LIKENESS, MEET = 5, 0.8, 0.98
 LANES = 4
 BITS = 64 * LANES
 MOST, SURE, NEAREST = 56, 15, 2
-PIVOTS, WIDE, ROWS = 8, 256, 128
+PIVOTS, WIDE, ROWS, COLS, FLUSH = 8, 256, 128, 4096, 2_000_000
 FP = [f"f{i}" for i in range(LANES)]
 
 
@@ -117,55 +118,79 @@ def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int16)
 
 
-def bucket_pairs(fp: np.ndarray, n: np.ndarray, label: np.ndarray | None, likeness: float, salt: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(i, j, distance) of the pairs of one bucket within ``MOST``: with labels all of unequal labels, else each row's nearest."""
+def bucket_pairs(fp: np.ndarray, n: np.ndarray, label: np.ndarray | None, likeness: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, distance) of the pairs of one bucket within ``MOST``: with labels all of unequal labels, else each row's nearest.
+
+    Exact at every size. Blocks of ``ROWS`` rows go against blocks of ``COLS``, so memory does not grow with the
+    bucket. In a bucket of more than ``COLS``, each row's nearest before it is given too: it joins a tight group,
+    whose members then have one label in the second round.
+    """
     m = len(fp)
-    if m > 4096 and salt < 6:  # cut by further sampled bits, in several ways
-        bits = np.unpackbits(fp.view(np.uint8).reshape(m, -1), axis=1)
-        for way in range(12):
-            pick = np.random.default_rng((salt, way)).choice(BITS, 6, replace=False)
-            part = bits[:, pick] @ (1 << np.arange(6))
-            for p in np.unique(part):
-                at = np.flatnonzero(part == p)
-                if len(at) == m:
-                    continue
-                for i, j, d in bucket_pairs(fp[at], n[at], None if label is None else label[at], likeness, salt + 1):
-                    yield at[i], at[j], d
-        return
     refs = fp[np.linspace(0, m - 1, min(m, PIVOTS)).astype(int)]
     near = np.stack([hamming(fp, r) for r in refs], axis=1)
     order = np.argsort(near[:, 0], kind="stable")
-    first = near[order, 0]
+    fp, n, near = np.ascontiguousarray(fp[order].T), n[order], np.ascontiguousarray(near[order].T)
+    label = None if label is None else label[order]
+    first, places = near[0], np.arange(m)
     for a in range(0, m, ROWS):
-        rows = order[a : a + ROWS]
-        lo = np.searchsorted(first, first[a] - MOST)
-        cols = order[lo : np.searchsorted(first, first[min(a + ROWS, m) - 1] + MOST, side="right")]
-        meet = rows[:, None] != cols[None, :]
-        for p in range(near.shape[1]):
-            meet &= np.abs(near[rows, p][:, None] - near[cols, p][None, :]) <= MOST
-        meet &= np.minimum(n[rows][:, None], n[cols][None, :]) >= likeness * np.maximum(n[rows][:, None], n[cols][None, :])
-        if label is not None:
-            meet &= (label[rows][:, None] != label[cols][None, :]) & (rows[:, None] < cols[None, :])
-        i, j = np.nonzero(meet)
-        if not len(i):
-            continue
-        i, j = rows[i], cols[j]
-        d = np.concatenate([hamming(fp[i[x : x + 500_000]], fp[j[x : x + 500_000]]) for x in range(0, len(i), 500_000)])
-        keep = d <= MOST
-        i, j, d = i[keep], j[keep], d[keep]
-        if label is None and len(i):
+        b = min(a + ROWS, m)
+        lo, hi = np.searchsorted(first, first[a] - MOST), np.searchsorted(first, first[b - 1] + MOST, side="right")
+        best: dict[bool, list] = {False: [], True: []}
+        for c in range(lo, hi, COLS):
+            e = min(c + COLS, hi)
+            meet = places[a:b, None] != places[None, c:e] if label is None else (label[a:b, None] != label[None, c:e]) & (places[a:b, None] < places[None, c:e])
+            if not meet.any():
+                continue
+            for p in near:
+                meet &= np.abs(p[a:b, None] - p[None, c:e]) <= MOST
+            meet &= np.minimum(n[a:b, None], n[None, c:e]) >= likeness * np.maximum(n[a:b, None], n[None, c:e])
+            if not meet.any():
+                continue
+            apart = np.zeros(meet.shape, np.int16)
+            for lane in fp:
+                apart += np.bitwise_count(lane[a:b, None] ^ lane[None, c:e])
+            meet &= apart <= MOST
+            if label is not None:
+                i, j = np.nonzero(meet)
+                yield order[a + i], order[c + j], apart[i, j]
+                continue
+            apart[~meet] = BITS + 1
+            before = np.where(places[None, c:e] < places[a:b, None], apart, np.int16(BITS + 1)) if m > COLS and c < b else None
+            for _ in range(NEAREST):
+                best[False].append(least(apart, a, c))
+            if before is not None:
+                best[True].append(least(before, a, c))
+        for tree, found in best.items():
+            if not found:
+                continue
+            i, j, d = (np.concatenate(x) for x in zip(*found))
             by = np.lexsort((d, i))
             i, j, d = i[by], j[by], d[by]
             start = np.concatenate([[True], i[1:] != i[:-1]])
             place = np.arange(len(i)) - np.maximum.accumulate(np.where(start, np.arange(len(i)), 0))
-            i, j, d = i[place < NEAREST], j[place < NEAREST], d[place < NEAREST]
-        yield i, j, d
+            keep = (place < (1 if tree else NEAREST)) & (d <= MOST)
+            yield order[i[keep]], order[j[keep]], d[keep]
+
+
+def least(apart: np.ndarray, a: int, c: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column (counted from a and c) and value of the least of each row, which is taken out."""
+    rows, at = np.arange(len(apart)), apart.argmin(axis=1)
+    d = apart[rows, at]
+    apart[rows, at] = BITS + 1
+    return a + rows, c + at, d
 
 
 def candidates(classes: DataFrame, plan: tuple[int, int], labelled: bool, likeness: float) -> DataFrame:
     """Distinct (a, b, d), a < b: pairs of nodes that survive the pivots and are within ``MOST``."""
 
-    def pairs(c: dict[str, np.ndarray]) -> pa.RecordBatch:
+    def batch(c: dict[str, np.ndarray], found: list) -> pa.RecordBatch:
+        none = np.zeros(0, np.int64)
+        i, j, d = (np.concatenate([none, *x]).astype(np.int64) for x in (zip(*found) if found else (none, none, none)))
+        a, b = np.minimum(c["node"][i], c["node"][j]), np.maximum(c["node"][i], c["node"][j])
+        a, b, d = np.unique(np.stack([a, b, d]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d)], names=["a", "b", "d"])
+
+    def pairs(c: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         fp = np.ascontiguousarray(np.stack([c[f] for f in FP], axis=1)).view(np.uint64)
         cuts = np.flatnonzero(np.diff(c["key"])) + 1
         cuts = np.concatenate([[0], cuts, [len(fp)]])
@@ -191,15 +216,16 @@ def candidates(classes: DataFrame, plan: tuple[int, int], labelled: bool, likene
             start = np.concatenate([[True], i[1:] != i[:-1]])[: len(i)]
             place = np.arange(len(i)) - np.maximum.accumulate(np.where(start, np.arange(len(i)), 0)) if len(i) else i
             found = [(i[place < NEAREST], j[place < NEAREST], d[place < NEAREST])]
+        many = 0
         for k in np.flatnonzero(sizes > WIDE):
             s = slice(cuts[k], cuts[k + 1])
             for i, j, d in bucket_pairs(fp[s], c["n"][s], c["label"][s] if labelled else None, likeness):
                 found.append((i + cuts[k], j + cuts[k], d))
-        none = np.zeros(0, np.int64)
-        i, j, d = (np.concatenate([none, *x]).astype(np.int64) for x in (zip(*found) if found else (none, none, none)))
-        a, b = np.minimum(c["node"][i], c["node"][j]), np.maximum(c["node"][i], c["node"][j])
-        a, b, d = np.unique(np.stack([a, b, d]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d)], names=["a", "b", "d"])
+                many += len(i)
+                if many >= FLUSH:
+                    yield batch(c, found)
+                    found, many = [], 0
+        yield batch(c, found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict[str, np.ndarray]] = []
@@ -212,10 +238,10 @@ def candidates(classes: DataFrame, plan: tuple[int, int], labelled: bool, likene
             if rows >= 100_000 and held[0]["key"][0] != held[-1]["key"][-1]:  # all but the last key are whole
                 c = {f: np.concatenate([h[f] for h in held]) for f in held[0]}
                 cut = int(np.flatnonzero(c["key"] == c["key"][-1])[0])
-                yield pairs({f: x[:cut] for f, x in c.items()})
+                yield from pairs({f: x[:cut] for f, x in c.items()})
                 held, rows = [{f: x[cut:] for f, x in c.items()}], rows - cut
         if held:
-            yield pairs({f: np.concatenate([h[f] for h in held]) for f in held[0]})
+            yield from pairs({f: np.concatenate([h[f] for h in held]) for f in held[0]})
 
     return keyed(classes, *plan).repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long, d long").distinct()
 
