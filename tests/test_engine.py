@@ -67,6 +67,32 @@ def test_cycle_clean_leaves_no_cycle(spark):
     assert len(model.topological(plan)) == len(plan.nodes)
 
 
+def test_cycle_clean_covers_the_whole_chain(spark):
+    c = duckdb.connect()
+    li = f"'{SF}/lineitem.parquet'"
+    want = c.sql(f"SELECT DISTINCT printf('part:%06d', a.l_partkey), printf('part:%06d', b.l_partkey) FROM {li} a JOIN {li} b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1").fetchall()
+    rows = catalog.queries()["cycle_clean"](spark, SF).collect()
+    assert sorted((r.source_id, r.target_id) for r in rows) == sorted(want)
+    assert any(r.suppressed and r.source_id != r.target_id for r in rows)
+
+
+def test_suppressed_edges_are_the_least_of_a_cycle_that_stays(spark):
+    import random
+
+    rng = random.Random(6)
+    n, pairs = [(f"n{i:02d}", rng.randrange(50)) for i in range(60)], set()
+    while len(pairs) < 400:
+        a, b = rng.sample(range(60), 2)
+        pairs.add((f"n{a:02d}", f"n{b:02d}"))
+    kept, gone = suppressed(spark, n, sorted(pairs))
+    count = dict(n)
+    assert kept | set(gone) == pairs and not kept & set(gone) and gone
+    for (s, t), r in gone.items():
+        ring = list(zip(r.cycle_members, [*r.cycle_members[1:], r.cycle_members[0]]))
+        assert (s, t) in ring and set(ring) - {(s, t)} <= kept
+        assert (s, t) == min(ring, key=lambda e: (count[e[0]] + count[e[1]], *e))
+
+
 def test_cocitation(spark):
     e = edges_of(spark, [("C", "A"), ("C", "B"), ("D", "A"), ("D", "B"), ("A", "A")])
     assert [tuple(r) for r in graph.cocitation(e).collect()] == [("A", "B", 2)]

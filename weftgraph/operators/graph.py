@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections import deque
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -193,8 +191,8 @@ def clean_cycles(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFra
     """Acyclic edges, and the suppressed ones with citation_sum and cycle_members.
 
     Nodes outside all cycles are peeled away by joins; the cyclic core is dealt out by component, and in each
-    component, cycles found from the least node on lose their edge with the least (citation sum, source,
-    target). Raises if a kept edge has an endpoint that is no node.
+    component, an edge goes if it is the least by (citation sum, source, target) of a cycle whose other
+    edges stay. One component is one task's work. Raises if a kept edge has an endpoint that is no node.
     """
     e = cut(edges.select("source_id", "target_id").distinct())
     orphan = unknown_endpoints(e.where("source_id <> target_id"), nodes).limit(1).collect()
@@ -222,38 +220,63 @@ def clean_cycles(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFra
 
 
 def _break_cycles(rows: pd.DataFrame) -> pd.DataFrame:
-    """Breaks the cycles of one component of the core, a shortest cycle through its least cyclic node at a time."""
-    weight = {(s, t): int(w) for s, t, w in zip(rows.source_id, rows.target_id, rows.citation_sum)}
-    ahead: dict[str, set[str]] = {}
-    for s, t in weight:
-        ahead.setdefault(s, set()).add(t)
+    """Edges of one component of the core that close a cycle with heavier ones, and a shortest such cycle each.
+
+    Edges join an acyclic graph from the greatest (citation sum, source, target) down. A topological order of
+    it is kept up: an edge along the order needs no search, and one against it only looks between its two places.
+    """
+    names = sorted({*rows.source_id, *rows.target_id})
+    place = {x: i for i, x in enumerate(names)}
+    links = sorted(zip((int(w) for w in rows.citation_sum), map(place.get, rows.source_id), map(place.get, rows.target_id)), reverse=True)
+    ahead: list[list[int]] = [[] for _ in names]
+    behind: list[list[int]] = [[] for _ in names]
+    at = list(range(len(names)))  # a node's place in the order
     out = []
-    for start in sorted(ahead):
-        while True:
-            came, todo = {start: None}, deque([start])
-            last = None
-            while todo and last is None:
-                x = todo.popleft()
-                for y in sorted(ahead.get(x, ())):
-                    if y == start:
-                        last = x
-                        break
-                    if y not in came:
-                        came[y] = x
-                        todo.append(y)
-            if last is None:
-                break
-            ring = [last]
-            while came[ring[-1]] is not None:
-                ring.append(came[ring[-1]])
-            ring.reverse()
-            links = list(zip(ring, [*ring[1:], start]))
-            s, t = min(links, key=lambda e: (weight[e], *e))
-            ahead[s].discard(t)
-            out.append((s, t, weight[s, t], ring))
+    for w, s, t in links:
+        if at[t] < at[s]:
+            ring = _closing(s, t, ahead, behind, at)
+            if ring is not None:
+                out.append((names[s], names[t], w, [names[x] for x in ring]))
+                continue
+        ahead[s].append(t)
+        behind[t].append(s)
     return pd.DataFrame(out, columns=["source_id", "target_id", "citation_sum", "cycle_members"])
 
 
+def _closing(s: int, t: int, ahead: list[list[int]], behind: list[list[int]], at: list[int]) -> list[int] | None:
+    """s and the nodes of a shortest path from t to s, both ways at once; without a path, the order is mended for s before t."""
+    low, high = at[t], at[s]
+    came, goes = {t: -1}, {s: -1}
+    down, up = [t], [s]
+    while down or up:
+        forth = bool(down) and (not up or len(down) <= len(up))
+        links, mine, other, level = (ahead, came, goes, down) if forth else (behind, goes, came, up)
+        fresh = []
+        for x in level:
+            for y in links[x]:
+                if y in mine or not low <= at[y] <= high:
+                    continue
+                if y in other:
+                    a, b = (x, y) if forth else (y, x)
+                    ring = []
+                    while a != -1:
+                        ring.append(a)
+                        a = came[a]
+                    ring.append(s)
+                    ring.reverse()
+                    while b != s:
+                        ring.append(b)
+                        b = goes[b]
+                    return ring
+                mine[y] = x
+                fresh.append(y)
+        down, up = (fresh, up) if forth else (down, fresh)
+    moved = sorted(goes, key=at.__getitem__) + sorted(came, key=at.__getitem__)
+    for x, i in zip(moved, sorted(at[x] for x in moved)):
+        at[x] = i
+    return None
+
+
 def enrich(nodes: DataFrame, *metrics: DataFrame) -> DataFrame:
     """Nodes with the columns of every metric; raises, when read, for a node that a metric lacks."""
     for m in metrics:

@@ -197,8 +197,8 @@ def pagerank(spark, d):
 
 @query("cycle_clean")
 def cycle_clean(spark, d):
-    e = corpus.trade(spark, d)
-    nodes = e.groupBy(F.col("target_id").alias("node_id")).agg(F.sum("strength").alias("citation_count")).join(_chain_nodes(e), "node_id", "right").fillna(0, ["citation_count"])
+    e = corpus.part_chain(spark, d, acyclic=False)
+    nodes = e.groupBy(F.col("target_id").alias("node_id")).agg(F.count("*").alias("citation_count")).join(_chain_nodes(e), "node_id", "right").fillna(0, ["citation_count"])
     kept, gone = graph.clean_cycles(nodes, e)
     return kept.select("source_id", "target_id", F.lit(False).alias("suppressed")).union(gone.select("source_id", "target_id", F.lit(True)))
 

@@ -30,13 +30,3 @@ def supplier_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
     up = s.select(F.concat(F.lit("supplier:"), "s_suppkey").alias("source_id"), F.concat(F.lit("nation:"), "s_nationkey").alias("target_id"))
     return up.union(n.select(F.concat(F.lit("nation:"), "n_nationkey"), F.concat(F.lit("region:"), "n_regionkey")))
-
-
-def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Region of an order line's supplier to region of its customer, with the lines as strength; has cycles and self-loops."""
-    li, o = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey"), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    n = table(spark, sf_dir, "nation")
-    s = table(spark, sf_dir, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_regionkey").alias("s"))
-    c = table(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_regionkey").alias("t"))
-    rows = li.join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey"))
-    return rows.groupBy("s", "t").agg(F.count("*").alias("strength")).select(F.concat(F.lit("region:"), "s").alias("source_id"), F.concat(F.lit("region:"), "t").alias("target_id"), "strength")
