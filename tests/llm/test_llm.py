@@ -168,6 +168,11 @@ def test_dense_fingerprints_lose_no_link():
     assert got == {(i, int(j)) for i in range(len(x)) for j in np.flatnonzero(np.bitwise_count(x[i + 1 :] ^ x[i]) <= 3) + i + 1}
 
 
+def test_simhash_refuses_more_bits_than_its_keys_meet(docs):
+    with pytest.raises(ValueError):
+        simhash.links(docs.select(F.col("doc_id").alias("fp")), simhash.MAX_BITS + 1)
+
+
 def test_token_counts_equal_the_library():
     import sentencepiece
 

@@ -153,7 +153,9 @@ def keyed(fps: DataFrame) -> DataFrame:
 
 
 def links(fps: DataFrame, most: int = MAX_BITS) -> DataFrame:
-    """Stars (a, b) that join the fingerprints linked within each task."""
+    """Stars (a, b) that join the fingerprints linked within each task. The keys hold for ``MAX_BITS`` at most."""
+    if most > MAX_BITS:
+        raise ValueError(f"most must be {MAX_BITS} or less, or links are lost")
     refs, bits = pivots(), key_bits()
 
     def stars(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
