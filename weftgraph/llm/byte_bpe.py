@@ -4,14 +4,17 @@ A text is cut into pieces by the tokenizer's pattern. A piece that is a token as
 token; any other starts as the tokens of its bytes, and a fold merges, again and again, the
 leftmost of the adjacent pairs with the lowest rank, looking ranks up in a literal map. The fold's
 state is one array that holds each token with its pair's rank, so that a merge looks up two ranks only.
+Ranks are below 2**20, and a piece has 2**23 bytes at most; a longer one raises.
 
-Frequent distinct pieces are folded once beforehand into a second literal map; every other piece is
-folded where it stands, so the map's size changes the speed and never the result. It is drawn from
-``memo_docs`` documents and holds ``memo`` pieces at most.
+Frequent distinct pieces are folded once beforehand, and their tokens decoded once, into a second literal map;
+every other piece is folded and decoded where it stands, so the map's size changes the speed and never the
+result. It is drawn from ``memo_docs`` documents and holds ``memo`` pieces at most.
 
-Decoding looks up each id's bytes and concatenates them.
+Decoding looks up each id's bytes and concatenates them. Tokens leave a piece as hexadecimal little-endian
+numbers, as wide as the vocabulary needs and with zeros between them up to 32 bits, so that a text's tokens
+are its pieces' joined.
 
-Edge cases: null and empty texts have no tokens; very long pieces are folded like others; repeated rows
+Edge cases: null and empty texts have no tokens; long pieces are folded like others; repeated rows
 and repeated or null doc_ids are rows of their own; an empty table gives no rows; other columns play
 no part.
 """
@@ -29,11 +32,11 @@ from weftgraph.llm.common import stored, table, texts
 
 SLOTS = 65_537
 SHIFT = 1 << 20
-#: State of a token that has no pair, less the token; above that of any pair.
-LAST = (2**31 - 1) * SHIFT
-#: The fold finds the next merge by rank and then place, in one number.
-UNPAIRED, UNPLACED = (2**31 - 1) << 31, (1 << 31) - 1
-#: Bytes of a piece up to which the fold's array keeps its length.
+#: Slots of the map of frequent pieces.
+WORD_SLOTS = 1 << 17
+#: A fold's numbers hold rank, place (23 bits) and token (20 bits).
+RANK_AT, NO_RANK, LONGEST = 43, (1 << 20) - 1, 1 << 23
+#: Length of the fold's array up to which a merge counts to its place.
 SHORT = 64
 #: Size of the map of frequent pieces, and of the sample of documents that it is drawn from.
 MEMO, MEMO_DOCS = 300_000, 30_000
@@ -52,16 +55,23 @@ def java_pattern(pattern: str) -> str:
     return pattern.replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]")
 
 
-def bound(value: Column, f) -> Column:
-    """``f`` of the value, which is computed once."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
+def bound(value: Column, kind: str, f) -> Column:
+    """``f`` of the value, which is computed once; ``kind`` is the result's type.
 
+    A fold over one element: reading an element of a transformed array would work out the array's type for each row.
+    """
+    return F.aggregate(F.array(value), F.lit(None).cast(kind), lambda _, x: f(x))
+
+
+def with_tables(rows: DataFrame, tables: Column, name: str, f, words: Column | None = None, kept: list[str] | None = None) -> DataFrame:
+    """Adds to ``kept`` columns (all) the column ``name``, ``f`` of the lookup tables.
 
-def with_tables(rows: DataFrame, tables: Column, name: str, f, words: Column | None = None) -> DataFrame:
-    """Adds the column ``name``, ``f`` of the lookup tables, which the optimiser moves into it."""
+    The tables are subqueries, which a higher-order function may not hold as written, so they are columns first and
+    the optimiser moves them into it. It does so only if what ``f`` reads is not also in ``kept``, or is a stored column.
+    """
     held = rows.select("*", tables.alias("bpe_tables"), *([words.alias("bpe_words")] if words is not None else []))
-    value = bound(F.col("bpe_tables"), f) if words is None else bound(F.col("bpe_tables"), lambda t: bound(F.col("bpe_words"), lambda w: f(t, w)))
-    return held.select(*rows.columns, value.alias(name))
+    inner = f if words is None else lambda t: F.get(F.transform(F.array(F.col("bpe_words")), lambda w: f(t, w)), F.lit(0))
+    return held.select(*(rows.columns if kept is None else kept), F.get(F.transform(F.array(F.col("bpe_tables")), inner), F.lit(0)).alias(name))
 
 
 def literal(spark: SparkSession, **tables: tuple[object, str]) -> Column:
@@ -74,7 +84,7 @@ def literal(spark: SparkSession, **tables: tuple[object, str]) -> Column:
 
 
 def rank_map(ranks: dict[bytes, int]) -> dict[str, tuple[object, str]]:
-    """Literal tables: keys and ranks of all mergeable pairs by slot, the fold's state of a last byte and of each byte before another."""
+    """Literal tables: keys and ranks of all mergeable pairs by slot, the fold's number of a last byte and of each byte before another, at place 0."""
     keys: list[list[int]] = [[] for _ in range(SLOTS)]
     values: list[list[int]] = [[] for _ in range(SLOTS)]
     for token, rank in ranks.items():
@@ -85,67 +95,65 @@ def rank_map(ranks: dict[bytes, int]) -> dict[str, tuple[object, str]]:
                 keys[key % SLOTS].append(key)
                 values[key % SLOTS].append(rank)
     own = [ranks[bytes([i])] for i in range(256)]
-    first = [(ranks[pair] * SHIFT if (pair := bytes([a, b])) in ranks else LAST) + own[a] for a in range(256) for b in range(256)]
+    first = [(ranks.get(bytes([a, b]), NO_RANK) << RANK_AT) + own[a] for a in range(256) for b in range(256)]
     kinds = {"keys": "array<array<bigint>>", "ranks": "array<array<bigint>>", "bytes": "array<bigint>", "first": "array<bigint>"}
-    return {n: (v, k) for (n, k), v in zip(kinds.items(), (keys, values, [LAST + x for x in own], first))}
+    return {n: (v, k) for (n, k), v in zip(kinds.items(), (keys, values, [(NO_RANK << RANK_AT) + x for x in own], first))}
+
+
+def slot_of(piece: Column) -> Column:
+    return F.hash(piece).bitwiseAND(WORD_SLOTS - 1)
 
 
 def word_map(words: DataFrame) -> Column:
-    """A map from pieces to their tokens, in 65,536 slots by the piece's hash, as one value that the plan holds as a subquery."""
-    slot = F.xxhash64("w").bitwiseAND(0xFFFF).cast("int").alias("slot")
-    slots = words.select(slot, "w", "ids").groupBy("slot").agg(F.collect_list(F.struct("w", "ids")).alias("e"))
-    every = words.sparkSession.range(1 << 16).select(F.col("id").cast("int").alias("slot"))
+    """A map from pieces to (p, d), in slots by the piece's hash, as one value that the plan holds as a subquery."""
+    slots = words.select(slot_of(F.col("w")).alias("slot"), "w", F.struct("p", "d").alias("v")).groupBy("slot").agg(F.collect_list(F.struct("w", "v")).alias("e"))
+    every = words.sparkSession.range(WORD_SLOTS).select(F.col("id").cast("int").alias("slot"))
     full = every.join(slots, "slot", "left").agg(F.sort_array(F.collect_list(F.struct("slot", "e"))).alias("all"))
-    return full.select(F.transform("all", lambda s: F.map_from_entries(F.coalesce(s["e"], F.array().cast("array<struct<w:string,ids:array<int>>>")))).alias("words")).scalar()
+    return full.select(F.transform("all", lambda s: F.map_from_entries(F.coalesce(s["e"], F.array().cast("array<struct<w:string,v:struct<p:string,d:string>>>")))).alias("words")).scalar()
 
 
 def looked_up(tables: Column, a: Column, b: Column) -> Column:
     """Rank of the pair of tokens (a, b); null where they don't merge or one is null."""
 
-    return bound(a * SHIFT + b, lambda key: F.get(tables["pairs"], (key % SLOTS).cast("int"))[key])
+    return bound(a * SHIFT + b, "bigint", lambda key: F.get(tables["pairs"], (key % SLOTS).cast("int"))[key])
 
 
 def folded(tables: Column, piece: Column, short: int = SHORT) -> Column:
     """Tokens of one piece by ranked merges.
 
-    The state is one array: for each token, the rank of its pair with the next token (``LAST`` for none)
-    times SHIFT, plus the token. The next merge is of the lowest rank at the first place. Pieces of ``short``
-    bytes or less keep the array's length, with nulls at its end; longer ones cut and join it, which costs
-    more a merge and less a byte.
+    The state is one array with a number for each token: the rank of its pair with the next token (``NO_RANK`` for
+    none), the place of its first byte, and the token. So the least number is the lowest rank at its first
+    place. Its index is the count of numbers with lower places; where more than ``short`` are left, array_position
+    serves, which costs more a call, as it throws where it finds, and less a number.
     """
-    units = F.transform(F.split(F.decode(F.encode(piece, "UTF-8"), "ISO-8859-1"), ""), lambda c: F.ascii(c))
-    start = lambda u: F.transform(u, lambda x, i: F.coalesce(F.get(tables["first"], x * 256 + F.get(u, i + 1)), F.get(tables["bytes"], x)))
-    done = lambda s: F.transform(F.filter(s, lambda x: x.isNotNull()), lambda x: (x % SHIFT).cast("int"))
+    units = F.transform(F.split(F.decode(F.encode(piece, "UTF-8"), "ISO-8859-1"), ""), F.ascii)
+    token_of = lambda x: x.bitwiseAND(SHIFT - 1)
+    placed = lambda x: x.bitwiseAND((1 << RANK_AT) - 1)  # noqa: E731  place and token
 
-    def entry(token: Column, following: Column) -> Column:
-        return F.coalesce(looked_up(tables, token, following) * SHIFT, F.lit(LAST)) + token
+    def start(u: Column) -> Column:
+        first = F.transform(u, lambda x, i: F.coalesce(F.get(tables["first"], x * 256 + F.get(u, i + 1)), F.get(tables["bytes"], x)) + F.shiftleft(i.cast("bigint"), 20))
+        return F.when(F.size(u) <= LONGEST, first).otherwise(F.raise_error(F.lit(f"a piece has more than {LONGEST} bytes")).cast("array<bigint>"))
 
-    def before(x: Column, best: Column) -> Column:
-        return bound(x % SHIFT, lambda token: entry(token, best))
+    def entry(left: Column, following: Column) -> Column:
+        return F.shiftleft(F.coalesce(looked_up(tables, token_of(left), following), F.lit(NO_RANK).cast("bigint")), RANK_AT) + left
 
     def merge(state: Column, _: Column) -> Column:
-        def at(least: Column) -> Column:  # rank and place; array_position would serve, but it throws where it finds
-            def joined(i: Column) -> Column:
-                best = F.shiftright(least, 31)
-                return F.transform(state, lambda x, j: F.when(j > i, F.get(state, j + 1)).when(j == i, entry(best, F.get(state, i + 2) % SHIFT)).when(j == i - 1, before(x, best)).otherwise(x))
-
-            return F.when(least < UNPAIRED, bound(least.bitwiseAND(UNPLACED).cast("int"), joined)).otherwise(state)
-
-        return bound(F.array_min(F.transform(state, lambda x, j: F.shiftleft(F.shiftright(x, 20), 31) + j)), at)
-
-    def merge_long(state: Column, _: Column) -> Column:
         def at(least: Column) -> Column:
-            def joined(i: Column) -> Column:  # 1-based place of the pair's left token
-                best = F.shiftright(least, 20)
-                new = lambda rest: F.concat(rest, F.array(entry(best, F.get(state, i + 1) % SHIFT)), F.slice(state, i + 2, F.size(state)))
-                return F.when(i > 1, new(F.concat(F.slice(state, F.lit(1), i - 2), F.array(before(F.get(state, i - 2), best))))).otherwise(new(F.array().cast("array<bigint>")))
+            own = placed(least)
+
+            def joined(i: Column) -> Column:  # count of the numbers before the pair's left token
+                best = F.shiftright(least, RANK_AT)
+                new = entry(own - token_of(least) + best, token_of(F.get(state, i + 2)))
+                all_but = F.filter(state, lambda _, j: j != i + 1)  # slices and concat are several times as slow
+                return F.transform(all_but, lambda x, j: F.when(j == i, new).when(j == i - 1, entry(placed(x), best)).otherwise(x))
 
-            return F.when(least < LAST, bound(F.array_position(state, least).cast("int"), joined)).otherwise(state)
+            index = F.when(F.size(state) <= short, F.size(F.filter(state, lambda x: placed(x) < own))).otherwise((F.array_position(state, least) - 1).cast("int"))
+            return F.when(least < NO_RANK << RANK_AT, bound(index, "array<bigint>", joined)).otherwise(state)
 
-        return bound(F.array_min(state), at)
+        return bound(F.array_min(state), "array<bigint>", at)
 
-    fold = lambda u, f: F.aggregate(F.slice(u, F.lit(2), F.size(u)), start(u), f, done)
-    return bound(units, lambda u: F.when(F.size(u) <= short, fold(u, merge)).otherwise(fold(u, merge_long)))
+    done = lambda s: F.transform(s, lambda x: token_of(x).cast("int"))
+    return bound(units, "array<int>", lambda u: F.aggregate(F.slice(u, F.lit(2), F.size(u)), start(u), merge, done))
 
 
 def pieces_of(text: Column, pattern: str) -> Column:
@@ -153,41 +161,45 @@ def pieces_of(text: Column, pattern: str) -> Column:
 
 
 def memo_words(rows: DataFrame, ranks: dict[bytes, int], pattern: str, memo: int, memo_docs: int) -> DataFrame:
-    """w, ids: the vocabulary's own text pieces and the most frequent distinct pieces of a sample, with their tokens."""
+    """w, p, d: the vocabulary's own text pieces and the most frequent distinct pieces of a sample, with their tokens and what these decode to."""
     spark = rows.sparkSession
-    own = []
+    own, parts = [], byte_tables(ranks)["packed"][0]
     for token, rank in ranks.items():  # a piece that is a token is that token
         try:
-            own.append((token.decode(), [rank]))
+            own.append((token.decode(), parts[rank]))
         except UnicodeDecodeError:
             continue
-    words = spark.createDataFrame(own, "w string, ids array<int>")
+    words = spark.createDataFrame([(w, p, w) for w, p in own], "w string, p string, d string")
     if memo:
         share = min(1.0, memo_docs / max(1, rows.count()))
         some = rows.select("text").sample(False, share, 1) if share < 1 else rows.select("text")
         seen = some.select(F.explode(pieces_of(F.col("text"), pattern)).alias("w")).groupBy("w").count().where(F.length("w") <= 64)
         seen = seen.orderBy(F.desc("count"), "w").limit(memo).select("w").join(words.select("w"), "w", "left_anti")
         seen = seen.repartition(16)
-        words = words.union(with_tables(seen, literal(spark, **rank_map(ranks)), "ids", lambda t: folded(t, F.col("w"))))
+        tables = literal(spark, **rank_map(ranks), **byte_tables(ranks))
+        seen = with_tables(seen, tables, "v", lambda t: bound(F.col("w"), WORD, lambda w: F.struct(w.alias("w"), coded(t, w, gap_of(ranks)).alias("c"))), kept=[]).select("v.w", "v.c.*")
+        words = words.union(seen)
     return stored(words, "pieces")
 
 
-def ids_of(t: Column, words: Column, text: Column, pattern: str) -> Column:
-    """Tokens of a text by the lookup tables t and the map of known pieces."""
+#: A piece's tokens, hexadecimal, and what they decode to.
+PIECE = "struct<p:string,d:string>"
+WORD = f"struct<w:string,c:{PIECE}>"
 
-    def one(w: Column) -> Column:
-        known = F.get(words, F.xxhash64(w).bitwiseAND(0xFFFF).cast("int"))[w]
-        return F.coalesce(known, folded(t, w))
 
-    return F.flatten(F.transform(pieces_of(text, pattern), one))
+def byte_tables(ranks: dict[bytes, int]) -> dict[str, tuple[object, str]]:
+    """Of each id: its little-endian form, without the zeros that ``gap_of`` puts between ids, and the bytes it stands for, both hexadecimal."""
+    size = max(ranks.values()) + 1
+    width = 4 - len(gap_of(ranks)) // 2
+    pieces = [""] * size
+    for token, rank in ranks.items():
+        pieces[rank] = token.hex()
+    return {"packed": ([i.to_bytes(width, "little").hex() for i in range(size)], "array<string>"), "text": (pieces, "array<string>")}
 
 
-def encoded(rows: DataFrame, path: str, pattern: str, memo: int = MEMO, memo_docs: int = MEMO_DOCS) -> DataFrame:
-    """Adds ``ids``, the tokens of ``text``."""
-    ranks = ranks_of(path)
-    words = memo_words(rows, ranks, pattern, memo, memo_docs)
-    tables = literal(rows.sparkSession, **rank_map(ranks))
-    return with_tables(rows, tables, "ids", lambda t, w: ids_of(t, w, F.col("text"), pattern), word_map(words))
+def gap_of(ranks: dict[bytes, int]) -> str:
+    """What fills an id of this vocabulary up to 32 bits, hexadecimal."""
+    return "00" * (4 - max(1, (max(ranks.values()).bit_length() + 7) // 8))
 
 
 def joined_bytes(ids: Column, parts: Column) -> Column:
@@ -195,33 +207,60 @@ def joined_bytes(ids: Column, parts: Column) -> Column:
     return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(parts, i)), ""))
 
 
-def byte_tables(ranks: dict[bytes, int]) -> dict[str, tuple[object, str]]:
-    """Of each id: its little-endian 32-bit form and the bytes it stands for, both hexadecimal."""
-    size = max(ranks.values()) + 1
-    pieces = [""] * size
-    for token, rank in ranks.items():
-        pieces[rank] = token.hex()
-    return {"packed": ([i.to_bytes(4, "little").hex() for i in range(size)], "array<string>"), "text": (pieces, "array<string>")}
+def coded(t: Column, piece: Column, gap: str) -> Column:
+    """A piece's tokens by folding, and their bytes by decoding these; a whole piece's bytes are text again."""
+    return bound(folded(t, piece), PIECE, lambda ids: F.struct(
+        F.array_join(F.transform(ids, lambda i: F.get(t["packed"], i)), gap).alias("p"), joined_bytes(ids, t["text"]).cast("string").alias("d")
+    ))
+
+
+#: A whole text, its tokens (little-endian, 32 bits each) and what they decode to.
+CODED = "struct<text:string,ids:binary,bytes:binary>"
+
+
+def text_codes(t: Column, words: Column, text: Column, pattern: str, gap: str) -> Column:
+    """The text with its codes, by the lookup tables t and the map of known pieces."""
+
+    def whole(found: Column) -> Column:
+        ids = F.concat(F.array_join(found["p"], gap), F.when(F.size(found) > 0, F.lit(gap)).otherwise(F.lit("")))
+        return F.struct(text.alias("text"), F.unhex(ids).alias("ids"), F.array_join(found["d"], "").cast("binary").alias("bytes"))
+
+    one = lambda w: F.coalesce(F.get(words, slot_of(w))[w], coded(t, w, gap))
+    return bound(F.transform(pieces_of(text, pattern), one), CODED, whole)
+
+
+def with_codes(rows: DataFrame, path: str, pattern: str, memo: int, memo_docs: int) -> DataFrame:
+    """The columns of ``rows`` but its text, and ``codes`` with the text, ids and bytes."""
+    ranks = ranks_of(path)
+    words = word_map(memo_words(rows, ranks, pattern, memo, memo_docs))
+    tables, gap = literal(rows.sparkSession, **rank_map(ranks), **byte_tables(ranks)), gap_of(ranks)
+    codes = lambda t, w: bound(F.col("text"), CODED, lambda x: text_codes(t, w, x, pattern, gap))
+    return with_tables(rows, tables, "codes", codes, words, [c for c in rows.columns if c != "text"])
+
+
+def encoded(rows: DataFrame, path: str, pattern: str, memo: int = MEMO, memo_docs: int = MEMO_DOCS) -> DataFrame:
+    """Adds ``ids``, the tokens of ``text``."""
+    low = lambda h, at: F.conv(F.substring(h, at, 2), 16, 10).cast("int")
+    hexes = F.regexp_extract_all(F.hex("codes.ids"), F.lit("([0-9A-F]{8})"), F.lit(1))
+    ids = F.transform(hexes, lambda h: low(h, 1) + low(h, 3) * 256 + low(h, 5) * 65_536 + low(h, 7) * 16_777_216)
+    own = [F.col("codes.text").alias("text") if c == "text" else F.col(c) for c in rows.columns]
+    return with_codes(rows, path, pattern, memo, memo_docs).select(*own, ids.alias("ids"))
 
 
 def decoded(rows: DataFrame, path: str) -> DataFrame:
     """Adds ``bytes``, what the tokens in ``ids`` stand for."""
     tables = literal(rows.sparkSession, text=byte_tables(ranks_of(path))["text"])
-    return with_tables(rows, tables, "bytes", lambda t: joined_bytes(F.col("ids"), t["text"]))
+    both = with_tables(rows, tables, "both", lambda t: bound(F.col("ids"), "struct<ids:array<int>,bytes:binary>", lambda ids: F.struct(ids.alias("ids"), joined_bytes(ids, t["text"]).alias("bytes"))), kept=[c for c in rows.columns if c != "ids"])
+    return both.select(*[F.col("both.ids").alias("ids") if c == "ids" else F.col(c) for c in rows.columns], "both.bytes")
 
 
 def tokens_digest(docs: DataFrame, path: str, pattern: str, memo: int = MEMO, memo_docs: int = MEMO_DOCS) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    ranks, rows = ranks_of(path), texts(docs)
-    words = memo_words(rows, ranks, pattern, memo, memo_docs)
-    tables = literal(rows.sparkSession, **rank_map(ranks), **byte_tables(ranks))
-
-    def digest(t: Column, w: Column) -> Column:
-        return bound(ids_of(t, w, F.col("text"), pattern), lambda ids: F.struct(
-            F.size(ids).cast("long").alias("n_tokens"), F.sha2(joined_bytes(ids, t["packed"]), 256).alias("ids_sha256"), F.sha2(joined_bytes(ids, t["text"]), 256).alias("decoded_sha256"),
-        ))
-
-    return with_tables(rows, tables, "d", digest, word_map(words)).select(F.col("doc_id").cast("long").alias("doc_id"), "d.*")
+    digest = bound(F.col("codes"), "struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>", lambda c: F.struct(
+        (F.octet_length(c["ids"]) / 4).cast("long").alias("n_tokens"), F.sha2(c["ids"], 256).alias("ids_sha256"), F.sha2(c["bytes"], 256).alias("decoded_sha256"),
+    ))
+    rows = with_codes(texts(docs), path, pattern, memo, memo_docs)
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), digest.alias("d")).select("doc_id", "d.*")
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
