@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from weftgraph.sources.store import cut
@@ -89,15 +89,15 @@ def edge_mismatches(parts: list[DataFrame], fields: list[str]) -> DataFrame:
 
 def distances(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """root, node_id, depth: hops along the edges from each root. One round of joins per level, each written."""
-    out = cut(roots.select(F.col("node_id").alias("root"), "node_id", F.lit(0).alias("depth")))
-    frontier, depth = out, 0
+    out = frontier = cut(roots.select(F.col("node_id").alias("root"), "node_id", F.lit(0).alias("depth")))
+    depth = 0
     while True:
         depth += 1
         step = frontier.join(edges, F.col("node_id") == F.col("source_id")).select("root", F.col("target_id").alias("node_id")).distinct()
         frontier = cut(step.join(out, ["root", "node_id"], "left_anti").withColumn("depth", F.lit(depth)))
         if not frontier.limit(1).count():
             return out
-        out = cut(out.unionByName(frontier))
+        out = out.unionByName(frontier)  # levels stay the tables they were written as
 
 
 def flipped(edges: DataFrame) -> DataFrame:
@@ -127,32 +127,31 @@ def depth_metrics(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataF
     return nodes.select("node_id").join(both, "node_id").select("node_id", "hop_depth_per_root", way.alias("traversal_direction"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 60, tolerance: float = 1e-12, every: int = 5) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 60, tolerance: float = 1e-12) -> DataFrame:
     """node_id, pagerank. Uniform teleport, and uniform spread of what nodes without references hold.
 
-    Parallel edges count once. The ranks are written every ``every`` rounds, when their change is looked at.
+    Parallel edges count once. Each round reads the edges and the written ranks once and writes new ranks; what nodes
+    without references hold, and how much the ranks moved, are observed while they are written.
     """
     if not 0 <= damping <= 1:
         raise ValueError("damping must be between 0 and 1")
     e = edges.select("source_id", "target_id").distinct()
     degree = e.groupBy("source_id").agg(F.count("*").alias("degree"))
     e = cut(e.join(degree, "source_id"))
-    n = nodes.select("node_id").distinct().count()
+    base = cut(nodes.select("node_id").distinct().join(degree.select(F.col("source_id").alias("node_id"), "degree"), "node_id", "left"))
+    n, ends = base.agg(F.count("*"), F.count_if(F.col("degree").isNull())).first()
     if not n:
         return nodes.select("node_id", F.lit(0.0).alias("pagerank"))
-    base = cut(nodes.select("node_id").distinct().join(degree.select(F.col("source_id").alias("node_id"), "degree"), "node_id", "left"))
-    ranks = base.select("node_id", "degree", F.lit(1.0 / n).alias("pagerank"))
-    for i in range(1, rounds + 1):
+    ranks, loose = base.withColumn("pagerank", F.lit(1.0 / n)), ends / n
+    for _ in range(rounds):
         got = e.join(ranks.select("node_id", "pagerank"), F.col("source_id") == F.col("node_id")).groupBy(F.col("target_id").alias("to")).agg(F.sum(F.col("pagerank") / F.col("degree")).alias("got"))
-        loose = ranks.agg(F.coalesce(F.sum(F.when(F.col("degree").isNull(), F.col("pagerank"))), F.lit(0.0)).alias("loose"))
-        new = ranks.join(got, F.col("node_id") == F.col("to"), "left").join(F.broadcast(loose))  # one row
-        fresh = F.lit((1 - damping) / n) + F.lit(damping) * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / F.lit(float(n)))
-        new = new.select("node_id", "degree", fresh.alias("pagerank"), F.col("pagerank").alias("old"))
-        if i % every == 0 or i == rounds:
-            new = cut(new)
-            if tolerance and new.agg(F.sum(F.abs(F.col("pagerank") - F.col("old")))).first()[0] < tolerance:
-                return new.select("node_id", "pagerank")
-        ranks = new.select("node_id", "degree", "pagerank")
+        fresh = F.lit((1 - damping) / n) + F.lit(damping) * (F.coalesce("got", F.lit(0.0)) + F.lit(loose / n))
+        new = ranks.join(got, F.col("node_id") == F.col("to"), "left").select("node_id", "degree", fresh.alias("pagerank"), F.abs(fresh - F.col("pagerank")).alias("moved"))
+        seen = Observation()
+        ranks = cut(new.observe(seen, F.coalesce(F.sum(F.when(F.col("degree").isNull(), F.col("pagerank"))), F.lit(0.0)).alias("loose"), F.sum("moved").alias("moved"))).drop("moved")
+        loose = seen.get["loose"]
+        if seen.get["moved"] < tolerance:
+            break
     return ranks.select("node_id", "pagerank")
 
 
@@ -174,9 +173,10 @@ def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 12) -> DataFra
     """node_id, community_id by synchronous label propagation with damping by node order; every node gets a label.
 
     A node takes the label most of its neighbours have, ties to the least; half of the nodes, by hash and
-    round, move in each round, so two-sided graphs settle. The algorithm's name is label_propagation.
+    round, move in each round, so two-sided graphs settle. A self-loop is a vote for the node's own label. The
+    algorithm's name is label_propagation.
     """
-    e = cut(edges.select("source_id", "target_id").where("source_id <> target_id").distinct())
+    e = edges.select("source_id", "target_id").distinct()
     e = cut(e.union(flipped(e)).distinct())
     label = cut(nodes.select("node_id", F.col("node_id").alias("community_id")))
     for i in range(rounds):

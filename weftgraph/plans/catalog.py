@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions import scalars
-from weftgraph.operators import graph
+from weftgraph.operators import graph, traversal
 from weftgraph.plans import model
 from weftgraph.sources import corpus
-from weftgraph.sources.store import canonical, table
+from weftgraph.sources import works as works_source
+from weftgraph.sources.store import canonical, cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -368,6 +369,81 @@ def json_props(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.get_json_object("props", "$.k").cast("bigint")).alias("k"))
 
 
+FORWARD = """
+s AS (SELECT target_id AS seed FROM v2 GROUP BY 1 ORDER BY count(*) DESC, seed LIMIT 3), k AS (SELECT target_id AS node_id, count(*) AS c FROM v2 GROUP BY 1),
+n AS (SELECT source_id AS node_id FROM v2 UNION SELECT target_id FROM v2), w AS (SELECT node_id, coalesce(c, 0) AS c, 1990 + split_part(node_id, ':', 2)::INT % 10 AS y FROM n LEFT JOIN k USING (node_id))"""
+
+
+def _works(spark, d):
+    """Works of the part chain: cited counts, a year, and the three seeds most cited."""
+    e = corpus.part_chain(spark, d)
+    counts = e.groupBy(F.col("target_id").alias("node_id")).agg(F.count("*").alias("citation_count"))
+    works = _chain_nodes(e).join(counts, "node_id", "left").select("node_id", F.coalesce("citation_count", F.lit(0)).alias("citation_count"), (F.lit(1990) + F.substring_index("node_id", ":", -1).cast("int") % 10).alias("year"))
+    seeds = counts.orderBy(F.desc("citation_count"), "node_id").limit(3).join(works.select("node_id", "year"), "node_id").withColumn("hop_depth", F.lit(0)).withColumn("root_ids", F.array("node_id"))
+    return e, works, cut(seeds)
+
+
+@query("forward_edges", f"""
+WITH {V2}, {FORWARD}, p AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY w.c DESC, v2.source_id) AS r FROM v2 JOIN s ON target_id = seed JOIN w ON node_id = source_id)
+SELECT source_id, target_id, y::INT AS citing_paper_year FROM p WHERE r <= 10 AND source_id NOT IN (SELECT seed FROM s)""")
+def forward_edges(spark, d):
+    """Citers of three seeds, a page of ten of each in the order asked for."""
+    e, works, seeds = _works(spark, d)
+    papers, edges, _ = traversal.forward_traverse(seeds, works, e, 1000, 0.1, 1.0, 0.5, 2000, "cited_by_count:desc", page=10)
+    return edges.select("source_id", "target_id", "citing_paper_year")
+
+
+@query("backward_edges", f"""
+WITH {V2}, {FORWARD}, a AS (SELECT DISTINCT target_id AS x FROM v2 JOIN s ON source_id = seed), b AS (SELECT x FROM a UNION SELECT target_id FROM v2 JOIN a ON source_id = x),
+i AS (SELECT x FROM b UNION SELECT seed FROM s)
+SELECT source_id, target_id, y::INT AS citing_paper_year FROM v2 JOIN w ON node_id = source_id WHERE (source_id IN (SELECT seed FROM s) OR source_id IN (SELECT x FROM a)) AND target_id IN (SELECT x FROM i)""")
+def backward_edges(spark, d):
+    """Edges of two hops of references from three seeds, with every paper reached kept."""
+    e, works, seeds = _works(spark, d)
+    return traversal.backward_traverse(seeds, works, e, 2**31 - 1, 0.1, 2000)[1].select("source_id", "target_id", "citing_paper_year")
+
+
+@query("assembled_nodes", f"""
+WITH {V2}, {FORWARD}, a AS (SELECT target_id AS x, seed FROM v2 JOIN s ON source_id = seed), b AS (SELECT x, seed, 1 AS h FROM a UNION SELECT target_id, seed, 2 FROM v2 JOIN a ON source_id = x),
+f AS (SELECT source_id AS x, seed, row_number() OVER (PARTITION BY seed ORDER BY w.c DESC, source_id) AS r FROM v2 JOIN s ON target_id = seed JOIN w ON node_id = source_id),
+u AS (SELECT seed AS x, seed, 0 AS h, 0 AS part FROM s UNION ALL SELECT x, seed, h, 1 FROM b WHERE x NOT IN (SELECT seed FROM s) UNION ALL SELECT x, seed, 1, 2 FROM f WHERE r <= 10 AND x NOT IN (SELECT seed FROM s)),
+g AS (SELECT x, part, min(h) AS h FROM u GROUP BY ALL)
+SELECT x AS node_id, (SELECT arg_min(g.h, g.part) FROM g WHERE g.x = u.x)::INT AS hop_depth, string_agg(DISTINCT seed, ',' ORDER BY seed) AS roots FROM u GROUP BY x""")
+def assembled_nodes(spark, d):
+    """Seeds, backward and forward papers assembled: depth of the first record, roots of all."""
+    e, works, seeds = _works(spark, d)
+    back = traversal.backward_traverse(seeds, works, e, 2**31 - 1, 0.1, 2000)
+    forth = traversal.forward_traverse(seeds, works, e, 1000, 0.1, 1.0, 0.5, 2000, "cited_by_count:desc", page=10)[:2]
+    return traversal.assemble(seeds, back, forth)[0].select("node_id", "hop_depth", F.array_join("root_ids", ",").alias("roots"))
+
+
+@query("result_edges", f"""
+WITH {V1}, c AS (SELECT a.target_id AS source_id, b.target_id AS target_id, count(*) AS strength FROM v1 a JOIN v1 b ON a.source_id = b.source_id AND a.target_id < b.target_id GROUP BY ALL HAVING count(*) >= 2)
+SELECT source_id, target_id, 'cites' AS type, NULL::BIGINT AS strength FROM v1 UNION ALL SELECT source_id, target_id, 'co_citation', strength FROM c""")
+def result_edges(spark, d):
+    e = corpus.order_part(spark, d)
+    return traversal.result_edges(e, graph.cocitation(e))
+
+
+@query("citing_sample", """
+WITH c AS (SELECT 'supplier:' || l_suppkey AS seed, 'order:' || l_orderkey || ':' || l_linenumber AS node_id, year(o_orderdate)::INT AS year, l_quantity::BIGINT AS citation_count FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+b AS (SELECT *, CASE WHEN 1998 - year < 2 THEN 'recent' WHEN 1998 - year < 4 THEN 'mid' ELSE 'early' END AS band FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY seed, band ORDER BY citation_count DESC, node_id) AS k FROM b)
+SELECT seed, node_id, band FROM r WHERE k <= CASE band WHEN 'early' THEN 10 ELSE 20 END""")
+def citing_sample(spark, d):
+    """The sample by bands of years of each supplier's order lines."""
+    li, o = table(spark, d, "lineitem"), table(spark, d, "orders")
+    c = li.join(o, li.l_orderkey == o.o_orderkey).select(F.concat(F.lit("supplier:"), "l_suppkey").alias("seed"), F.concat(F.lit("order:"), "l_orderkey", F.lit(":"), "l_linenumber").alias("node_id"), F.year("o_orderdate").alias("year"), F.col("l_quantity").cast("long").alias("citation_count"))
+    banded = c.withColumn("band", works_source.year_band(F.col("year"), 1998, 2, 4))
+    return works_source.ranked_sample(banded).select("seed", "node_id", "band")
+
+
+@query("community_size", f"WITH RECURSIVE {V4}, e AS (SELECT * FROM v4 UNION SELECT target_id, source_id FROM v4), w AS (SELECT source_id AS n, source_id AS seen FROM e UNION SELECT w.n, target_id FROM w JOIN e ON source_id = seen), m AS (SELECT n, min(seen) AS c FROM w GROUP BY 1) SELECT count(DISTINCT c) AS community_count, count(DISTINCT c) < 3 AS below_min, count(DISTINCT c) > 4 AS above_max FROM m")
+def community_size(spark, d):
+    e = corpus.supplier_tree(spark, d)
+    labels = graph.components(_chain_nodes(e), e).withColumnRenamed("component", "community_id")
+    return traversal.community_summary(labels, 3, 4).drop("algorithm")
+
+
 def _plan_frames(spark):
     p = model.citation_plan({"llm": None})
     nodes = spark.createDataFrame([(i, n.id, n.type) for i, n in enumerate(p.nodes)], "ord int, id string, type string")
@@ -431,7 +507,7 @@ def citation_pipeline(spark, d):
     seeds = [r.node_id for r in works.orderBy(F.desc("citation_count"), "node_id").limit(2).collect()]
     params = {"seeds": seeds, "n_backward": 3200, "n_forward": 20, "lambda_decay": 0.1, "alpha": 1.0, "beta": 0.0, "current_year": 2000, "min_strength": 2, "damping": 0.85, "rounds": 4}
     plan = model.citation_plan(params)
-    out = halted(plan, run(plan, registry(works, e)))["enrich"]["enriched_nodes"]
+    out = halted(plan, run(plan, registry(works, e), {"model_client": None}))["enrich"]["enriched_nodes"]
     return out.select("node_id", "hop_depth", "citation_count", "traversal_direction", F.round("pagerank", 9).alias("pagerank"), "community_id")
 
 

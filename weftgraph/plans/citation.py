@@ -6,12 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions import scalars
-from weftgraph.operators import graph
+from weftgraph.operators import annotate, graph, traversal
 from weftgraph.plans.runner import Registry
 
 
+def _none(like: DataFrame, schema: str) -> DataFrame:
+    return like.sparkSession.createDataFrame([], schema)
+
+
 def registry(works: DataFrame, cites: DataFrame) -> Registry:
-    """Stages over works (node_id, citation_count, year, ...) and cites (source_id, target_id)."""
+    """Stages over works (node_id, citation_count, year, counts_by_year and more if there are) and cites (source_id, target_id).
+
+    Reads of a table fail as a whole or not at all, so ``failed_batches`` and ``failed_seeds`` are empty here; with an online
+    source, ``sources.works.lookup`` gives them. ``annotate`` takes the resource ``model_client``, a function from prompt to answer.
+    """
     r = Registry()
 
     @r.register("resolve")
@@ -21,32 +29,24 @@ def registry(works: DataFrame, cites: DataFrame) -> Registry:
         seeds = found.where(F.col("citation_count").isNotNull())
         if not seeds.limit(1).count():
             raise ValueError("no seed was found")
-        return {"seeds": seeds.drop("ord"), "seed_failures": found.where(F.col("citation_count").isNull()).select("node_id", F.lit("no results").alias("reason"))}
+        seeds = seeds.withColumn("hop_depth", F.lit(0)).withColumn("root_ids", F.array("node_id"))
+        return {"seeds": seeds, "seed_failures": found.where(F.col("citation_count").isNull()).select("node_id", F.lit("no results").alias("reason"))}
 
     @r.register("backward")
     def backward(params, inputs):
-        near = graph.backward(inputs["seeds"], cites).join(works, "node_id")
-        score = scalars.backward_score(F.col("citation_count"), F.col("hop_depth"), F.col("year"), params["current_year"], params["lambda_decay"])
-        return {"backward": graph.top(near, score, params["n_backward"]), "failed_batches": works.limit(0)}
+        papers, edges = traversal.backward_traverse(inputs["seeds"], works, cites, params["n_backward"], params["lambda_decay"], params["current_year"])
+        return {"backward": {"papers": papers, "edges": edges}, "failed_batches": _none(works, "ids array<string>, stage string, reason string")}
 
     @r.register("forward")
     def forward(params, inputs):
-        mine = graph.citers(inputs["seeds"], cites, [F.col("source_id")])
-        near = mine.groupBy(F.col("source_id").alias("node_id")).agg(F.lit(1).alias("hop_depth"), F.array_sort(F.collect_set("seed")).alias("root_ids"))
-        near = near.join(inputs["seeds"].select("node_id"), "node_id", "left_anti").join(works, "node_id")
-        score = scalars.forward_score(F.col("citation_count"), F.col("year"), F.lit(None).cast("double"), params["current_year"], params["alpha"], params["beta"], params["lambda_decay"])
-        short = mine.groupBy("seed").agg(F.count("*").alias("returned"), F.first("total").alias("total")).where("returned < total")
-        return {"forward": graph.top(near, score, params["n_forward"]), "failed_seeds": works.limit(0), "truncated_seeds": short}
+        papers, edges, short = traversal.forward_traverse(inputs["seeds"], works, cites, params["n_forward"], params["lambda_decay"], params["alpha"], params["beta"], params["current_year"], params["sort"] or "cited_by_count:desc")
+        return {"forward": {"papers": papers, "edges": edges}, "failed_seeds": _none(works, "node_id string, reason string"), "truncated_seeds": short}
 
     @r.register("assemble")
     def assemble(params, inputs):
-        parts = [inputs["seeds"].select("node_id", F.lit(0).alias("hop_depth"), F.array("node_id").alias("root_ids"))]
-        parts += [inputs[k].select("node_id", "hop_depth", "root_ids") for k in ("backward", "forward")]
-        roots = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("node_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("root_ids")))).alias("root_ids"), F.min("hop_depth").alias("hop_depth"))
-        nodes = roots.join(works, "node_id")
-        ids = nodes.select("node_id")
-        kept = cites.join(ids, F.col("source_id") == F.col("node_id"), "left_semi").join(ids, F.col("target_id") == F.col("node_id"), "left_semi")
-        return {"nodes": nodes, "cites": kept.select("source_id", "target_id").distinct(), "mismatches": kept.limit(0)}
+        back, forth = ((inputs[k]["papers"], inputs[k]["edges"]) for k in ("backward", "forward"))
+        nodes, edges, mismatches = traversal.assemble(inputs["seeds"], back, forth)
+        return {"nodes": nodes, "cites": edges, "mismatches": mismatches}
 
     @r.register("clean")
     def clean(params, inputs):
@@ -59,8 +59,10 @@ def registry(works: DataFrame, cites: DataFrame) -> Registry:
         return {"co_citation_edges": e, "co_citation_warnings": graph.unknown_endpoints(inputs["all_cites"], inputs["nodes"])}
 
     @r.register("annotate")
-    def annotate(params, inputs):
-        return {"nodes": inputs["nodes"], "provenance": inputs["nodes"].limit(0)}
+    def annotated(params, inputs, *, resources):
+        own = params["llm"]
+        nodes, provenance = annotate.annotate(inputs["nodes"], inputs["resolved"], resources["model_client"], own["model"], own.get("temperature", 0.0), own["max_tokens"])
+        return {"nodes": nodes, "provenance": provenance}
 
     @r.register("depth")
     def depth(params, inputs):

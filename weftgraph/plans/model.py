@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections import Counter, defaultdict
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 from typing import Any
 
 #: Port names that the runner uses itself.
@@ -47,7 +48,30 @@ class Plan:
 
     @classmethod
     def from_dict(cls, d: dict) -> Plan:
-        return cls(d["name"], [Node(**n) for n in d["nodes"]], [Edge(**e) for e in d["edges"]], d.get("version", "1"))
+        """ValueError names the part that is missing or unknown."""
+        if not isinstance(d, dict):
+            raise ValueError("a plan is a JSON object")
+        try:
+            return cls(d["name"], [Node(**n) for n in d["nodes"]], [Edge(**e) for e in d["edges"]], d.get("version", "1"))
+        except KeyError as e:
+            raise ValueError(f"the plan lacks {e}") from e
+        except TypeError as e:
+            raise ValueError(f"the plan has an unfit node or edge: {e}") from e
+
+    @classmethod
+    def from_json(cls, text: str) -> Plan:
+        return cls.from_dict(json.loads(text))
+
+    def to_dict(self) -> dict:
+        return asdict(self)
+
+    def update_node(self, node_id: str, params: dict[str, Any]) -> Node:
+        """Merges the parameters into the node's own, without checking the plan again."""
+        node = self.node(node_id)
+        if node is None:
+            raise ValueError(f"no node {node_id}")
+        node.params |= params
+        return node
 
 
 def _neighbours(plan: Plan, down: bool) -> dict[str, set[str]]:
@@ -120,6 +144,62 @@ def summary(plan: Plan) -> dict:
     return {"name": plan.name, "nodes": len(plan.nodes), "edges": len(plan.edges), "status": dict(Counter(n.status for n in plan.nodes)), "types": dict(Counter(n.type for n in plan.nodes))}
 
 
+def subgraph(plan: Plan, ids: list[str]) -> Plan:
+    """The nodes named, and the edges with both ends among them."""
+    kept = set(ids)
+    return Plan(plan.name, [n for n in plan.nodes if n.id in kept], [e for e in plan.edges if e.source in kept and e.target in kept], plan.version)
+
+
+def cycles(plan: Plan) -> list[list[str]]:
+    """Every simple cycle, each from its least node on, in sorted order. Their number can grow exponentially with a plan."""
+    near, out = _neighbours(plan, True), []
+    for first in sorted(n.id for n in plan.nodes):
+        paths = [[first]]
+        while paths:
+            path = paths.pop()
+            for t in near[path[-1]]:
+                if t == first:
+                    out.append(path)
+                elif t > first and t not in path:
+                    paths.append([*path, t])
+    return sorted(out)
+
+
+#: Node types that tell what field a plan is from.
+FIELDS = {
+    "vfx": {"LoadAsset", "Render", "Simulate", "ApplyShader", "Cache", "Composite", "ShaderValidate", "RenderComparison", "LookApproval", "MaterialAssign"},
+    "ai": {"LLMCall", "VectorRetrieve", "ToolInvoke", "Evaluator", "Router", "MemoryUpdate", "HumanInLoop"},
+}
+
+
+def intent(plan: Plan, ids: list[str] | None = None) -> dict:
+    """What a plan or a part of it does: inventories, field, longest chain, gates and failed nodes; an error for an empty scope."""
+    part = plan if ids is None else subgraph(plan, ids)
+    if not part.nodes:
+        return {"error": "No nodes found in scope."}
+    types = Counter(n.type for n in part.nodes)
+    fields = [f for f, kinds in FIELDS.items() if kinds & set(types)]
+    return {
+        "graph": plan.name, "scope": "full" if ids is None else "subgraph", "node_count": len(part.nodes), "edge_count": len(part.edges),
+        "domain": "hybrid" if len(fields) > 1 else fields[0] if fields else "unknown", "node_types": dict(types), "status": dict(Counter(n.status for n in part.nodes)),
+        "edge_types": dict(Counter(e.type for e in part.edges)), "critical_path": longest_chain(part), "control_gates": [e.source for e in part.edges if e.type == "CONTROL"],
+        "failed_nodes": [n.id for n in part.nodes if n.status == "FAILED"],
+    }
+
+
+def producer(plan: Plan, node_id: str, port: str) -> tuple[str, str]:
+    """Node and output port that the plan declares to feed an input; ValueError if none or several do."""
+    found = [(e.source, e.from_port) for e in plan.edges if e.target == node_id and e.to_port == port]
+    if len(found) != 1:
+        raise ValueError(f"{node_id}.{port} has {len(found)} producers")
+    return found[0]
+
+
+def integrity(plan: Plan) -> dict:
+    errors = problems(plan)
+    return {"valid": not errors, "errors": errors}
+
+
 def problems(plan: Plan) -> list[str]:
     """What is wrong with the plan: identities, then references, then dataflow."""
     out = [f"duplicate node id: {i}" for i, n in sorted(Counter(n.id for n in plan.nodes).items()) if n > 1]
@@ -135,18 +215,20 @@ def problems(plan: Plan) -> list[str]:
     for e in plan.edges:
         a, b = ids.get(e.source), ids.get(e.target)
         if a is None or b is None:
+            faulty.add(e.target)
             continue
-        before = len(out)
+        before, bound = len(out), b.input_ports is not None
         if (e.from_port is None) != (e.to_port is None):
             out.append(f"edge {e.source}->{e.target} declares one port only")
         elif e.to_port is None:
-            if b.input_ports is not None and e.type == "DATA":
+            if bound:
                 out.append(f"edge {e.source}->{e.target} has no port but {e.target} declares inputs")
         else:
-            fed[(e.target, e.to_port)] += 1
-            if b.input_ports is None or e.to_port not in b.input_ports:
+            if bound and e.to_port not in b.input_ports:
                 out.append(f"{e.target} has no input port {e.to_port}")
-            if a.output_ports is None or e.from_port not in a.output_ports:
+            elif bound:
+                fed[(e.target, e.to_port)] += 1
+            if (bound if a.output_ports is None else e.from_port not in a.output_ports):
                 out.append(f"{e.source} has no output port {e.from_port}")
         if len(out) > before:
             faulty.add(e.target)
@@ -167,6 +249,18 @@ def problems(plan: Plan) -> list[str]:
     return out
 
 
+def abstract_plan() -> Plan:
+    """Fetch an abstract, draw its claims, gate them, then summarise or discard."""
+    nodes = [Node("fetch", "fetch_abstract"), Node("claims", "llm_call", {"prompt_template": "{abstract}", "model": None, "max_tokens": 512}, resources=["model_client"]), Node("evaluate", "evaluator", {"keywords": [], "threshold": 0.0}), Node("summarize", "llm_summarize", {"prompt_template": "{response}", "model": None, "max_tokens": 512}, resources=["model_client"])]
+    return Plan("abstract", nodes, [Edge("fetch", "claims"), Edge("claims", "evaluate"), Edge("evaluate", "summarize", "CONTROL")])
+
+
+def lookdev_plan() -> Plan:
+    """A sample of five nodes."""
+    kinds = [("load", "LoadAsset"), ("shade", "ApplyShader"), ("check", "ShaderValidate"), ("render", "Render"), ("approve", "LookApproval")]
+    return Plan("lookdev", [Node(i, t) for i, t in kinds], [Edge(a, b, "CONTROL" if a == "check" else "DATA") for (a, _), (b, _) in zip(kinds, kinds[1:])])
+
+
 #: The citation pipeline's stages, each with its parameters, inputs and outputs.
 STAGES = {
     "resolve": (["seeds"], [], ["seeds", "seed_failures"]),
@@ -190,7 +284,7 @@ def citation_plan(params: dict[str, Any]) -> Plan:
     owner = {o: s for s, (_, _, outs) in STAGES.items() for o in outs if o != "nodes"}
     nodes, edges = [], []
     for s, (names, ins, outs) in STAGES.items():
-        gate = {"enabled_when": "llm", "disabled_passthrough": {"nodes": "nodes"}} if s == "annotate" else {}
+        gate = {"enabled_when": "llm", "disabled_passthrough": {"nodes": "nodes"}, "resources": ["model_client"]} if s == "annotate" else {}
         nodes.append(Node(s, s, {n: params.get(n) for n in names}, input_ports=list(ins), output_ports=list(outs), **gate))
         for i in ins:
             a, port = PRODUCERS.get((s, i), (owner.get(i), i))

@@ -56,6 +56,13 @@ class Registry:
         return fn
 
 
+def _written(value):
+    """The value with every DataFrame in it, or in a dict of it, as a written table."""
+    if isinstance(value, dict):
+        return {k: _written(v) for k, v in value.items()}
+    return cut(value) if isinstance(value, DataFrame) else value
+
+
 def run(plan: Plan, registry: Registry, resources: dict[str, Any] | None = None, outputs: dict[str, dict] | None = None, materialise: bool = True) -> dict[str, dict]:
     """Results by node: outputs with status SUCCESS, FAILED (error, exception) or SKIPPED (skip_reason).
 
@@ -73,10 +80,9 @@ def run(plan: Plan, registry: Registry, resources: dict[str, Any] | None = None,
     lacking = sorted({r for n in plan.nodes for r in n.resources or []} - set(resources))
     if lacking:
         raise UnsuppliedResourceError(lacking)
-    for i in outputs:
-        node = plan.node(i)
-        if node is None or node.input_ports != []:
-            raise InjectedOutputError(i)
+    unknown = sorted(set(outputs) - set(ids))
+    if unknown:
+        raise InjectedOutputError(unknown)
     for i in order:
         node = plan.node(i)
         into = [e for e in plan.edges if e.target == i]
@@ -84,6 +90,9 @@ def run(plan: Plan, registry: Registry, resources: dict[str, Any] | None = None,
         if bad is not None:
             results[i] = {"status": "SKIPPED", "node_id": i, "skip_reason": f"upstream {bad} did not succeed"}
             continue
+        off = node.enabled_when is not None and not node.params.get(node.enabled_when)
+        if i in outputs and not off and node.input_ports != []:  # a node that is skipped or disabled has no use for it
+            raise InjectedOutputError(i)
         try:
             if node.input_ports is None:
                 inputs = {e.source: {k: v for k, v in results[e.source].items() if k not in ("status", "node_id")} for e in into}
@@ -95,7 +104,7 @@ def run(plan: Plan, registry: Registry, resources: dict[str, Any] | None = None,
                     if e.from_port not in results[e.source]:
                         raise PortBindingError(f"{e.source} gave no {e.from_port} for {i}.{e.to_port}")
                     inputs[e.to_port] = results[e.source][e.from_port]
-            if node.enabled_when is not None and not node.params.get(node.enabled_when):
+            if off:
                 passed = {o: inputs[p] for o, p in (node.disabled_passthrough or {}).items() if p in inputs}
                 results[i] = {**passed, "status": "SKIPPED", "node_id": i, "disabled_by": node.enabled_when}
                 continue
@@ -106,7 +115,7 @@ def run(plan: Plan, registry: Registry, resources: dict[str, Any] | None = None,
             more = {"resources": {r: resources[r] for r in node.resources}} if node.resources else {}
             got = registry.functions[node.type](node.params, inputs, **more)
             if materialise:
-                got = {k: cut(v) if isinstance(v, DataFrame) else v for k, v in got.items()}
+                got = {k: _written(v) for k, v in got.items()}
             results[i] = {**got, "status": "SUCCESS", "node_id": i}
             node.status = "SUCCESS"
         except Exception as e:  # noqa: BLE001  the fence: whatever a stage raises is that node's failure
