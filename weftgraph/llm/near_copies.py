@@ -13,11 +13,13 @@ whose rows differ by more than ``MOST`` in a coordinate are discarded, the other
 and those within ``MOST`` are checked: ``SURE`` or fewer differing bits need no more, for the rest the
 shingle sets are compared. Links leave in two rounds, so that large groups never give all their
 pairs: first each fingerprint's ``NEAREST`` in each bucket, then, after the links found have joined
-groups, every pair within ``MOST`` whose two sides are still in different groups. Buckets are compared whole at
-every size, in blocks; one bucket is one task's work, which grows with the square of a group that fills it.
+groups, every pair within ``MOST`` whose two sides are still in different groups. In that round, a second
+fingerprint of 1024 bits discards, inside the task, pairs that differ in more than ``LONG_MOST`` of its bits: texts a
+little less alike than ``LIKENESS`` pass 256 bits in numbers that grow with the square of their group. Buckets are
+compared whole at every size, in blocks; one bucket is one task's work, which grows with the square of a group that fills it.
 
 Known limits: a pair at exactly ``LIKENESS`` is met with probability ``MEET`` (times 0.998, its chance to be
-within ``MOST``), one pair in 40,000 at ``LIKENESS`` may be taken as sure while below, and sets and fingerprints
+within ``MOST``, and 0.999, to be within ``LONG_MOST``), one pair in 40,000 at ``LIKENESS`` may be taken as sure while below, and sets and fingerprints
 rest on hashes (32 bits within a pair, 64 between texts).
 
 Edge cases: null text is empty; texts without words are one group; fewer than five words make one shingle;
@@ -42,6 +44,8 @@ SHINGLE, LIKENESS, MEET = 5, 0.8, 0.98
 LANES = 4
 BITS = 64 * LANES
 MOST, SURE, NEAREST = 56, 15, 2
+#: A pair at 0.8 differs in 155 of 1024 bits, with a standard deviation of 11.5; one at 0.65 in 217.
+LONG_LANES, LONG_MOST = 16, 193
 PIVOTS, WIDE, ROWS, COLS, FLUSH = 8, 256, 128, 4096, 2_000_000
 FP = [f"f{i}" for i in range(LANES)]
 
@@ -59,11 +63,11 @@ def shingles(raw: bytes, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(h)
 
 
-def wide_fingerprint(h: np.ndarray) -> np.ndarray:
-    """256 bits by majority over a set of shingle hashes."""
-    out = np.zeros(LANES, np.uint64)
-    lanes = np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    for lane in range(LANES if len(h) else 0):
+def wide_fingerprint(h: np.ndarray, width: int = LANES) -> np.ndarray:
+    """Bits (64 a lane) by majority over a set of shingle hashes."""
+    out = np.zeros(width, np.uint64)
+    lanes = np.arange(1, width + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    for lane in range(width if len(h) else 0):
         counts = np.zeros(64, np.int64)
         for a in range(0, len(h), 1 << 15):
             bits = np.unpackbits(mix64(h[a : a + (1 << 15)] + lanes[lane]).view(np.uint8).reshape(-1, 8), axis=1)
@@ -197,6 +201,7 @@ def candidates(classes: DataFrame, plan: tuple[int, int], labelled: bool, likene
         sizes = np.diff(cuts)
         size, first = np.repeat(sizes, sizes), np.repeat(cuts[:-1], sizes)
         found = []
+        wide = np.frombuffer(b"".join(c["long"]), np.uint64).reshape(-1, LONG_LANES) if labelled and len(fp) else None
         near = hamming(fp, fp[first])  # small buckets, all at once: the first member is the pivot
         for lag in range(1, min(WIDE, int(sizes.max(initial=0)))):
             at = np.flatnonzero((c["key"][:-lag] == c["key"][lag:]) & (size[:-lag] <= WIDE))
@@ -207,7 +212,11 @@ def candidates(classes: DataFrame, plan: tuple[int, int], labelled: bool, likene
             if labelled:
                 at = at[c["label"][at] != c["label"][at + lag]]
             d = hamming(fp[at], fp[at + lag])
-            found.append((at[d <= MOST], at[d <= MOST] + lag, d[d <= MOST]))
+            at, d = at[d <= MOST], d[d <= MOST]
+            if labelled:
+                close = hamming(wide[at], wide[at + lag]) <= LONG_MOST
+                at, d = at[close], d[close]
+            found.append((at, at + lag, d))
         if not labelled and found:  # each row's nearest in its bucket
             i, j, d = (np.concatenate([*x]) for x in zip(*found))
             i, j, d = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([d, d])
@@ -220,7 +229,11 @@ def candidates(classes: DataFrame, plan: tuple[int, int], labelled: bool, likene
         for k in np.flatnonzero(sizes > WIDE):
             s = slice(cuts[k], cuts[k + 1])
             for i, j, d in bucket_pairs(fp[s], c["n"][s], c["label"][s] if labelled else None, likeness):
-                found.append((i + cuts[k], j + cuts[k], d))
+                i, j = i + cuts[k], j + cuts[k]
+                if labelled and len(i):
+                    close = np.concatenate([hamming(wide[i[x : x + 65_536]], wide[j[x : x + 65_536]]) <= LONG_MOST for x in range(0, len(i), 65_536)])
+                    i, j, d = i[close], j[close], d[close]
+                found.append((i, j, d))
                 many += len(i)
                 if many >= FLUSH:
                     yield batch(c, found)
@@ -233,7 +246,7 @@ def candidates(classes: DataFrame, plan: tuple[int, int], labelled: bool, likene
         for b in batches:
             if not b.num_rows:
                 continue
-            held.append({f: b.column(f).to_numpy() for f in b.schema.names})
+            held.append({f: np.array(b.column(f).to_pylist(), object) if f == "long" else b.column(f).to_numpy() for f in b.schema.names})
             rows += b.num_rows
             if rows >= 100_000 and held[0]["key"][0] != held[-1]["key"][-1]:  # all but the last key are whole
                 c = {f: np.concatenate([h[f] for h in held]) for f in held[0]}
@@ -247,16 +260,18 @@ def candidates(classes: DataFrame, plan: tuple[int, int], labelled: bool, likene
 
 
 def shingle_sets(docs: DataFrame, reps: DataFrame, shingle: int) -> DataFrame:
-    """node and its shingle set, as ascending 32-bit hashes in one binary, for the representatives (r_id, r_th, node)."""
+    """node, its shingle set as ascending 32-bit hashes in one binary, and its long fingerprint, for the representatives (r_id, r_th, node)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            sets = [np.unique((shingles(x.as_py(), shingle) >> np.uint64(32)).astype(np.uint32)).tobytes() for x in b.column("text").cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.binary())], names=["node", "s"])
+            hashes = [shingles(x.as_py(), shingle) for x in b.column("text").cast(pa.binary())]
+            sets = [np.unique((h >> np.uint64(32)).astype(np.uint32)).tobytes() for h in hashes]
+            wide = [wide_fingerprint(h, LONG_LANES).tobytes() for h in hashes]
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.binary()), pa.array(wide, pa.binary())], names=["node", "s", "long"])
 
     rows = texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
     met = rows.join(reps, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("th") == F.col("r_th")))
-    return arrow_map(met.select("node", "text"), run, "node long, s binary").dropDuplicates(["node"])
+    return arrow_map(met.select("node", "text"), run, "node long, s binary, long binary").dropDuplicates(["node"])
 
 
 def checked(pairs: DataFrame, sets: DataFrame, likeness: float) -> DataFrame:
@@ -276,9 +291,13 @@ def checked(pairs: DataFrame, sets: DataFrame, likeness: float) -> DataFrame:
     return arrow_map(met.select("a", "b", "sa", "sb"), run, "a long, b long")
 
 
-def near_groups(docs: DataFrame, shingle: int = SHINGLE, likeness: float = LIKENESS) -> DataFrame:
-    """doc_id, th (hash of the text), component_id: one row per document, named by the smallest doc_id of its group."""
-    marked = stored(marks(docs, shingle).withColumn("node", F.xxhash64(*FP)), "marks")
+def near_groups(docs: DataFrame, shingle: int = SHINGLE, likeness: float = LIKENESS, only: DataFrame | None = None) -> DataFrame:
+    """doc_id, th (hash of the text), component_id: one row per document, named by the smallest doc_id of its group.
+
+    ``only`` holds, as ``only_id``, the doc_ids of the documents that take part; the texts themselves are not moved for it.
+    """
+    marked = marks(docs, shingle).withColumn("node", F.xxhash64(*FP))
+    marked = stored(marked if only is None else marked.join(only, F.col("doc_id") == F.col("only_id"), "left_semi"), "marks")
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("r_id"), F.col("th").alias("r_th"))).alias("rep")
     classes = stored(marked.groupBy("node").agg(*[F.first(f).alias(f) for f in FP], F.max("n").alias("n"), rep, F.min("doc_id").alias("least")), "classes")
     plan = table_plan(classes.count(), likeness)
@@ -292,6 +311,7 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, likeness: float = LIKEN
     labels = components(links)
     named = some.join(labels.select(F.col("node").alias("l_node"), "label"), F.col("node") == F.col("l_node"), "left")
     named = named.select("node", *FP, "n", F.coalesce("label", "node").alias("label"))
+    named = named.join(sets.select(F.col("node").alias("s_node"), "long"), F.col("node") == F.col("s_node")).drop("s_node")
     more = candidates(named, plan, True, likeness).join(first.select("a", "b"), ["a", "b"], "left_anti")
     more = stored(more, "pairs")
     late = stored(more.where(sure).select("a", "b").union(checked(more.where(~sure), sets, likeness)), "links")
@@ -304,13 +324,29 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, likeness: float = LIKEN
     return marked.join(whole, F.col("node") == F.col("c_node")).select("doc_id", "th", "component_id")
 
 
-def without_near_copies(docs: DataFrame, shingle: int = SHINGLE, likeness: float = LIKENESS) -> DataFrame:
+def later_copies(docs: DataFrame, shingle: int, likeness: float, only: DataFrame | None = None) -> DataFrame:
+    """gone_id, gone_th: the documents that have a copy with a smaller doc_id."""
+    gone = near_groups(docs, shingle, likeness, only).where(F.col("doc_id") != F.col("component_id"))
+    return stored(gone.select(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th")).distinct(), "gone")
+
+
+def without_near_copies(docs: DataFrame, shingle: int = SHINGLE, likeness: float = LIKENESS, originals: DataFrame | None = None) -> DataFrame:
     """The document with the smallest doc_id of each group, with the columns it came with.
 
     Rows with the same doc_id and text count as one, and texts that share the smallest doc_id all stay. A null
     doc_id is no name, so such rows stay beside a named group, and one row is left of those with equal texts.
+
+    ``originals`` (doc_id, text) are the documents as they were before earlier stages cut lines out of them. Of the
+    documents that are left after the first comparison, those whose original texts are copies are then reduced to
+    the first in the same way. A doc_id that is null, or that ``originals`` hold more than once, takes no part in this.
     """
-    gone = near_groups(docs, shingle, likeness).where(F.col("doc_id") != F.col("component_id"))
-    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th")).distinct()
-    kept = docs.join(gone, (F.col("doc_id").cast("long") == F.col("gone_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("gone_th")), "left_anti")
+    gone = later_copies(docs, shingle, likeness)
+    th = F.xxhash64(F.coalesce("text", F.lit("")))
+    kept = docs.join(gone, (F.col("doc_id").cast("long") == F.col("gone_id")) & (th == F.col("gone_th")), "left_anti")
+    if originals is not None:
+        left = docs.select(F.col("doc_id").cast("long").alias("only_id"), th.alias("th")).join(gone, (F.col("only_id") == F.col("gone_id")) & (F.col("th") == F.col("gone_th")), "left_anti")
+        once = originals.groupBy(F.col("doc_id").cast("long").alias("o_id")).agg(F.count("*").alias("n")).where("n = 1")
+        only = stored(left.select("only_id").distinct().join(once, F.col("only_id") == F.col("o_id"), "left_semi"), "left")
+        also = later_copies(originals, shingle, likeness, only).select(F.col("gone_id").alias("also_id"))
+        kept = kept.join(also, F.col("doc_id").cast("long") == F.col("also_id"), "left_anti")
     return kept.dropDuplicates(["doc_id", "text"]).select(*docs.columns)
