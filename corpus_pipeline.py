@@ -27,8 +27,12 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the first document of each group of near copies: five-word shingles, 0.8 or more alike."""
-    return near_copies.without_near_copies(docs)
+    """Keeps the first document of each group of near copies: five-word shingles, 0.8 or more alike.
+
+    Line dedup leaves a later copy only the lines that differ, so documents are compared as they are and, of those
+    left, as they were in the ``documents`` table.
+    """
+    return near_copies.without_near_copies(docs, originals=table(spark, sf_dir, "documents"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
