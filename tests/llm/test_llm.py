@@ -242,6 +242,21 @@ def test_top_k_ties_and_bad_vectors(spark):
     assert many.groupBy("query_id").count().where("count <> 4").count() == 0
 
 
+def test_top_k_repeated_and_large_vectors(spark):
+    top = lambda rows, q, k: [(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(rows, q, k=k).orderBy("query_id", "rank").collect()]
+    v = topk.integer_vectors(spark.createDataFrame([(0, [1.0]), (0, [1.0]), (1, [3.0]), (2, [2.0]), (2, [2.0]), (3, [1.0])], "vec_id long, embedding array<float>"))
+    assert [x[1:3] for x in top(v, v.where("vec_id = 0"), 4)] == [(1, 1), (2, 2), (3, 2), (4, 3)]
+    big = [(0, [3.0e6, 1.0]), (1, [3.0e6, 1.0]), (2, [3.0e6, 2.0]), (3, [-3.0e6, 0.0])]
+    v = topk.integer_vectors(spark.createDataFrame(big, "vec_id long, embedding array<double>"))
+    whole = {i: [int(256 * x) for x in e] for i, e in big}
+    want = sorted(((-sum(a * b for a, b in zip(whole[0], whole[i])), i) for i in (1, 2, 3)))
+    assert top(v, v.where("vec_id = 0"), 3) == [(0, r + 1, i, -s) for r, (s, i) in enumerate(want)] and -want[0][0] > 2**53
+    for huge, error in ((1e30, Exception), (1e8, ValueError)):
+        w = topk.integer_vectors(spark.createDataFrame([(0, [huge]), (1, [huge])], "vec_id long, embedding array<double>"))
+        with pytest.raises(error, match="2\\*\\*62"):
+            top(w, w, 1)
+
+
 def edited(rng, words, n):
     """The words with n of them replaced."""
     out = list(words)
@@ -340,6 +355,47 @@ def test_odd_rows_and_no_rows(name, odd, none, labels):
     assert OPERATORS[name](none, labels.limit(0)).count() == 0
 
 
+def test_odd_rows_of_byte_bpe_and_top_k(spark, odd, none):
+    import public_tokenizers
+    import tiktoken
+
+    odd = odd.withColumn("text", F.when(F.length("text") == 70_000, F.lit("x" * 3000)).otherwise(F.col("text")))  # one piece takes time in its square
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.ranks_of(path), special_tokens={})
+    got = byte_bpe.tokens_digest(odd, path, public_tokenizers.PATTERN, memo=20)
+    assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    value = lambda t: (len(ids := enc.encode_ordinary(t)), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
+    want = Counter((r.doc_id, *value(r.text or "")) for r in odd.collect())
+    assert Counter(tuple(r) for r in got.collect()) == want
+    assert byte_bpe.tokens_digest(none, path, public_tokenizers.PATTERN, memo=20).count() == 0
+    both = byte_bpe.decoded(byte_bpe.encoded(odd.where("text IS NOT NULL"), path, public_tokenizers.PATTERN, memo=20), path).collect()
+    assert both and all(list(r.ids) == enc.encode_ordinary(r.text) and bytes(r.bytes) == r.text.encode() for r in both)
+    rows = spark.createDataFrame([(0, [1.0], 7, "a"), (0, [1.0], 7, "a"), (None, [1.0], 1, "b"), (1, None, 2, None), (2, [2.0], 3, "c")], "vec_id long, embedding array<float>, score long, rank string")
+    v = topk.integer_vectors(rows)
+    assert [(r.query_id, r["rank"], r.vec_id) for r in topk.top_k(v, v).orderBy("query_id", "rank").collect()] == [(0, 1, 2), (2, 1, 0), (2, 2, 0)]
+
+
+def test_token_counts_equal_the_library(spark, raw):
+    import sentencepiece
+
+    with open(token_counts.tokenizer_path("piece_bpe_32k.model"), "rb") as f:
+        sp = sentencepiece.SentencePieceProcessor(model_proto=f.read())
+    got = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in queries.queries()["op6_token_counts"](spark, SF).collect()}
+    assert got == {d: (len(t.encode()), n := len(sp.encode(t)), n > 4096) for d, t in raw.items()}
+
+
+def test_copies_are_found_by_their_original_texts(spark):
+    """Line dedup leaves later copies as stubs: these go by what they were; ids that are null or ambiguous stay."""
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(900)}" for _ in range(200)]
+    other = [f"v{rng.randrange(900)}" for _ in range(200)]
+    whole = [(1, " ".join(base)), (2, " ".join([*base[:199], "x"])), (3, " ".join(other)), (4, " ".join(base)), (5, " ".join(other)), (5, "z"), (None, " ".join(base))]
+    left = [(1, " ".join(base)), (2, "x"), (3, " ".join(other)), (4, "stub of four"), (5, "another stub"), (None, "third stub")]
+    docs, originals = (spark.createDataFrame(rows, "doc_id long, text string") for rows in (left, whole))
+    assert {r.doc_id for r in near_copies.without_near_copies(docs, originals=originals).collect()} == {1, 3, 5, None}
+    assert near_copies.without_near_copies(docs).count() == 6
+
+
 def test_repeated_rows_are_one_group(odd):
     assert near_copies.without_near_copies(odd).where("doc_id = 5").count() == 1
 

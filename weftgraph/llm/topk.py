@@ -5,12 +5,14 @@ scores of each query in bins, and the summed histograms show in which bin the k-
 lies. That bin is cut again until it is one score wide. A last pass keeps what reaches the k-th score
 and breaks ties by the smaller id; no task sends more than k rows of a query.
 
-Scores are inner products of integer vectors, computed exactly in double precision.
+Scores are inner products of integer vectors, computed exactly: in double precision where no score can pass
+2**53, else in 64-bit integers. Where scores could pass 2**62, the search raises; so do components of 2**62 or more.
 
 Edge cases: vectors that are null, or hold null or non-finite components, take no part; candidates of
 another length than the query score over the common positions of the longer one padded with zeros;
 fewer candidates than k are all returned; rows with the query's own id are no candidates; repeated
-rows are candidates of their own; null ids take no part; no queries or an empty table give no rows.
+rows are candidates of their own, but one query (of several vectors under one id, the least asks); null ids
+take no part; no queries or an empty table give no rows.
 """
 
 from __future__ import annotations
@@ -20,27 +22,33 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftgraph.llm.common import shipped, stored, table, unpacked
 
 BINS, BLOCK = 256, 1024
+MOST = 1 << 62
 
 
 def integer_vectors(rows: DataFrame, scale: int = 256) -> DataFrame:
     """vec_id and the vector's components as floor(scale * x); vectors that take no part are left out."""
     x = F.col("embedding").cast("array<double>")
     bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    return rows.where(F.col("vec_id").isNotNull() & x.isNotNull() & ~bad).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda v: F.floor(v * F.lit(float(scale))).cast("long")).alias("v"))
 
+    def whole(v: Column) -> Column:
+        big = v * F.lit(float(scale))
+        return F.when(F.abs(big) < float(MOST), F.floor(big).cast("long")).otherwise(F.raise_error(F.lit("a component of 2**62 or more")).cast("long"))
 
-def matrix(column: pa.Array, dim: int) -> np.ndarray:
+    return rows.where(F.col("vec_id").isNotNull() & x.isNotNull() & ~bad).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, whole).alias("v"))
+
+
+def matrix(column: pa.Array, dim: int, kind: type) -> np.ndarray:
     sizes = np.diff(column.offsets.to_numpy())
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(kind)
     if len(sizes) and (sizes == dim).all():
         return flat.reshape(-1, dim)
-    out = np.zeros((len(sizes), dim))
+    out = np.zeros((len(sizes), dim), kind)
     at = np.concatenate([[0], np.cumsum(sizes)])
     for i, n in enumerate(sizes):
         out[i, : min(n, dim)] = flat[at[i] : at[i] + min(n, dim)]
@@ -48,19 +56,23 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def scored(batches: Iterator[pa.RecordBatch], q: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids and scores (queries by candidates) of a few thousand candidates at a time."""
+    """Ids and scores (queries by candidates) of a few thousand candidates at a time; q's type is the arithmetic."""
     for b in batches:
         for a in range(0, b.num_rows, 2048):
             part = b.slice(a, 2048)
-            yield part.column(0).to_numpy(), np.rint(q @ matrix(part.column(1), q.shape[1]).T).astype(np.int64)
+            yield part.column(0).to_numpy(), np.rint(q @ matrix(part.column(1), q.shape[1], q.dtype.type).T).astype(np.int64)
+
+
+def longest(vectors: DataFrame) -> float:
+    """The greatest norm."""
+    square = lambda s, v: s + v.cast("double") * v.cast("double")
+    return vectors.select(F.sqrt(F.aggregate("v", F.lit(0.0), square)).alias("n")).agg(F.max("n")).first()[0] or 0.0
 
 
-def bounds_of(candidates: DataFrame, ids: np.ndarray, q: np.ndarray, k: int) -> np.ndarray:
-    """The k-th highest score of each query of the block, or the lowest possible with fewer candidates."""
+def bounds_of(candidates: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, reach: int) -> np.ndarray:
+    """The k-th highest score of each query of the block, or the lowest possible (-reach) with fewer candidates."""
     spark = candidates.sparkSession
-    reach = int(np.ceil(np.sqrt((q * q).sum(axis=1).max(initial=0)))) + 1
-    norm = candidates.select(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, v: s + v * v)).alias("n")).agg(F.max("n")).first()[0] or 0.0
-    low = np.full(len(ids), -int(reach * (norm + 1)) - 1, np.int64)
+    low = np.full(len(ids), -reach, np.int64)
     width = 1
     while width * BINS < -2 * int(low.min(initial=0)) + 2:
         width *= BINS
@@ -97,6 +109,11 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOCK) -
     """query_id, rank, vec_id, score. ``rows`` and ``queries`` have vec_id and v, integer vectors."""
     spark = rows.sparkSession
     candidates = stored(rows, "candidates")
+    queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
+    reach = int((longest(candidates) + 1) * (longest(queries) + 1) * (1 + 1e-9)) + 1
+    if reach >= MOST:
+        raise ValueError("scores could pass 2**62")
+    kind = np.float64 if reach < 1 << 53 else np.int64
     count = queries.count()
     blocks = max(1, -(-count // block))
     asked = stored(queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))), "queries") if blocks > 1 else queries.withColumn("block", F.lit(0))
@@ -107,10 +124,10 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOCK) -
             continue
         ids = np.array([r.vec_id for r in rows_here], np.int64)
         dim = max(1, max(len(r.v) for r in rows_here))
-        q = np.zeros((len(ids), dim))
+        q = np.zeros((len(ids), dim), kind)
         for i, r in enumerate(rows_here):
             q[i, : len(r.v)] = r.v
-        least = bounds_of(candidates, ids, q, k)
+        least = bounds_of(candidates, ids, q, k, reach)
         box = shipped(spark, (ids, q, least))
 
         def keep(batches: Iterator[pa.RecordBatch], box=box) -> Iterator[pa.RecordBatch]:
