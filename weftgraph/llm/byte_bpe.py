@@ -123,8 +123,8 @@ def folded(tables: Column, piece: Column, short: int = SHORT) -> Column:
 
     The state is one array with a number for each token: the rank of its pair with the next token (``NO_RANK`` for
     none), the place of its first byte, and the token. So the least number is the lowest rank at its first
-    place. Its index is the count of numbers with lower places; where more than ``short`` are left, array_position
-    serves, which costs more a call, as it throws where it finds, and less a number.
+    place. Its index is the count of numbers with lower places. Where more than ``short`` are left, array_position,
+    slices and concat serve, which cost more a call (the first throws where it finds) and less a number.
     """
     units = F.transform(F.split(F.decode(F.encode(piece, "UTF-8"), "ISO-8859-1"), ""), F.ascii)
     token_of = lambda x: x.bitwiseAND(SHIFT - 1)
@@ -144,8 +144,10 @@ def folded(tables: Column, piece: Column, short: int = SHORT) -> Column:
             def joined(i: Column) -> Column:  # count of the numbers before the pair's left token
                 best = F.shiftright(least, RANK_AT)
                 new = entry(own - token_of(least) + best, token_of(F.get(state, i + 2)))
-                all_but = F.filter(state, lambda _, j: j != i + 1)  # slices and concat are several times as slow
-                return F.transform(all_but, lambda x, j: F.when(j == i, new).when(j == i - 1, entry(placed(x), best)).otherwise(x))
+                all_but = F.filter(state, lambda _, j: j != i + 1)
+                here = F.transform(all_but, lambda x, j: F.when(j == i, new).when(j == i - 1, entry(placed(x), best)).otherwise(x))
+                ahead = F.when(i > 0, F.concat(F.slice(state, F.lit(1), i - 1), F.array(entry(placed(F.get(state, i - 1)), best)))).otherwise(F.array().cast("array<bigint>"))
+                return F.when(F.size(state) <= short, here).otherwise(F.concat(ahead, F.array(new), F.slice(state, i + 3, F.size(state))))
 
             index = F.when(F.size(state) <= short, F.size(F.filter(state, lambda x: placed(x) < own))).otherwise((F.array_position(state, least) - 1).cast("int"))
             return F.when(least < NO_RANK << RANK_AT, bound(index, "array<bigint>", joined)).otherwise(state)
