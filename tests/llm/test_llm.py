@@ -109,6 +109,17 @@ def test_fingerprints_against_brute_force(spark, raw):
     assert abs((x - y).mean()) < 0.03 and np.sqrt(((x - y) ** 2).mean()) < 0.09
 
 
+def test_fingerprints_of_extreme_ids(spark):
+    ids = [-(2**63), -5, 0, 3, 2**61, 2**62, 2**63 - 2, 2**63 - 1]
+    rows = [(d, f"text of {d} " * 9) for d in ids] + [(None, "nameless one"), (None, "nameless two")]
+    got = fingerprints.fingerprint_neighbours(spark.createDataFrame(rows[::-1], "doc_id long, text string")).collect()
+    want = {}
+    for (d, t), (_, after) in zip(rows, [*rows[1:], rows[0]]):
+        n = len(t) // 4
+        want[(d, len(t), hashlib.sha256((t[: len(t) - n] + after[:n]).encode()).hexdigest())] = 1
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == Counter(want)
+
+
 def test_weighted_terms():
     one, two = " ".join(["a b c d e"] * 30), " ".join(["a b c d e"] * 10)
     x, y = fingerprints.pair_signatures(one.encode(), two.encode())

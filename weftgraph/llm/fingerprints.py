@@ -4,7 +4,7 @@ Terms are shingles of five words, weighted by how often the document has them. F
 slots, a term's hash gives the quantiles of two Gamma(2, 1) variables r and c and a uniform b; with
 t = floor(ln(weight) / r + b) the term's key is ln c - r (t - b) - r, and the slot keeps a digest of
 the (term, t) with the least key. Two documents agree in a slot with a probability equal to their
-generalised Jaccard similarity, up to digest collisions at 2**-16.
+generalised Jaccard similarity, up to digest collisions at 2**-15.
 
 Edge cases: null text is empty; fewer than five words are one term; a text without words has a
 fingerprint of its own kind, like only to itself; repeated rows and repeated or null doc_ids are rows
@@ -130,15 +130,18 @@ def one_signature(one: bytes) -> np.ndarray:
 def seated(docs: DataFrame, rows_each: int = 256, most_ranges: int = 100_000) -> DataFrame:
     """doc_id, text, range, extra: rows dealt by ranges of doc_id, each range with the next one's first row (extra).
 
-    Ranges have equal widths, so that none holds more ids than its width; the ranges that have rows
-    are one row each in ``firsts``. The last is followed by the first.
+    Ranges have equal widths, so that none holds more ids than its width; rows without an id are the last range. The ranges
+    that have rows are one row each in ``firsts``. The last is followed by the first. An id's range is found in double
+    precision, where no id overflows and the order of ids is kept.
     """
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**62))
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
+    none = F.col("doc_id").isNull()
     rows = texts(docs).withColumn("k", key)
-    low, high, n = docs.select(key.alias("k")).agg(F.min("k"), F.max(F.when(F.col("k") < 2**62, F.col("k"))), F.count("*")).first()
-    width = max(1, -(-((high if high is not None else low or 0) - (low or 0) + 1) * max(rows_each, -(-n // most_ranges)) // max(n, 1)))
-    place = F.when(F.col("k") == 2**62, F.lit(2**40)).otherwise(F.floor((F.col("k") - F.lit(low or 0)) / F.lit(width))).cast("long")
-    firsts = docs.select(key.alias("k")).withColumn("range", place).groupBy("range").agg(F.min("k").alias("first"))
+    low, high, n = docs.agg(F.min(F.col("doc_id").cast("long")), F.max(F.col("doc_id").cast("long")), F.count("*")).first()
+    low, high = (0, 0) if low is None else (low, high)
+    width = max(1, -(-(high - low + 1) * max(rows_each, -(-n // most_ranges)) // max(n, 1)))
+    place = F.when(none, F.lit(2**40)).otherwise(F.floor((F.col("doc_id").cast("long").cast("double") - F.lit(float(low))) / F.lit(float(width)))).cast("long")
+    firsts = docs.select(key.alias("k"), place.alias("range")).groupBy("range").agg(F.min("k").alias("first"))
     every, order = Window.partitionBy(), Window.orderBy("range")
     firsts = firsts.withColumn("before", F.coalesce(F.lag("range").over(order), F.max("range").over(every)))
     firsts = F.broadcast(firsts.withColumnRenamed("range", "f_range"))  # most_ranges rows of three numbers at most
