@@ -6,9 +6,9 @@ leftmost of the adjacent pairs with the lowest rank, looking ranks up in a liter
 state is one array that holds each token with its pair's rank, so that a merge looks up two ranks only.
 Ranks are below 2**20, and a piece has 2**23 bytes at most; a longer one raises.
 
-Frequent distinct pieces are folded once beforehand, and their tokens decoded once, into a second literal map;
-every other piece is folded and decoded where it stands, so the map's size changes the speed and never the
-result. It is drawn from ``memo_docs`` documents and holds ``memo`` pieces at most.
+Frequent distinct pieces are folded once beforehand, and their tokens decoded once, into a second literal map of those
+that decode to themselves; every other piece is folded and decoded where it stands, so the map's size changes the
+speed and never the result. It is drawn from ``memo_docs`` documents and holds ``memo`` pieces at most.
 
 Decoding looks up each id's bytes and concatenates them. Tokens leave a piece as hexadecimal little-endian
 numbers, as wide as the vocabulary needs and with zeros between them up to 32 bits, so that a text's tokens
@@ -105,11 +105,11 @@ def slot_of(piece: Column) -> Column:
 
 
 def word_map(words: DataFrame) -> Column:
-    """A map from pieces to (p, d), in slots by the piece's hash, as one value that the plan holds as a subquery."""
-    slots = words.select(slot_of(F.col("w")).alias("slot"), "w", F.struct("p", "d").alias("v")).groupBy("slot").agg(F.collect_list(F.struct("w", "v")).alias("e"))
+    """A map from pieces to their tokens, in slots by the piece's hash, as one value that the plan holds as a subquery."""
+    slots = words.select(slot_of(F.col("w")).alias("slot"), "w", "p").groupBy("slot").agg(F.collect_list(F.struct("w", "p")).alias("e"))
     every = words.sparkSession.range(WORD_SLOTS).select(F.col("id").cast("int").alias("slot"))
     full = every.join(slots, "slot", "left").agg(F.sort_array(F.collect_list(F.struct("slot", "e"))).alias("all"))
-    return full.select(F.transform("all", lambda s: F.map_from_entries(F.coalesce(s["e"], F.array().cast("array<struct<w:string,v:struct<p:string,d:string>>>")))).alias("words")).scalar()
+    return full.select(F.transform("all", lambda s: F.map_from_entries(F.coalesce(s["e"], F.array().cast("array<struct<w:string,p:string>>")))).alias("words")).scalar()
 
 
 def looked_up(tables: Column, a: Column, b: Column) -> Column:
@@ -162,25 +162,24 @@ def pieces_of(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(java_pattern(pattern)), F.lit(0))
 
 
-def memo_words(rows: DataFrame, ranks: dict[bytes, int], pattern: str, memo: int, memo_docs: int) -> DataFrame:
-    """w, p, d: the vocabulary's own text pieces and the most frequent distinct pieces of a sample, with their tokens and what these decode to."""
+def memo_words(rows: DataFrame, ranks: dict[bytes, int], tables: Column, pattern: str, memo: int, memo_docs: int) -> DataFrame:
+    """w, p: the vocabulary's own text pieces and the most frequent distinct pieces of a sample, with their tokens; all decode to themselves."""
     spark = rows.sparkSession
-    own, parts = [], byte_tables(ranks)["packed"][0]
+    own, width = [], 4 - len(gap_of(ranks)) // 2
     for token, rank in ranks.items():  # a piece that is a token is that token
         try:
-            own.append((token.decode(), parts[rank]))
+            own.append((token.decode(), rank.to_bytes(width, "little").hex()))
         except UnicodeDecodeError:
             continue
-    words = spark.createDataFrame([(w, p, w) for w, p in own], "w string, p string, d string")
+    words = spark.createDataFrame(own, "w string, p string")
     if memo:
         share = min(1.0, memo_docs / max(1, rows.count()))
         some = rows.select("text").sample(False, share, 1) if share < 1 else rows.select("text")
         seen = some.select(F.explode(pieces_of(F.col("text"), pattern)).alias("w")).groupBy("w").count().where(F.length("w") <= 64)
         seen = seen.orderBy(F.desc("count"), "w").limit(memo).select("w").join(words.select("w"), "w", "left_anti")
         seen = seen.repartition(16)
-        tables = literal(spark, **rank_map(ranks), **byte_tables(ranks))
         seen = with_tables(seen, tables, "v", lambda t: bound(F.col("w"), WORD, lambda w: F.struct(w.alias("w"), coded(t, w, gap_of(ranks)).alias("c"))), kept=[]).select("v.w", "v.c.*")
-        words = words.union(seen)
+        words = words.union(seen.where("d = w").select("w", "p"))
     return stored(words, "pieces")
 
 
@@ -223,19 +222,23 @@ CODED = "struct<text:string,ids:binary,bytes:binary>"
 def text_codes(t: Column, words: Column, text: Column, pattern: str, gap: str) -> Column:
     """The text with its codes, by the lookup tables t and the map of known pieces."""
 
+    def spelled(cut: Column) -> Column:  # each piece with its tokens, and what these decode to
+        known = F.transform(cut, lambda w: F.get(words, slot_of(w))[w])
+        pairs = lambda k: F.zip_with(cut, k, lambda w, p: F.when(p.isNotNull(), F.struct(p.alias("p"), w.alias("d"))).otherwise(coded(t, w, gap)))
+        return bound(known, f"array<{PIECE}>", pairs)
+
     def whole(found: Column) -> Column:
         ids = F.concat(F.array_join(found["p"], gap), F.when(F.size(found) > 0, F.lit(gap)).otherwise(F.lit("")))
         return F.struct(text.alias("text"), F.unhex(ids).alias("ids"), F.array_join(found["d"], "").cast("binary").alias("bytes"))
 
-    one = lambda w: F.coalesce(F.get(words, slot_of(w))[w], coded(t, w, gap))
-    return bound(F.transform(pieces_of(text, pattern), one), CODED, whole)
+    return bound(bound(pieces_of(text, pattern), f"array<{PIECE}>", spelled), CODED, whole)
 
 
 def with_codes(rows: DataFrame, path: str, pattern: str, memo: int, memo_docs: int) -> DataFrame:
     """The columns of ``rows`` but its text, and ``codes`` with the text, ids and bytes."""
     ranks = ranks_of(path)
-    words = word_map(memo_words(rows, ranks, pattern, memo, memo_docs))
     tables, gap = literal(rows.sparkSession, **rank_map(ranks), **byte_tables(ranks)), gap_of(ranks)
+    words = word_map(memo_words(rows, ranks, tables, pattern, memo, memo_docs))
     codes = lambda t, w: bound(F.col("text"), CODED, lambda x: text_codes(t, w, x, pattern, gap))
     return with_tables(rows, tables, "codes", codes, words, [c for c in rows.columns if c != "text"])
 
