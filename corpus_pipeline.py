@@ -16,6 +16,10 @@ from weftgraph.llm import byte_bpe, line_dedup, mixing, near_copies, quality
 from weftgraph.llm.common import stored, table
 
 
+#: Frequent pieces that the last stage folds beforehand; fewer than the operator's own number, as earlier stages leave the driver less memory.
+MEMO = 100_000
+
+
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the classifier rejects; it is fitted on all labelled rows' bounded sample."""
     return quality.accepted(docs, table(spark, sf_dir, "labels"), train=table(spark, sf_dir, "documents"))
@@ -44,7 +48,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Tokens of every document of the mix."""
     import public_tokenizers
 
-    return byte_bpe.tokens_digest(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return byte_bpe.tokens_digest(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, memo=MEMO)
 
 
 STAGES = [("quality", classify), ("line_dedup", dedup_lines), ("simhash", dedup_near), ("mixing", mix), ("byte_bpe", tokenize)]
