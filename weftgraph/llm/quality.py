@@ -18,6 +18,7 @@ an empty table gives no rows. doc_id, lang, source and labels are never inputs o
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import arrow_map, is_space, mix64, pieces, shipped, span_hashes, table, texts, unpacked, word_spans
+from weftgraph.llm.common import arrow_map, is_space, mix64, pieces, span_hashes, table, texts, word_spans
 
 DIM, BUCKETS, HIDDEN = 48, 1 << 15, 32
 SHAPES = 1 << 12
@@ -160,22 +161,42 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, fit_on, max_rows: int
     return out.where(F.length("text") <= max_chars) if max_chars else out
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_on=None, max_rows: int = 4000, max_chars: int = 20_000) -> tuple[np.ndarray, np.ndarray, Network]:
-    fit_on = F.lit(True) if fit_on is None else fit_on
-    got = sample(docs, labels, "quality", fit_on, max_rows, max_chars).select("doc_id", "text", "label").toArrow().sort_by("doc_id")
-    raw = [x.encode() for x in got.column("text").to_pylist()[:max_rows]]
-    y = got.column("label").to_numpy()[: len(raw)]
+def fitted(raw: list[bytes], y: np.ndarray) -> bytes:
+    """The model of these texts and labels, pickled as plain data."""
     vectors, shapes = word_vectors(raw).astype(np.float32), ternary(SHAPES, 2)
     x = np.array([pooled(r, vectors, shapes) for r in raw]) if raw else np.zeros((0, 2 * DIM + 8))
-    return vectors, shapes, Network(x, y)
+    return pickle.dumps((vectors, shapes, vars(Network(x, y))))
+
+
+def fit(docs: DataFrame, labels: DataFrame, fit_on=None, max_rows: int = 4000, max_chars: int = 20_000) -> bytes:
+    """The model, fitted in one task on the bounded sample, so that the driver holds only its BUCKETS rows."""
+    fit_on = F.lit(True) if fit_on is None else fit_on
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if got:
+            rows = pa.Table.from_batches(got).sort_by([("doc_id", "ascending"), ("text", "ascending")])
+            raw = [x.encode() for x in rows.column("text").to_pylist()[:max_rows]]
+            yield pa.RecordBatch.from_pydict({"model": [fitted(raw, rows.column("label").to_numpy()[: len(raw)])]})
+
+    some = sample(docs, labels, "quality", fit_on, max_rows, max_chars).select("doc_id", "text", "label").repartition(1)
+    model = arrow_map(some, run, "model binary").first()
+    return bytes(model[0]) if model else fitted([], np.zeros(0))
+
+
+def unpickled(box) -> tuple[np.ndarray, np.ndarray, Network]:
+    vectors, shapes, state = pickle.loads(box.value)
+    net = Network.__new__(Network)
+    vars(net).update(state)
+    return vectors, shapes, net
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, fit_on=None, max_rows: int = 4000) -> DataFrame:
     """doc_id and score for every document, by a model fitted where ``fit_on`` holds."""
-    model = shipped(docs.sparkSession, fit(docs, labels, fit_on, max_rows))  # a fixed size: BUCKETS rows
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, fit_on, max_rows))  # a fixed size: BUCKETS rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors, shapes, net = unpacked(model)
+        vectors, shapes, net = unpickled(model)
         for b in pieces(batches):
             x = np.array([pooled(t.as_py().encode(), vectors, shapes) for t in b.column("text")])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(net.score(x))], names=["doc_id", "score"])
@@ -192,11 +213,11 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, train: DataFrame | None = None) -> DataFrame:
     """The documents that the classifier, fitted on ``train`` (docs), does not reject, with the columns they came with."""
-    model = shipped(docs.sparkSession, fit(docs if train is None else train, labels))
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs if train is None else train, labels))
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors, shapes, net = unpacked(model)
+        vectors, shapes, net = unpickled(model)
         for b in pieces(batches):
             x = np.array([pooled((t.as_py() or "").encode(), vectors, shapes) for t in b.column("text")])
             yield b.filter(pa.array(net.score(x) >= threshold)).select(columns)
