@@ -51,7 +51,7 @@ def brute(rows, fanout):
 
 def digests(docs, fanout, per_block):
     struck = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
-    changed = F.when(struck, merkle.leaf(text=F.translate("text", merkle.UPPER, merkle.LOWER)))
+    changed = F.when(struck, merkle.leaf(text=merkle.lowered(F.col("text"))))
     return merkle.proofs(merkle.manifest(docs, changed, fanout, per_block), merkle.digest_row, SCHEMA)
 
 

@@ -10,11 +10,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Fixed by the query contracts: a word is a run of bytes that are none of these.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
+#: The letters that the contracts lower-case.
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,6 +53,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def numbered(rows: DataFrame, group: str, order: list[Column], name: str) -> DataFrame:
+    """The rows with ``idx``, their place in their group by the order (from 0), and ``n``, the group's size.
+
+    A range sort deals any group over many tasks; a row's place is that in its written partition and the counts of the
+    partitions before. The order should be total, else a tie's rows are one task's. Group names aren't null.
+    """
+    keys = [F.col(group), *order]
+    dealt = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    placed = stored(dealt.withColumn("place", F.monotonically_increasing_id()), name).withColumn("part", F.shiftright("place", 33))
+    runs = placed.groupBy(group, "part").agg(F.min("place").alias("first"), F.count("*").alias("here"))
+    one = Window.partitionBy(group)
+    runs = runs.select(group, "part", "first", (F.sum("here").over(one.orderBy("part")) - F.col("here")).alias("before"), F.sum("here").over(one).alias("n"))
+    return placed.join(runs, [group, "part"]).withColumn("idx", F.col("before") + F.col("place") - F.col("first")).drop("part", "place", "first", "before")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -60,6 +77,11 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)
 
 
+def lowered(text: Column) -> Column:
+    """A-Z in lower case and all else as it is. Where all characters are ASCII, the much faster ``lower`` does the same."""
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose column holds about ``limit`` bytes at most, or one row."""
     for batch in batches:
@@ -141,3 +163,8 @@ def shipped(spark: SparkSession, model):
 
 def unpacked(box):
     return pickle.loads(box.value)
+
+
+#: DuckDB has no crc32: its 256 steps as a table ``crc``, and a fold over a list of bytes, for the queries' SQL.
+CRC_TABLE = "crc AS (SELECT list(v ORDER BY i) AS steps FROM (SELECT i, list_reduce([i] || range(8), lambda c, k: xor(c >> 1, 3988292384 * (c & 1))) AS v FROM range(256) t(i)))"
+CRC_FOLD = "xor(list_reduce([4294967295] || {codes}, lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])), 4294967295)"

@@ -20,14 +20,13 @@ import hashlib
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import stored, table
+from weftgraph.llm.common import CRC_FOLD, CRC_TABLE, LOWER, UPPER, lowered, numbered, stored, table
 
-#: Fixed by the query contract: the fields of a leaf in order, and the letters that tampering changes.
+#: Fixed by the query contract: the fields of a leaf in order.
 FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FANOUT = 16
 
 
@@ -40,17 +39,6 @@ def leaf(**other: Column) -> Column:
     return F.sha2(F.concat(*parts), 256)
 
 
-def numbered(rows: DataFrame, *order: str, name: str) -> DataFrame:
-    """The rows as a written table, with ``idx``, their place in their ``tree`` by the order, and ``n``, the tree's size."""
-    keys = [F.col("tree"), *(F.col(c).asc_nulls_first() for c in order)]
-    dealt = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    placed = stored(dealt.withColumn("place", F.monotonically_increasing_id()), name).withColumn("part", F.shiftright("place", 33))
-    runs = placed.groupBy("tree", "part").agg(F.min("place").alias("first"), F.count("*").alias("here"))
-    one = Window.partitionBy("tree")
-    runs = runs.select("tree", "part", "first", (F.sum("here").over(one.orderBy("part")) - F.col("here")).alias("before"), F.sum("here").over(one).alias("n"))
-    return placed.join(runs, ["tree", "part"]).withColumn("idx", F.col("before") + F.col("place") - F.col("first")).drop("part", "place", "first", "before")
-
-
 def collapsed(hashes: list[str], fanout: int, levels: int) -> list[list[str]]:
     """The nodes of a block level by level, the given ones first."""
     out = [hashes]
@@ -169,9 +157,9 @@ def manifest(docs: DataFrame, tampered: Column | None = None, fanout: int = FANO
         (F.lit(None).cast("string") if tampered is None else tampered).alias("changed"), F.monotonically_increasing_id().alias("row"),
     )
     rows = stored(rows, "merkle-leaves")  # texts are read once
-    leaves = reduced(stored(numbered(rows, "doc_id", "h", "row", name="merkle-sorted").drop("row"), "merkle-numbered"), fanout, per_block)
+    leaves = reduced(stored(numbered(rows, "tree", [F.col("doc_id").asc_nulls_first(), F.col("h"), F.col("row")], "merkle-sorted").drop("row"), "merkle-numbered"), fanout, per_block)
     tops = leaves.roots.select(F.lit("").alias("tree"), F.col("tree").alias("source"), F.col("top").alias("h"))
-    sources = stored(numbered(tops, "source", name="merkle-sources"), "merkle-subroots")
+    sources = stored(numbered(tops, "tree", [F.col("source")], "merkle-sources"), "merkle-subroots")
     return Manifest(leaves, sources, reduced(sources, fanout, per_block))
 
 
@@ -198,15 +186,10 @@ def digest_row(leaf: dict, left: list[str], right: list[str], up) -> tuple:
 def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     struck = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
-    changed = F.when(struck, leaf(text=F.translate("text", UPPER, LOWER)))
+    changed = F.when(struck, leaf(text=lowered(F.col("text"))))
     return proofs(manifest(docs, changed), digest_row, "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean")
 
 
-#: DuckDB has no crc32: a table of its 256 steps, and a fold over a list of bytes.
-CRC_TABLE = "crc AS (SELECT list(v ORDER BY i) AS steps FROM (SELECT i, list_reduce([i] || range(8), lambda c, k: xor(c >> 1, 3988292384 * (c & 1))) AS v FROM range(256) t(i)))"
-CRC_FOLD = "xor(list_reduce([4294967295] || {codes}, lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])), 4294967295)"
-
-
 def query_sql() -> str:
     field = lambda c: f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
     h = lambda text: f"sha256({' || '.join(field(c) for c in FIELDS[:-1])} || {field(text)})"

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import byte_bpe, fingerprints, line_dedup, merkle, mixing, quality, simhash, substring_dedup, token_counts, topk, toxicity
+from weftgraph.llm import byte_bpe, fingerprints, line_dedup, merkle, mixing, quality, resampling, simhash, substring_dedup, token_counts, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,8 +22,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_substring_dedup": substring_dedup.op9_substring_dedup,
         "op10_byte_bpe": byte_bpe.op10_byte_bpe,
         "op11_merkle": merkle.op11_merkle,
+        "op13_resampling": resampling.op13_resampling,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.query_sql(), "op2_mixing": mixing.query_sql(), "op8_topk": topk.query_sql(), "op11_merkle": merkle.query_sql()}
+    return {"op1_line_dedup": line_dedup.query_sql(), "op2_mixing": mixing.query_sql(), "op8_topk": topk.query_sql(), "op11_merkle": merkle.query_sql(), "op13_resampling": resampling.query_sql()}
