@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import byte_bpe, fingerprints, line_dedup, merkle, mixing, quality, resampling, simhash, substring_dedup, token_counts, topk, toxicity
+from weftgraph.llm import byte_bpe, fingerprints, line_dedup, lm, merkle, mixing, quality, resampling, simhash, substring_dedup, token_counts, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_substring_dedup": substring_dedup.op9_substring_dedup,
         "op10_byte_bpe": byte_bpe.op10_byte_bpe,
         "op11_merkle": merkle.op11_merkle,
+        "op12_lm": lm.op12_lm,
         "op13_resampling": resampling.op13_resampling,
     }
 
