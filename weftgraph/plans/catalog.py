@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions import scalars
+from weftgraph.operators import communities as grouping
 from weftgraph.operators import graph, traversal
 from weftgraph.plans import model
 from weftgraph.sources import corpus
@@ -206,6 +207,21 @@ def cycle_clean(spark, d):
 
 @query("communities")
 def communities(spark, d):
+    """Communities of the part chain by the map equation."""
+    e = corpus.part_chain(spark, d)
+    return grouping.map_communities(_chain_nodes(e), e)[0]
+
+
+@query("communities_modularity")
+def communities_modularity(spark, d):
+    """The same by modularity with refinement."""
+    e = corpus.part_chain(spark, d)
+    return grouping.modularity_communities(_chain_nodes(e), e)[0]
+
+
+@query("communities_propagated")
+def communities_propagated(spark, d):
+    """The same by label propagation."""
     e = corpus.part_chain(spark, d)
     return graph.communities(_chain_nodes(e), e, rounds=6)
 
@@ -505,7 +521,7 @@ def citation_pipeline(spark, d):
     counts = e.groupBy(F.col("target_id").alias("node_id")).agg(F.count("*").alias("citation_count"))
     works = nodes.join(counts, "node_id", "left").select("node_id", F.coalesce("citation_count", F.lit(0)).alias("citation_count"), (F.lit(1990) + F.substring_index("node_id", ":", -1).cast("int") % 10).alias("year"))
     seeds = [r.node_id for r in works.orderBy(F.desc("citation_count"), "node_id").limit(2).collect()]
-    params = {"seeds": seeds, "n_backward": 3200, "n_forward": 20, "lambda_decay": 0.1, "alpha": 1.0, "beta": 0.0, "current_year": 2000, "min_strength": 2, "damping": 0.85, "rounds": 4}
+    params = {"seeds": seeds, "n_backward": 3200, "n_forward": 20, "lambda_decay": 0.1, "alpha": 1.0, "beta": 0.0, "current_year": 2000, "min_strength": 2, "damping": 0.85}
     plan = model.citation_plan(params)
     out = halted(plan, run(plan, registry(works, e), {"model_client": None}))["enrich"]["enriched_nodes"]
     return out.select("node_id", "hop_depth", "citation_count", "traversal_direction", F.round("pagerank", 9).alias("pagerank"), "community_id")

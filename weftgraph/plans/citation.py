@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions import scalars
-from weftgraph.operators import annotate, graph, traversal
+from weftgraph.operators import annotate, communities, graph, traversal
 from weftgraph.plans.runner import Registry
 
 
@@ -75,7 +75,11 @@ def registry(works: DataFrame, cites: DataFrame) -> Registry:
 
     @r.register("communities")
     def groups(params, inputs):
-        return {"communities": graph.communities(inputs["nodes"], inputs["all_cites"], params["rounds"] or 8)}
+        algorithm = params["algorithm"] or "map_equation"
+        allowed = {"map_equation": ("seed", "trials", "teleport"), "modularity": ("seed",)}.get(algorithm, ())
+        options = {n: params[n] for n in allowed if params[n] is not None}
+        found = communities.detected(inputs["nodes"], inputs["all_cites"], algorithm, params["community_count_min"] or 1, params["community_count_max"], **options)
+        return {"communities": found["communities"], "community_report": found["report"], "community_warnings": found["warnings"]}
 
     @r.register("enrich")
     def enrich(params, inputs):

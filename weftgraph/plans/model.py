@@ -272,7 +272,7 @@ STAGES = {
     "annotate": (["llm"], ["nodes", "resolved"], ["nodes", "provenance"]),
     "depth": ([], ["nodes", "cleaned_edges"], ["depth_metrics"]),
     "pagerank": (["damping"], ["nodes", "cleaned_edges"], ["pagerank"]),
-    "communities": (["rounds"], ["nodes", "all_cites"], ["communities"]),
+    "communities": (["algorithm", "seed", "trials", "teleport", "community_count_min", "community_count_max"], ["nodes", "all_cites"], ["communities", "community_report", "community_warnings"]),
     "enrich": ([], ["nodes", "depth_metrics", "pagerank", "communities"], ["enriched_nodes"]),
 }
 #: Which stage's output feeds an input, where the name alone does not tell.
