@@ -17,7 +17,7 @@ from weftgraph.llm.common import stored, table
 
 
 #: Frequent pieces that the last stage folds beforehand; fewer than the operator's own number, as earlier stages leave the driver less memory.
-MEMO = 100_000
+MEMO = 40_000
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -176,8 +176,10 @@ def memo_words(rows: DataFrame, ranks: dict[bytes, int], tables: Column, pattern
         share = min(1.0, memo_docs / max(1, rows.count()))
         some = rows.select("text").sample(False, share, 1) if share < 1 else rows.select("text")
         seen = some.select(F.explode(pieces_of(F.col("text"), pattern)).alias("w")).groupBy("w").count().where(F.length("w") <= 64)
+        if share > 0.5:  # what a text has once gains nothing by being folded beforehand
+            seen = seen.where("count > 1")
         seen = seen.orderBy(F.desc("count"), "w").limit(memo).select("w").join(words.select("w"), "w", "left_anti")
-        seen = seen.repartition(16)
+        seen = seen.repartition(max(16, 2 * spark.sparkContext.defaultParallelism))
         seen = with_tables(seen, tables, "v", lambda t: bound(F.col("w"), WORD, lambda w: F.struct(w.alias("w"), coded(t, w, gap_of(ranks)).alias("c"))), kept=[]).select("v.w", "v.c.*")
         words = words.union(seen.where("d = w").select("w", "p"))
     return stored(words, "pieces")
