@@ -6,6 +6,7 @@ import os
 import random
 import re
 import struct
+import time
 from collections import Counter
 
 import duckdb
@@ -196,6 +197,28 @@ def test_token_counts_equal_the_library():
         assert token_counts.Counter(model, chunk, overlap).counts(some).tolist() == [len(sp.encode(t)) for t in some]
 
 
+def test_very_long_texts_take_linear_time():
+    import sentencepiece
+
+    with open(token_counts.tokenizer_path("piece_bpe_32k.model"), "rb") as f:
+        model = f.read()
+    sp, counter, rnd = sentencepiece.SentencePieceProcessor(model_proto=model), token_counts.Counter(model), random.Random(5)
+    han = "".join(chr(rnd.randrange(0x4E00, 0x9000)) for _ in range(700_000))
+    for text in (han, "x" * 500_000, "ab" * 200_000 + han[:9000], "▁ a▁" * 50_000):
+        began = time.time()
+        assert counter.counts([text])[0] == len(sp.encode(text))
+        assert time.time() - began < 30
+    lexicon = toxicity.Lexicon({" trash ": 1.0, " can ": 0.5, " bin ": 0.25}, {" trash can "})
+    began = time.time()
+    assert lexicon.hits(["trash", "can"] * 200_000 + ["bin", "trash"], lexicon.automaton()) == 1.25
+    assert time.time() - began < 30
+
+
+def test_lexicon_leaves_out_what_stands_in_any_span():
+    lexicon = toxicity.Lexicon({" b": 1.0, " c": 2.0, " d": 4.0, " e": 8.0}, {" a b c d ", " b c ", " x "})
+    assert lexicon.hits("a b c d e b x c b c d".split(), lexicon.automaton()) == 8 + 1 + 2 + 4
+
+
 def test_byte_bpe_folds_short_and_long_pieces_alike(spark):
     import public_tokenizers
     import tiktoken
@@ -262,6 +285,10 @@ def test_top_k_repeated_and_large_vectors(spark):
     whole = {i: [int(256 * x) for x in e] for i, e in big}
     want = sorted(((-sum(a * b for a, b in zip(whole[0], whole[i])), i) for i in (1, 2, 3)))
     assert top(v, v.where("vec_id = 0"), 3) == [(0, r + 1, i, -s) for r, (s, i) in enumerate(want)] and -want[0][0] > 2**53
+    odd = [(i, [3.0e6, j / 256]) for i, j in ((0, 1), (1, 1), (2, 2), (3, 3), (4, 4))]  # scores beyond 2**53 that differ by one
+    v = topk.integer_vectors(spark.createDataFrame(odd, "vec_id long, embedding array<double>"))
+    want = [(0, 1, 4, 768_000_000**2 + 4), (0, 2, 3, 768_000_000**2 + 3), (0, 3, 2, 768_000_000**2 + 2)]
+    assert top(v, v.where("vec_id = 0"), 3) == want
     for huge, error in ((1e30, Exception), (1e8, ValueError)):
         w = topk.integer_vectors(spark.createDataFrame([(0, [huge]), (1, [huge])], "vec_id long, embedding array<double>"))
         with pytest.raises(error, match="2\\*\\*62"):
@@ -386,7 +413,7 @@ def test_odd_rows_of_byte_bpe_and_top_k(spark, odd, none):
     assert [(r.query_id, r["rank"], r.vec_id) for r in topk.top_k(v, v).orderBy("query_id", "rank").collect()] == [(0, 1, 2), (2, 1, 0), (2, 2, 0)]
 
 
-def test_token_counts_equal_the_library(spark, raw):
+def test_token_count_query_equals_the_library(spark, raw):
     import sentencepiece
 
     with open(token_counts.tokenizer_path("piece_bpe_32k.model"), "rb") as f:

@@ -60,7 +60,8 @@ def scored(batches: Iterator[pa.RecordBatch], q: np.ndarray) -> Iterator[tuple[n
     for b in batches:
         for a in range(0, b.num_rows, 2048):
             part = b.slice(a, 2048)
-            yield part.column(0).to_numpy(), np.rint(q @ matrix(part.column(1), q.shape[1], q.dtype.type).T).astype(np.int64)
+            s = q @ matrix(part.column(1), q.shape[1], q.dtype.type).T
+            yield part.column(0).to_numpy(), s if s.dtype == np.int64 else np.rint(s).astype(np.int64)
 
 
 def longest(vectors: DataFrame) -> float:

@@ -18,8 +18,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -104,7 +106,9 @@ class Lexicon:
             else:
                 spans.append((at, end))
         if spans:
-            best = {at: w for at, w in best.items() if not any(a <= at < b for a, b in spans)}
+            spans.sort()
+            starts, reach = [a for a, _ in spans], list(accumulate((b for _, b in spans), max))  # how far the spans up to each go
+            best = {at: w for at, w in best.items() if not (i := bisect_right(starts, at)) or reach[i - 1] <= at}
         return sum(best.values())
 
     def inputs(self, hits: np.ndarray, words: np.ndarray) -> np.ndarray:
