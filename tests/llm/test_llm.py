@@ -232,6 +232,25 @@ def test_byte_bpe_folds_short_and_long_pieces_alike(spark):
         assert all(r.ids == enc._encode_single_piece(r.w.encode()) for r in got)
 
 
+def test_byte_bpe_cuts_long_pieces(spark):
+    """A piece of a megabyte in seconds, and random bytes of many scripts, as the library has them."""
+    import public_tokenizers
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.ranks_of(path), special_tokens={})
+    rnd = random.Random(9)
+    han = "".join(chr(rnd.randrange(0x4E00, 0x9000)) for _ in range(340_000))
+    mixed = ["".join(rnd.choice("aethZéß漢字ж🙂ñ") for _ in range(rnd.randrange(40, 700))) for _ in range(40)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([han, *mixed])], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r for r in byte_bpe.tokens_digest(rows, path, public_tokenizers.PATTERN, memo=0).collect()}
+    assert time.time() - began < 120
+    for i, t in enumerate([han, *mixed]):
+        ids = enc.encode_ordinary(t)
+        assert got[i].n_tokens == len(ids) and got[i].ids_sha256 == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest() and got[i].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
+
+
 def test_byte_bpe_equals_the_library(spark, docs, raw):
     import public_tokenizers
     import tiktoken

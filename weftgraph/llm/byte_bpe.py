@@ -4,7 +4,8 @@ A text is cut into pieces by the tokenizer's pattern. A piece that is a token as
 token; any other starts as the tokens of its bytes, and a fold merges, again and again, the
 leftmost of the adjacent pairs with the lowest rank, looking ranks up in a literal map. The fold's
 state is one array that holds each token with its pair's rank, so that a merge looks up two ranks only.
-Ranks are below 2**20, and a piece has 2**23 bytes at most; a longer one raises.
+Ranks are below 2**20. Long pieces are cut where no token of the vocabulary has the two bytes side by side, since no merge crosses
+that; a stretch without such a place takes time in the square of its length, and one of over 2**23 bytes raises.
 
 Frequent distinct pieces are folded once beforehand, and their tokens decoded once, into a second literal map of those
 that decode to themselves; every other piece is folded and decoded where it stands, so the map's size changes the
@@ -32,12 +33,12 @@ from weftgraph.llm.common import stored, table, texts
 
 SLOTS = 65_537
 SHIFT = 1 << 20
-#: Slots of the map of frequent pieces.
-WORD_SLOTS = 1 << 17
 #: A fold's numbers hold rank, place (23 bits) and token (20 bits).
 RANK_AT, NO_RANK, LONGEST = 43, (1 << 20) - 1, 1 << 23
 #: Length of the fold's array up to which a merge counts to its place.
 SHORT = 64
+#: Bytes above which a piece is cut before it is folded, and the mark of a cut, which isn't a Latin-1 letter.
+CUT, APART = 128, "\u0100"
 #: Size of the map of frequent pieces, and of the sample of documents that it is drawn from.
 MEMO, MEMO_DOCS = 300_000, 30_000
 #: Unicode's White_Space, the tokenizer library's \s.
@@ -96,18 +97,27 @@ def rank_map(ranks: dict[bytes, int]) -> dict[str, tuple[object, str]]:
                 values[key % SLOTS].append(rank)
     own = [ranks[bytes([i])] for i in range(256)]
     first = [(ranks.get(bytes([a, b]), NO_RANK) << RANK_AT) + own[a] for a in range(256) for b in range(256)]
-    kinds = {"keys": "array<array<bigint>>", "ranks": "array<array<bigint>>", "bytes": "array<bigint>", "first": "array<bigint>"}
-    return {n: (v, k) for (n, k), v in zip(kinds.items(), (keys, values, [(NO_RANK << RANK_AT) + x for x in own], first))}
+    joins = [0] * 65_536
+    for token in ranks:
+        for a, b in zip(token, token[1:]):
+            joins[a * 256 + b] = 1
+    kinds = {"keys": "array<array<bigint>>", "ranks": "array<array<bigint>>", "bytes": "array<bigint>", "first": "array<bigint>", "joins": "array<int>"}
+    return {n: (v, k) for (n, k), v in zip(kinds.items(), (keys, values, [(NO_RANK << RANK_AT) + x for x in own], first, joins))}
 
 
-def slot_of(piece: Column) -> Column:
-    return F.hash(piece).bitwiseAND(WORD_SLOTS - 1)
+def slots_for(pieces: int) -> int:
+    """Slots of the map of frequent pieces: a power of two, two to four pieces a slot."""
+    return 1 << max(10, pieces.bit_length() - 2)
 
 
-def word_map(words: DataFrame) -> Column:
-    """A map from pieces to their tokens, in slots by the piece's hash, as one value that the plan holds as a subquery."""
-    slots = words.select(slot_of(F.col("w")).alias("slot"), "w", "p").groupBy("slot").agg(F.collect_list(F.struct("w", "p")).alias("e"))
-    every = words.sparkSession.range(WORD_SLOTS).select(F.col("id").cast("int").alias("slot"))
+def slot_of(piece: Column, slots: Column | int) -> Column:
+    return F.hash(piece).bitwiseAND(slots - 1)
+
+
+def word_map(words: DataFrame, size: int) -> Column:
+    """A map from pieces to their tokens, in ``size`` slots by the piece's hash, as one value that the plan holds as a subquery."""
+    slots = words.select(slot_of(F.col("w"), size).alias("slot"), "w", "p").groupBy("slot").agg(F.collect_list(F.struct("w", "p")).alias("e"))
+    every = words.sparkSession.range(size).select(F.col("id").cast("int").alias("slot"))
     full = every.join(slots, "slot", "left").agg(F.sort_array(F.collect_list(F.struct("slot", "e"))).alias("all"))
     return full.select(F.transform("all", lambda s: F.map_from_entries(F.coalesce(s["e"], F.array().cast("array<struct<w:string,p:string>>")))).alias("words")).scalar()
 
@@ -121,18 +131,34 @@ def looked_up(tables: Column, a: Column, b: Column) -> Column:
 def folded(tables: Column, piece: Column, short: int = SHORT) -> Column:
     """Tokens of one piece by ranked merges.
 
+    A piece of over ``CUT`` bytes is first cut where two bytes meet that stand side by side in no token of the
+    vocabulary: no merge ever crosses such a place, so what is on either side is folded alone.
+    """
+    latin = F.decode(F.encode(piece, "UTF-8"), "ISO-8859-1")
+
+    def parts(chars: Column) -> Column:
+        apart = lambda x, i: (i > 0) & (F.get(tables["joins"], F.ascii(F.get(chars, i - 1)) * 256 + F.ascii(x)) == 0)
+        marked = F.transform(chars, lambda x, i: F.when(apart(x, i), F.concat(F.lit(APART), x)).otherwise(x))
+        return F.flatten(F.transform(F.split(F.array_join(marked, ""), APART), lambda p: merged(tables, p, short)))
+
+    return F.when(F.octet_length(piece) <= CUT, merged(tables, latin, short)).otherwise(bound(F.split(latin, ""), "array<int>", parts))
+
+
+def merged(tables: Column, latin: Column, short: int) -> Column:
+    """Tokens of bytes, given as Latin-1 text, by ranked merges.
+
     The state is one array with a number for each token: the rank of its pair with the next token (``NO_RANK`` for
     none), the place of its first byte, and the token. So the least number is the lowest rank at its first
     place. Its index is the count of numbers with lower places. Where more than ``short`` are left, array_position,
     slices and concat serve, which cost more a call (the first throws where it finds) and less a number.
     """
-    units = F.transform(F.split(F.decode(F.encode(piece, "UTF-8"), "ISO-8859-1"), ""), F.ascii)
+    units = F.transform(F.split(latin, ""), F.ascii)
     token_of = lambda x: x.bitwiseAND(SHIFT - 1)
     placed = lambda x: x.bitwiseAND((1 << RANK_AT) - 1)  # noqa: E731  place and token
 
     def start(u: Column) -> Column:
         first = F.transform(u, lambda x, i: F.coalesce(F.get(tables["first"], x * 256 + F.get(u, i + 1)), F.get(tables["bytes"], x)) + F.shiftleft(i.cast("bigint"), 20))
-        return F.when(F.size(u) <= LONGEST, first).otherwise(F.raise_error(F.lit(f"a piece has more than {LONGEST} bytes")).cast("array<bigint>"))
+        return F.when(F.size(u) <= LONGEST, first).otherwise(F.raise_error(F.lit(f"a piece has more than {LONGEST} bytes that merges could join")).cast("array<bigint>"))
 
     def entry(left: Column, following: Column) -> Column:
         return F.shiftleft(F.coalesce(looked_up(tables, token_of(left), following), F.lit(NO_RANK).cast("bigint")), RANK_AT) + left
@@ -225,7 +251,7 @@ def text_codes(t: Column, words: Column, text: Column, pattern: str, gap: str) -
     """The text with its codes, by the lookup tables t and the map of known pieces."""
 
     def spelled(cut: Column) -> Column:  # each piece with its tokens, and what these decode to
-        known = F.transform(cut, lambda w: F.get(words, slot_of(w))[w])
+        known = F.transform(cut, lambda w: F.get(words, slot_of(w, F.size(words)))[w])
         pairs = lambda k: F.zip_with(cut, k, lambda w, p: F.when(p.isNotNull(), F.struct(p.alias("p"), w.alias("d"))).otherwise(coded(t, w, gap)))
         return bound(known, f"array<{PIECE}>", pairs)
 
@@ -240,7 +266,7 @@ def with_codes(rows: DataFrame, path: str, pattern: str, memo: int, memo_docs: i
     """The columns of ``rows`` but its text, and ``codes`` with the text, ids and bytes."""
     ranks = ranks_of(path)
     tables, gap = literal(rows.sparkSession, **rank_map(ranks), **byte_tables(ranks)), gap_of(ranks)
-    words = word_map(memo_words(rows, ranks, tables, pattern, memo, memo_docs))
+    words = word_map(memo_words(rows, ranks, tables, pattern, memo, memo_docs), slots_for(memo + len(ranks)))
     codes = lambda t, w: bound(F.col("text"), CODED, lambda x: text_codes(t, w, x, pattern, gap))
     return with_tables(rows, tables, "codes", codes, words, [c for c in rows.columns if c != "text"])
 
