@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from weftgraph.functions import scalars
-from weftgraph.operators import graph
+from weftgraph.operators import cycles, graph
 from weftgraph.plans import catalog, model
 from weftgraph.plans.runner import DuplicateNodeError, HaltError, InjectedOutputError, Registry, UnregisteredTypeError, UnsuppliedResourceError, halted, run
 from weftgraph.sources.store import ArtifactStore, address
@@ -43,7 +43,7 @@ def test_entry(spark):
 
 
 def suppressed(spark, nodes, pairs):
-    kept, gone = graph.clean_cycles(nodes_of(spark, nodes), edges_of(spark, pairs))
+    kept, gone = cycles.clean_cycles(nodes_of(spark, nodes), edges_of(spark, pairs))
     return {tuple(r) for r in kept.collect()}, {(r.source_id, r.target_id): r for r in gone.collect()}
 
 
@@ -93,6 +93,32 @@ def test_suppressed_edges_are_the_least_of_a_cycle_that_stays(spark):
         assert (s, t) == min(ring, key=lambda e: (count[e[0]] + count[e[1]], *e))
 
 
+def test_large_components_are_cut_round_by_round(spark):
+    import random
+
+    rng = random.Random(8)
+    n, pairs = [(f"n{i:02d}", rng.randrange(9)) for i in range(12)], set()
+    while len(pairs) < 80:
+        a, b = rng.sample(range(12), 2)
+        pairs.add((f"n{a:02d}", f"n{b:02d}"))
+    kept, gone = cycles.clean_cycles(nodes_of(spark, n), edges_of(spark, sorted(pairs)), most=60)
+    kept, gone, count = {(r.source_id, r.target_id) for r in kept.collect()}, {(r.source_id, r.target_id): r.cycle_members for r in gone.collect()}, dict(n)
+    assert kept | set(gone) == pairs and not kept & set(gone)
+    plan = model.Plan("x", [model.Node(i, "n") for i, _ in n], [model.Edge(a, b) for a, b in kept])
+    assert len(model.topological(plan)) == len(n)
+    for (s, t), members in gone.items():
+        ring = list(zip(members, [*members[1:], members[0]]))
+        assert (s, t) in ring and set(ring) <= pairs and len({*members}) == len(members)
+        assert (s, t) == min(ring, key=lambda e: (count[e[0]] + count[e[1]], *e))
+
+
+def test_strong_components(spark):
+    pairs = [("A", "B"), ("B", "C"), ("C", "A"), ("C", "D"), ("D", "E"), ("E", "D"), ("E", "F"), ("G", "G"), ("H", "A")]
+    n = spark.createDataFrame([(x,) for x in "ABCDEFGHI"], "node_id string")
+    got = {r.node_id: r.component for r in cycles.strong_components(n, edges_of(spark, pairs)).collect()}
+    assert got == dict(zip("ABCDEFGHI", "AAADDFGHI"))
+
+
 def test_cocitation(spark):
     e = edges_of(spark, [("C", "A"), ("C", "B"), ("D", "A"), ("D", "B"), ("A", "A")])
     assert [tuple(r) for r in graph.cocitation(e).collect()] == [("A", "B", 2)]

@@ -9,6 +9,7 @@ from weftgraph.operators import annotate, graph, traversal
 from weftgraph.plans import model, projection
 from weftgraph.plans.runner import InjectedOutputError, Registry, run
 from weftgraph.sources import ledger, works
+from weftgraph.sources.store import ArtifactStore
 
 
 def work(key, **more):
@@ -46,16 +47,38 @@ def test_seeds(spark):
     assert works.seed_filter({"doi": "x"}) == "doi:x" and works.seed_filter({"id": 1}) is None
 
 
-def test_batched_lookup(spark):
+def flaky():
     def fetch(ids):
         if "5" in ids:
             raise OSError("down")
         return [json.dumps({"id": i}) for i in ids]
 
-    got = works.lookup(spark.range(10).select(F.col("id").cast("string").alias("id")).coalesce(1), fetch, "depth1", size=2).collect()
+    return fetch
+
+
+def told(got):
+    """The failures; the batch with id 5 alone has failed, and all other ids have a record."""
     failed = [r.failed for r in got if r.failed]
     assert len(failed) == 1 and "5" in failed[0].ids and failed[0].reason == "down" and failed[0].stage == "depth1"
-    assert sum(r.json is not None for r in got) == 10 - len(failed[0].ids)
+    assert sorted(json.loads(r.json)["id"] for r in got if r.json) == sorted({str(i) for i in range(10)} - set(failed[0].ids))
+    return failed
+
+
+def test_batched_lookup(spark):
+    calls = spark.sparkContext.accumulator(0)
+    ids = spark.range(10).select(F.col("id").cast("string").alias("id")).repartition(5)
+    got = works.lookup(ids.union(ids), flaky(), "depth1", size=4, calls=calls)
+    assert len(told(got.collect())[0].ids) == 4 and got.where("failed IS NULL").count() == 6 and got.where("failed IS NOT NULL").count() == 1
+    assert calls.value == 3  # one a batch, however often the result is read
+
+
+def test_works_data_source(spark):
+    spark.dataSource.register(works.works_source(flaky(), [str(i) for i in range(10)], "depth1", size=2))
+    df = spark.read.format("works").load()
+    assert df.rdd.getNumPartitions() == 5
+    assert told(df.collect())[0].ids == ["4", "5"]
+    spark.dataSource.register(works.works_source(flaky(), [], "depth1"))
+    assert spark.read.format("works").load().count() == 0
 
 
 def test_atom(spark):
@@ -262,3 +285,45 @@ def test_pagerank_against_a_plain_loop(spark):
         loose = sum(x[v] for v in "DF")
         x = {v: 0.15 / 6 + 0.85 * (sum(x[s] / sum(a == s for a, _ in pairs) for s, t in pairs if t == v) + loose / 6) for v in x}
     assert all(abs(got[v] - x[v]) < 1e-12 for v in x)
+
+
+def test_writers_of_one_address(spark, tmp_path):
+    """A second writer finds the marker and leaves nothing; both read the first one's tables. An empty marker is no bundle."""
+    store, other = ArtifactStore(spark, f"file://{tmp_path}"), ArtifactStore(spark, f"file://{tmp_path}")
+    key = other.write(["b"], {}, {"nodes": spark.range(1)})
+    slow = lambda: other.write(["a"], {}, {"nodes": spark.range(2)}) and {"nodes": spark.range(7)}  # noqa: E731  another writer is done meanwhile
+    key, tables, hit = store.cached(["a"], {}, slow)
+    assert not hit and tables["nodes"].count() == 2 and other.read(key)[1]["nodes"].count() == 2
+    assert len(list((tmp_path / f"address={key}").glob("attempt=*"))) == 1
+    with pytest.raises(FileExistsError):
+        store.write(["a"], {}, {})
+    (tmp_path / "address=x").mkdir()
+    (tmp_path / "address=x" / "marker").write_text("")
+    assert not store.has("x")
+    with pytest.raises(FileNotFoundError):
+        store.read("x")
+
+
+def test_ledger_entries_of_two_writers_are_one(spark, tmp_path):
+    book = f"file://{tmp_path}/book"
+    entries = spark.createDataFrame([("k", "h", "{}"), ("k", "h", "{}"), ("k", "i", "{}")], ledger.LEDGER)
+    assert ledger.append_ledger(spark, book, entries) == 2 and ledger.append_ledger(spark, book, entries) == 0
+    spark.read.text(book).write.mode("append").text(book + "2")
+    spark.read.text(book).write.mode("append").text(book + "2")
+    assert sorted(tuple(r) for r in ledger.read_ledger(spark, book + "2").collect()) == [("k", "h"), ("k", "i")]
+
+
+def test_cached_run(spark, tmp_path):
+    """A miss attaches the baseline; a hit gives this call's seeds and notes drift."""
+    store, book = ArtifactStore(spark, f"file://{tmp_path}/store"), f"file://{tmp_path}/ledger"
+    seeds = lambda *names: spark.createDataFrame([(x,) for x in names], "node_id string")
+    none, runs = spark.createDataFrame([], "seed string"), []
+    made = lambda: runs.append(1) or {"nodes": spark.range(3), "seeds": seeds("a", "b")}
+    live = ledger.manifest(["weftgraph.plans.citation"], "weftgraph")
+    (tmp_path / "side").mkdir()
+    tables, hit, fault = ledger.cached_run(store, seeds("a", "b"), none, {"x": 1}, made, live, str(tmp_path / "side"), book)
+    assert not hit and fault is None and tables["nodes"].count() == 3 and ledger.read_ledger(spark, book).count() == 0
+    drifted = live | {"lock": "another"}
+    tables, hit, fault = ledger.cached_run(store, seeds("b", "a"), none, {"x": 1}, made, drifted, str(tmp_path / "side"), book)
+    assert hit and fault is None and len(runs) == 1
+    assert [r.node_id for r in tables["seeds"].collect()] == ["b", "a"] and ledger.read_ledger(spark, book).count() == 1

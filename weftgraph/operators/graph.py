@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -187,96 +186,6 @@ def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 12) -> DataFra
     return label
 
 
-def clean_cycles(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Acyclic edges, and the suppressed ones with citation_sum and cycle_members.
-
-    Nodes outside all cycles are peeled away by joins; the cyclic core is dealt out by component, and in each
-    component, an edge goes if it is the least by (citation sum, source, target) of a cycle whose other
-    edges stay. One component is one task's work. Raises if a kept edge has an endpoint that is no node.
-    """
-    e = cut(edges.select("source_id", "target_id").distinct())
-    orphan = unknown_endpoints(e.where("source_id <> target_id"), nodes).limit(1).collect()
-    core = e.where("source_id <> target_id")
-    size = core.count()
-    while True:
-        ins, outs = core.select(F.col("target_id").alias("x")).distinct(), core.select(F.col("source_id").alias("x")).distinct()
-        core = cut(core.join(ins, F.col("source_id") == F.col("x"), "left_semi").join(outs, F.col("target_id") == F.col("x"), "left_semi"))
-        now = core.count()
-        if now == size:
-            break
-        size = now
-    counts = nodes.select("node_id", F.coalesce("citation_count", F.lit(0)).alias("c"))
-    loops = e.where("source_id = target_id")
-    weigh = lambda d: d.join(counts.select(F.col("node_id").alias("ns"), F.col("c").alias("cs")), F.col("source_id") == F.col("ns"), "left").join(counts.select(F.col("node_id").alias("nt"), F.col("c").alias("ct")), F.col("target_id") == F.col("nt"), "left").select("source_id", "target_id", (F.coalesce("cs", F.lit(0)) + F.coalesce("ct", F.lit(0))).cast("long").alias("citation_sum"))
-    ends = core.select(F.explode(F.array("source_id", "target_id")).alias("node_id")).distinct()
-    labelled = weigh(core).join(components(ends, core), F.col("source_id") == F.col("node_id")).select("component", "source_id", "target_id", "citation_sum")
-    broken = labelled.groupBy("component").applyInPandas(_break_cycles, "source_id string, target_id string, citation_sum long, cycle_members array<string>")
-    own = weigh(loops).select("source_id", "target_id", "citation_sum", F.array("source_id").alias("cycle_members"))
-    suppressed = cut(broken.unionByName(own))
-    kept = edges.join(suppressed.select("source_id", "target_id"), ["source_id", "target_id"], "left_anti")
-    if orphan and unknown_endpoints(kept, nodes).limit(1).count():
-        raise ValueError(f"edge endpoint {orphan[0].node_id} is no node")
-    return kept, suppressed
-
-
-def _break_cycles(rows: pd.DataFrame) -> pd.DataFrame:
-    """Edges of one component of the core that close a cycle with heavier ones, and a shortest such cycle each.
-
-    Edges join an acyclic graph from the greatest (citation sum, source, target) down. A topological order of
-    it is kept up: an edge along the order needs no search, and one against it only looks between its two places.
-    """
-    names = sorted({*rows.source_id, *rows.target_id})
-    place = {x: i for i, x in enumerate(names)}
-    links = sorted(zip((int(w) for w in rows.citation_sum), map(place.get, rows.source_id), map(place.get, rows.target_id)), reverse=True)
-    ahead: list[list[int]] = [[] for _ in names]
-    behind: list[list[int]] = [[] for _ in names]
-    at = list(range(len(names)))  # a node's place in the order
-    out = []
-    for w, s, t in links:
-        if at[t] < at[s]:
-            ring = _closing(s, t, ahead, behind, at)
-            if ring is not None:
-                out.append((names[s], names[t], w, [names[x] for x in ring]))
-                continue
-        ahead[s].append(t)
-        behind[t].append(s)
-    return pd.DataFrame(out, columns=["source_id", "target_id", "citation_sum", "cycle_members"])
-
-
-def _closing(s: int, t: int, ahead: list[list[int]], behind: list[list[int]], at: list[int]) -> list[int] | None:
-    """s and the nodes of a shortest path from t to s, both ways at once; without a path, the order is mended for s before t."""
-    low, high = at[t], at[s]
-    came, goes = {t: -1}, {s: -1}
-    down, up = [t], [s]
-    while down or up:
-        forth = bool(down) and (not up or len(down) <= len(up))
-        links, mine, other, level = (ahead, came, goes, down) if forth else (behind, goes, came, up)
-        fresh = []
-        for x in level:
-            for y in links[x]:
-                if y in mine or not low <= at[y] <= high:
-                    continue
-                if y in other:
-                    a, b = (x, y) if forth else (y, x)
-                    ring = []
-                    while a != -1:
-                        ring.append(a)
-                        a = came[a]
-                    ring.append(s)
-                    ring.reverse()
-                    while b != s:
-                        ring.append(b)
-                        b = goes[b]
-                    return ring
-                mine[y] = x
-                fresh.append(y)
-        down, up = (fresh, up) if forth else (down, fresh)
-    moved = sorted(goes, key=at.__getitem__) + sorted(came, key=at.__getitem__)
-    for x, i in zip(moved, sorted(at[x] for x in moved)):
-        at[x] = i
-    return None
-
-
 def enrich(nodes: DataFrame, *metrics: DataFrame) -> DataFrame:
     """Nodes with the columns of every metric; raises, when read, for a node that a metric lacks."""
     for m in metrics:

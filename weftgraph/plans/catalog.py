@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,11 +9,11 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions import scalars
 from weftgraph.operators import communities as grouping
-from weftgraph.operators import graph, traversal
+from weftgraph.operators import cycles, graph, order, traversal
 from weftgraph.plans import model
 from weftgraph.sources import corpus
 from weftgraph.sources import works as works_source
-from weftgraph.sources.store import canonical, cut, table
+from weftgraph.sources.store import address_of, cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -201,10 +200,23 @@ def pagerank(spark, d):
 def cycle_clean(spark, d):
     e = corpus.part_chain(spark, d, acyclic=False)
     nodes = e.groupBy(F.col("target_id").alias("node_id")).agg(F.count("*").alias("citation_count")).join(_chain_nodes(e), "node_id", "right").fillna(0, ["citation_count"])
-    kept, gone = graph.clean_cycles(nodes, e)
+    kept, gone = cycles.clean_cycles(nodes, e)
     return kept.select("source_id", "target_id", F.lit(False).alias("suppressed")).union(gone.select("source_id", "target_id", F.lit(True)))
 
 
+RETURNED = "v5 AS (SELECT DISTINCT printf('part:%06d', a.l_partkey) AS source_id, printf('part:%06d', b.l_partkey) AS target_id FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_returnflag = 'R' AND b.l_returnflag = 'R')"
+
+
+@query("strong_components", f"""
+WITH RECURSIVE {RETURNED}, n AS (SELECT source_id AS x FROM v5 UNION SELECT target_id FROM v5), w AS (SELECT source_id AS a, target_id AS b FROM v5 UNION SELECT w.a, target_id FROM w JOIN v5 ON source_id = w.b),
+m AS (SELECT f.a, min(f.b) AS b FROM w f JOIN w g ON g.a = f.b AND g.b = f.a GROUP BY 1)
+SELECT x AS node_id, least(x, coalesce(b, x)) AS component FROM n LEFT JOIN m ON a = x""")
+def strong_components(spark, d):
+    """Of parts at successive returned lines of an order."""
+    e = corpus.returned_chain(spark, d)
+    return cycles.strong_components(_chain_nodes(e), e)
+
+
 @query("communities")
 def communities(spark, d):
     """Communities of the part chain by the map equation."""
@@ -460,54 +472,74 @@ def community_size(spark, d):
     return traversal.community_summary(labels, 3, 4).drop("algorithm")
 
 
-def _plan_frames(spark):
-    p = model.citation_plan({"llm": None})
-    nodes = spark.createDataFrame([(i, n.id, n.type) for i, n in enumerate(p.nodes)], "ord int, id string, type string")
-    edges = spark.createDataFrame([(e.source, e.target, e.from_port, e.to_port) for e in p.edges], "source string, target string, from_port string, to_port string")
-    return p, nodes, edges
-
+ACYCLIC = f"{V2}, n AS (SELECT source_id AS node FROM v2 UNION SELECT target_id FROM v2)"
 
-def _values(rows: list[tuple], columns: str) -> str:
-    show = lambda x: "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x)
-    return f"(VALUES {', '.join('(' + ', '.join(map(show, r)) + ')' for r in rows)}) t({columns})"
 
-
-_PLAN = model.citation_plan({"llm": None})
-_EDGES = _values([(e.source, e.target, e.from_port, e.to_port) for e in _PLAN.edges], "source, target, from_port, to_port")
-
-
-@query("plan_inventory", f"SELECT target AS node, count(*) AS inputs, count(DISTINCT source) AS producers FROM {_EDGES} GROUP BY 1")
+@query("plan_inventory", f"WITH {V2} SELECT target_id AS node, count(*) AS inputs, max(source_id) AS last_producer FROM v2 GROUP BY 1")
 def plan_inventory(spark, d):
-    return _plan_frames(spark)[2].groupBy(F.col("target").alias("node")).agg(F.count("*").alias("inputs"), F.count_distinct("source").alias("producers"))
+    """Inputs of each node of the part chain, taken as a plan kept in tables."""
+    e = corpus.part_chain(spark, d)
+    return e.groupBy(F.col("target_id").alias("node")).agg(F.count("*").alias("inputs"), F.max("source_id").alias("last_producer"))
 
 
 @query("plan_ranks", f"""
-WITH RECURSIVE e AS (SELECT * FROM {_EDGES}), w AS (SELECT DISTINCT source AS node, 0 AS r FROM e WHERE source NOT IN (SELECT target FROM e) UNION SELECT target, r + 1 FROM w JOIN e ON source = node)
+WITH RECURSIVE {ACYCLIC}, w AS (SELECT node, 0 AS r FROM n WHERE node NOT IN (SELECT target_id FROM v2) UNION SELECT target_id, r + 1 FROM w JOIN v2 ON source_id = node)
 SELECT node, max(r)::INT AS rank FROM w GROUP BY 1""")
 def plan_ranks(spark, d):
-    return spark.createDataFrame(sorted(model.ranks(_plan_frames(spark)[0]).items()), "node string, rank int")
+    """Longest way to each node of the part chain."""
+    e = corpus.part_chain(spark, d)
+    return order.ranks(_chain_nodes(e), e).select(F.col("node_id").alias("node"), "rank")
 
 
 @query("plan_longest_chain", f"""
-WITH RECURSIVE e AS (SELECT DISTINCT source, target FROM {_EDGES}), w AS (SELECT source AS node, source::VARCHAR AS chain, 1 AS k FROM e UNION ALL SELECT target, chain || '>' || target, k + 1 FROM w JOIN e ON source = node)
-SELECT chain, k::INT AS k FROM w ORDER BY k DESC, chain LIMIT 1""")
+WITH RECURSIVE {ACYCLIC}, w AS (SELECT node, 0 AS r FROM n WHERE node NOT IN (SELECT source_id FROM v2) UNION SELECT source_id, r + 1 FROM w JOIN v2 ON target_id = node),
+b AS (SELECT node, max(r) AS behind FROM w GROUP BY 1), s AS (SELECT source_id, arg_min(target_id, struct_pack(x := -behind, y := target_id)) AS step FROM v2 JOIN b ON node = target_id GROUP BY 1),
+c AS (SELECT * FROM (SELECT node, 0 AS place FROM b ORDER BY behind DESC, node LIMIT 1) UNION ALL SELECT step, place + 1 FROM c JOIN s ON source_id = node)
+SELECT place::INT AS place, node FROM c""")
 def plan_longest_chain(spark, d):
-    chain = model.longest_chain(_plan_frames(spark)[0])
-    return spark.createDataFrame([(">".join(chain), len(chain))], "chain string, k int")
+    """The longest chain of parts, of equals the least."""
+    return order.longest_chain(corpus.part_chain(spark, d)).select("place", F.col("node_id").alias("node"))
 
 
-@query("plan_integrity", "SELECT 'input backward.seeds is not fed' AS problem")
+@query("reach_counts", f"""
+WITH RECURSIVE {RETURNED}, e AS (SELECT * FROM v5 WHERE source_id > target_id), n AS (SELECT source_id AS x FROM e UNION SELECT target_id FROM e),
+w AS (SELECT source_id AS a, target_id AS b FROM e UNION SELECT a, target_id FROM w JOIN e ON source_id = b)
+SELECT x AS node_id, count(b) AS reached FROM n LEFT JOIN w ON a = x GROUP BY 1""")
+def reach_counts(spark, d):
+    """Parts that each part reaches along returned lines, larger key to smaller."""
+    e = corpus.returned_chain(spark, d).where("source_id > target_id")
+    return order.reach_counts(_chain_nodes(e), e)
+
+
+@query("reach_sketches")
+def reach_sketches(spark, d):
+    """The same by sketches, over the whole part chain."""
+    e = corpus.part_chain(spark, d)
+    return order.reach_sketches(_chain_nodes(e), e)
+
+
+PROBLEMS = """
+SELECT 'no order' AS problem, count(*) AS edges FROM e WHERE NOT known UNION ALL SELECT 'repeated', count(*) FROM (SELECT 1 FROM e GROUP BY source, target HAVING count(*) > 1) UNION ALL SELECT 'late', count(*) FROM e WHERE late"""
+
+
+@query("plan_integrity", f"WITH e AS (SELECT l_orderkey AS source, l_partkey AS target, o_orderkey IS NOT NULL AS known, coalesce(l_shipdate < o_orderdate, FALSE) AS late FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey) {PROBLEMS}")
 def plan_integrity(spark, d):
-    p = model.citation_plan({"llm": None})
-    p.edges = [e for e in p.edges if (e.target, e.to_port) != ("backward", "seeds")]
-    return spark.createDataFrame([(x,) for x in model.problems(p)], "problem string")
+    """Edges from orders to parts with an unknown order, more than once, or shipped before the order."""
+    li, o = table(spark, d, "lineitem"), table(spark, d, "orders")
+    e = li.join(o, li.l_orderkey == o.o_orderkey, "left")
+    flags = e.groupBy("l_orderkey", "l_partkey").agg(F.count("*").alias("n"), F.count_if(F.col("o_orderkey").isNull()).alias("unknown"), F.count_if(F.coalesce(F.col("l_shipdate") < F.col("o_orderdate"), F.lit(False))).alias("late"))
+    counts = flags.agg(F.sum("unknown").alias("no order"), F.count_if(F.col("n") > 1).alias("repeated"), F.sum("late").alias("late"))
+    return counts.unpivot([], ["no order", "repeated", "late"], "problem", "edges")
 
 
-@query("plan_address", f"SELECT '{hashlib.sha256(canonical({'seeds': ['a', 'b'], 'parameters': {'damping': 0.85}}).encode()).hexdigest()}' AS address")
+@query("plan_address", """
+SELECT o_custkey AS customer, sha256('{"parameters":{"damping":0.85},"seeds":[' || string_agg(DISTINCT '"part:' || l_partkey || '"', ',' ORDER BY '"part:' || l_partkey || '"') || ']}') AS address
+FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""")
 def plan_address(spark, d):
-    from weftgraph.sources.store import address
-
-    return spark.createDataFrame([(address(["b", "a", "b"], {"damping": 0.85, "llm": None}),)], "address string")
+    """Content address of the run that each customer's parts would seed."""
+    seeds = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    seeds = seeds.groupBy("o_custkey").agg(F.collect_set(F.concat(F.lit("part:"), "l_partkey")).alias("seeds"))
+    return seeds.select(F.col("o_custkey").alias("customer"), address_of(F.col("seeds"), '{"damping":0.85}').alias("address"))
 
 
 @query("citation_pipeline")

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions import scalars
-from weftgraph.operators import annotate, communities, graph, traversal
+from weftgraph.operators import annotate, communities, cycles, graph, traversal
 from weftgraph.plans.runner import Registry
+from weftgraph.sources import works as works_source
 
 
 def _none(like: DataFrame, schema: str) -> DataFrame:
@@ -17,6 +18,8 @@ def _none(like: DataFrame, schema: str) -> DataFrame:
 def registry(works: DataFrame, cites: DataFrame) -> Registry:
     """Stages over works (node_id, citation_count, year, counts_by_year and more if there are) and cites (source_id, target_id).
 
+    Seeds are node ids, or records such as ``{"doi": ...}``, for which works need a ``doi``.
+
     Reads of a table fail as a whole or not at all, so ``failed_batches`` and ``failed_seeds`` are empty here; with an online
     source, ``sources.works.lookup`` gives them. ``annotate`` takes the resource ``model_client``, a function from prompt to answer.
     """
@@ -24,6 +27,9 @@ def registry(works: DataFrame, cites: DataFrame) -> Registry:
 
     @r.register("resolve")
     def resolve(params, inputs):
+        if any(isinstance(s, dict) for s in params["seeds"]):
+            found, failed = works_source.resolve_seeds(works, params["seeds"])
+            return {"seeds": found, "seed_failures": failed}
         wanted = works.sparkSession.createDataFrame([(i, s) for i, s in enumerate(params["seeds"])], "ord long, node_id string")
         found = wanted.join(works, "node_id", "left")
         seeds = found.where(F.col("citation_count").isNotNull())
@@ -50,13 +56,13 @@ def registry(works: DataFrame, cites: DataFrame) -> Registry:
 
     @r.register("clean")
     def clean(params, inputs):
-        kept, gone = graph.clean_cycles(inputs["nodes"], inputs["cites"])
+        kept, gone = cycles.clean_cycles(inputs["nodes"], inputs["cites"])
         return {"cleaned_edges": kept, "cycle_log": gone, "all_cites": kept.select("source_id", "target_id").union(gone.select("source_id", "target_id"))}
 
     @r.register("co")
     def co(params, inputs):
         e = graph.cocitation(inputs["all_cites"], inputs["nodes"], params["min_strength"] or 2, params["max_edges"])
-        return {"co_citation_edges": e, "co_citation_warnings": graph.unknown_endpoints(inputs["all_cites"], inputs["nodes"])}
+        return {"co_citation_edges": e, "co_citation_warnings": traversal.ordered_warnings(inputs["all_cites"], inputs["nodes"], ["source_id", "target_id"])}
 
     @r.register("annotate")
     def annotated(params, inputs, *, resources):
@@ -86,3 +92,14 @@ def registry(works: DataFrame, cites: DataFrame) -> Registry:
         return {"enriched_nodes": graph.enrich(inputs["nodes"], inputs["depth_metrics"], inputs["pagerank"], inputs["communities"])}
 
     return r
+
+
+def result(out: dict[str, dict]) -> dict[str, DataFrame]:
+    """The run's tables as a caller wants them: nodes, edges (cleaned citations, then co-citations, by source and target), and the reports."""
+    at = lambda stage, port: out[stage][port]
+    edges = traversal.result_edges(at("clean", "cleaned_edges"), at("co", "co_citation_edges"))
+    return {
+        "nodes": at("enrich", "enriched_nodes"), "edges": edges.orderBy("type", "source_id", "target_id"), "cycle_log": at("clean", "cycle_log"), "seed_failures": at("resolve", "seed_failures"),
+        "mismatches": at("assemble", "mismatches"), "truncated_seeds": at("forward", "truncated_seeds"), "co_citation_warnings": at("co", "co_citation_warnings"),
+        "communities": at("communities", "community_report"), "community_warnings": at("communities", "community_warnings"),
+    }

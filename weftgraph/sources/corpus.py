@@ -25,6 +25,14 @@ def part_chain(spark: SparkSession, sf_dir: str, acyclic: bool = True) -> DataFr
     return e.distinct().select(F.format_string("part:%06d", "s").alias("source_id"), F.format_string("part:%06d", "t").alias("target_id"))
 
 
+def returned_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts at successive lines of an order that were both returned, as they come, with cycles."""
+    li = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select("l_orderkey", "l_partkey", "l_linenumber")
+    nxt = li.select(F.col("l_orderkey").alias("o2"), F.col("l_partkey").alias("t"), (F.col("l_linenumber") - 1).alias("n2"))
+    e = li.join(nxt, (F.col("l_orderkey") == F.col("o2")) & (F.col("l_linenumber") == F.col("n2"))).select(F.col("l_partkey").alias("s"), "t").distinct()
+    return e.select(F.format_string("part:%06d", "s").alias("source_id"), F.format_string("part:%06d", "t").alias("target_id"))
+
+
 def supplier_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supplier to nation to region."""
     s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")

@@ -11,10 +11,11 @@ import subprocess
 import tomllib
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.sources.store import canonical
+from weftgraph.sources.store import ArtifactStore, canonical, cut
 
 LEDGER = "record_address string, manifest_diff_hash string, entry string"
 
@@ -142,8 +143,8 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """Distinct (record_address, manifest_diff_hash) of a ledger of JSON lines; lines that don't decode count for nothing."""
     try:
         rows = spark.read.text(path)
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], "record_address string, manifest_diff_hash string")
     v = F.try_parse_json("value")
@@ -151,13 +152,32 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_ledger(spark: SparkSession, path: str, entries: DataFrame) -> int:
-    """Appends the entries (``LEDGER``) whose address and hash the ledger lacks, once each; how many these are."""
+    """Appends the entries (``LEDGER``) whose address and hash the ledger lacks, once each; how many these are.
+
+    Tasks write the lines; nothing is collected. Writers at one time may both append an entry: it is one entry still, as an entry is its address and
+    hash and ``read_ledger`` gives each once.
+    """
     key = ["record_address", "manifest_diff_hash"]
-    new = entries.dropDuplicates(key).join(read_ledger(spark, path), key, "left_anti")
-    lines = [r[0] for r in new.select(F.to_json(F.struct(*key, "entry"))).collect()]  # drift states of one run: a handful
-    if lines:
-        spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("append").text(path)
-    return len(lines)
+    new = cut(entries.dropDuplicates(key).join(read_ledger(spark, path), key, "left_anti").select(F.to_json(F.struct(*key, "entry")).alias("value")))
+    n = new.count()
+    if n:
+        new.write.mode("append").text(path)
+    return n
+
+
+def cached_run(store: ArtifactStore, seeds: DataFrame, failures: DataFrame, parameters: dict, run, live: dict, sidecars: str, ledger: str) -> tuple[dict[str, DataFrame], bool, str | None]:
+    """Tables of a run, whether they were stored already, and what went wrong while noting drift.
+
+    On a miss, ``run()`` makes the tables and the manifest ``live`` becomes the record's baseline, beside it. On a hit, drift of ``live`` from
+    the baseline is noted in the ledger, and the tables get this call's own seeds and seed failures.
+    """
+    names = [r.node_id for r in seeds.select("node_id").collect()]  # the seeds asked for
+    key, tables, hit = store.cached(names, parameters, run)
+    sidecar = f"{sidecars}/{key}.json"
+    if hit:
+        return hit_parity(tables, seeds, failures), True, observed(store.spark, ledger, key, sidecar, live)
+    write_sidecar(sidecar, live)
+    return tables, False, None
 
 
 def observed(spark: SparkSession, ledger: str, key: str, sidecar: str, live: dict) -> str | None:

@@ -7,7 +7,8 @@ import json
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +36,19 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def placed(rows: DataFrame, group: str, order: list[Column]) -> DataFrame:
+    """The rows with ``idx``, their place in their group by the order (from 0), and ``n``, the group's size.
+
+    By a range sort over all tasks: a row's place in its written partition, and the counts of the partitions before.
+    """
+    keys = [F.col(group), *order]
+    dealt = cut(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("place", F.monotonically_increasing_id())).withColumn("part", F.shiftright("place", 33))
+    one = Window.partitionBy(group)
+    runs = dealt.groupBy(group, "part").agg(F.min("place").alias("first"), F.count("*").alias("here"))
+    runs = runs.select(group, "part", "first", (F.sum("here").over(one.orderBy("part")) - F.col("here")).alias("before"), F.sum("here").over(one).alias("n"))
+    return dealt.join(runs, [group, "part"]).withColumn("idx", F.col("before") + F.col("place") - F.col("first")).drop("part", "place", "first", "before")
+
+
 def canonical(value) -> str:
     """JSON with sorted keys and no spaces."""
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
@@ -46,8 +60,18 @@ def address(seeds: list[str], parameters: dict) -> str:
     return hashlib.sha256(canonical({"seeds": sorted(set(seeds)), "parameters": kept}).encode()).hexdigest()
 
 
+def address_of(seeds: Column, parameters: str) -> Column:
+    """``address`` as an expression: of an array of seeds that need no escapes in JSON, and the canonical text of the parameters."""
+    listed = F.array_join(F.transform(F.array_sort(F.array_distinct(seeds)), lambda x: F.concat(F.lit('"'), x, F.lit('"'))), ",")
+    return F.sha2(F.concat(F.lit('{"parameters":' + parameters + ',"seeds":['), listed, F.lit("]}")), 256)
+
+
 class ArtifactStore:
-    """Bundles of tables under ``root/address=<sha256>/``; a bundle is visible once its marker is."""
+    """Bundles of tables under ``root/address=<sha256>/``; a bundle is what its marker names.
+
+    A writer puts its tables in a folder of its own, and then creates the marker, which names the folder, exclusively: of
+    several writers of one address just one succeeds, and the others' folders are taken away. A marker that a dead writer left empty isn't a bundle.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
@@ -57,33 +81,64 @@ class ArtifactStore:
         p = jvm.org.apache.hadoop.fs.Path(f"{self.root}/address={key}/{name}".rstrip("/"))
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
+    def _meta(self, key: str) -> dict | None:
+        fs, p = self._path(key, "marker")
+        if not fs.exists(p):
+            return None
+        lines = [r[0] for r in self.spark.read.text(p.toString()).collect()]  # one line
+        return json.loads(lines[0]) if lines else None
+
+    def _create(self, key: str, name: str, text: str) -> None:
+        """Creates the file with this text; raises FileExistsError if there is one."""
+        fs, p = self._path(key, name)
+        if p.toUri().getScheme() in (None, "file"):
+            with open(p.toUri().getPath(), "x", encoding="utf-8") as f:
+                f.write(text)
+            return
+        try:
+            out = fs.create(p, False)
+        except Exception as e:  # noqa: BLE001  py4j wraps whatever the file system raises
+            if "FileAlreadyExists" in str(e):
+                raise FileExistsError(key) from None
+            raise
+        out.write(bytearray(text.encode()))
+        out.close()
+
     def has(self, key: str) -> bool:
-        fs, p = self._path(key, "_meta")
-        return fs.exists(p)
+        return self._meta(key) is not None
 
     def write(self, seeds: list[str], parameters: dict, tables: dict[str, DataFrame]) -> str:
+        """Stores the tables; raises FileExistsError if the address has a bundle, or gets one meanwhile."""
         key = address(seeds, parameters)
         if self.has(key):
             raise FileExistsError(key)
-        for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{self.root}/address={key}/{name}")
-        meta = self.spark.createDataFrame([(canonical({"seeds": sorted(set(seeds)), "parameters": parameters, "tables": sorted(tables)}),)], "meta string")
-        meta.write.mode("overwrite").text(f"{self.root}/address={key}/_staged")
-        fs, staged = self._path(key, "_staged")
-        fs.rename(staged, self._path(key, "_meta")[1])
+        attempt = f"attempt={uuid.uuid4().hex}"
+        try:
+            for name, df in tables.items():
+                df.write.parquet(f"{self.root}/address={key}/{attempt}/{name}")
+            self._create(key, "marker", canonical({"attempt": attempt, "seeds": sorted(set(seeds)), "parameters": parameters, "tables": sorted(tables)}))
+        except BaseException:
+            fs, p = self._path(key, attempt)
+            fs.delete(p, True)
+            raise
         return key
 
     def read(self, key: str) -> tuple[dict, dict[str, DataFrame]]:
-        """Metadata and tables; raises if the bundle's own content doesn't give its address."""
-        meta = json.loads(self.spark.read.text(f"{self.root}/address={key}/_meta").first()[0])
+        """Metadata and tables; raises if there is no bundle, or its own content doesn't give its address."""
+        meta = self._meta(key)
+        if meta is None:
+            raise FileNotFoundError(key)
         if address(meta["seeds"], meta["parameters"]) != key:
             raise ValueError(f"bundle {key} does not match its address")
-        return meta, {n: self.spark.read.parquet(f"{self.root}/address={key}/{n}") for n in meta["tables"]}
+        return meta, {n: self.spark.read.parquet(f"{self.root}/address={key}/{meta['attempt']}/{n}") for n in meta["tables"]}
 
     def cached(self, seeds: list[str], parameters: dict, run) -> tuple[str, dict[str, DataFrame], bool]:
-        """Read-through: the stored tables, or those that ``run()`` makes; true on a hit."""
+        """Read-through: the stored tables, or those that ``run()`` makes; true on a hit. Of writers at one time the first one's tables are read by all."""
         key = address(seeds, parameters)
         hit = self.has(key)
         if not hit:
-            self.write(seeds, parameters, run())
+            try:
+                self.write(seeds, parameters, run())
+            except FileExistsError:
+                pass
         return key, self.read(key)[1], hit

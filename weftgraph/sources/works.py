@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
+from pyspark.accumulators import Accumulator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from weftgraph.functions import scalars
+from weftgraph.sources.store import cut, placed
 
 #: The fields of a work that are read.
 WORK_SCHEMA = (
@@ -77,24 +80,69 @@ def resolve_seeds(works: DataFrame, seeds: list[dict]) -> tuple[DataFrame, DataF
     return resolved, failures
 
 
-def lookup(ids: DataFrame, fetch: Callable[[list[str]], list[str]], stage: str, size: int = 50) -> DataFrame:
+LOOKED_UP = "json string, failed struct<ids:array<string>,stage:string,reason:string>"
+
+
+def answers(fetch: Callable[[list[str]], list[str]], batch: list[str], stage: str) -> list[tuple]:
+    """The rows of one call: a row for each record, or one for the failure, which costs this batch only."""
+    try:
+        return [(x, None) for x in fetch(batch)]
+    except Exception as e:  # noqa: BLE001  whatever the call raises is the batch's failure
+        return [(None, {"ids": batch, "stage": stage, "reason": str(e)})]
+
+
+def lookup(ids: DataFrame, fetch: Callable[[list[str]], list[str]], stage: str, size: int = 50, calls: Accumulator | None = None) -> DataFrame:
     """Works by id through an injected ``fetch`` of ``size`` ids a call: json, and failed (ids, stage, reason) where a call raised.
 
-    A failed call costs its batch only. Batches are cut within partitions, so the calls run in parallel.
+    Ids are numbered over the whole table, so all batches but the last are full; batches run in parallel. The result is a written table: records and
+    failures can be read apart without calling again. ``calls`` counts the calls (a retried task's again).
+    """
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        if calls is not None:
+            calls.add(1)
+        rows = answers(fetch, frame["id"].sort_values().tolist(), stage)
+        return pd.DataFrame({c: pd.Series([r[i] for r in rows], dtype=object) for i, c in enumerate(("json", "failed"))})
+
+    named = ids.select(F.col(ids.columns[0]).cast("string").alias("id")).where("id <> ''").distinct().withColumn("all", F.lit(0))
+    batches = placed(named, "all", [F.col("id")]).groupBy(F.expr(f"idx div {size}"))
+    return cut(batches.applyInPandas(run, LOOKED_UP))
+
+
+def works_source(fetch: Callable[[list[str]], list[str]], ids: list[str], stage: str, size: int = 50, calls: Accumulator | None = None) -> type[DataSource]:
+    """A data source ``works`` over the injected ``fetch``, to be registered: a partition is a batch of ids, and a read calls once a partition.
+
+    For ids that the caller holds, such as seeds; ``lookup`` takes ids of a table. Rows are those of ``lookup``; ``cut`` what is read more than once.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            names = [x for x in frame["id"] if x]
-            for at in range(0, len(names), size):
-                batch = names[at : at + size]
-                try:
-                    found = fetch(batch)
-                    yield pd.DataFrame({"json": pd.Series(found, dtype=object), "failed": pd.Series([None] * len(found), dtype=object)})
-                except Exception as e:  # noqa: BLE001  whatever the call raises is the batch's failure
-                    yield pd.DataFrame({"json": [None], "failed": [{"ids": batch, "stage": stage, "reason": str(e)}]})
-
-    return ids.select(F.col(ids.columns[0]).alias("id")).distinct().mapInPandas(run, "json string, failed struct<ids:array<string>,stage:string,reason:string>")
+    class Batch(InputPartition):
+        pass
+
+    class Reader(DataSourceReader):
+        def partitions(self):
+            names = sorted({x for x in ids if x})
+            return [Batch(names[i : i + size]) for i in range(0, len(names), size)] or [Batch([])]
+
+        def read(self, partition):
+            if not partition.value:
+                return
+            if calls is not None:
+                calls.add(1)
+            for text, failed in answers(fetch, partition.value, stage):
+                yield (text, failed and (failed["ids"], failed["stage"], failed["reason"]))
+
+    class Works(DataSource):
+        @classmethod
+        def name(cls):
+            return "works"
+
+        def schema(self):
+            return LOOKED_UP
+
+        def reader(self, schema):
+            return Reader()
+
+    return Works
 
 
 def search(works: DataFrame, text: str | None = None, key: str | None = None, year: int | None = None, first_author: str | None = None) -> DataFrame:
