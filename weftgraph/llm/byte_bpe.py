@@ -110,7 +110,7 @@ def slots_for(pieces: int) -> int:
     return 1 << max(10, pieces.bit_length() - 2)
 
 
-def slot_of(piece: Column, slots: Column | int) -> Column:
+def slot_of(piece: Column, slots: int) -> Column:
     return F.hash(piece).bitwiseAND(slots - 1)
 
 
@@ -247,11 +247,11 @@ def coded(t: Column, piece: Column, gap: str) -> Column:
 CODED = "struct<text:string,ids:binary,bytes:binary>"
 
 
-def text_codes(t: Column, words: Column, text: Column, pattern: str, gap: str) -> Column:
+def text_codes(t: Column, words: Column, text: Column, pattern: str, gap: str, slots: int) -> Column:
     """The text with its codes, by the lookup tables t and the map of known pieces."""
 
     def spelled(cut: Column) -> Column:  # each piece with its tokens, and what these decode to
-        known = F.transform(cut, lambda w: F.get(words, slot_of(w, F.size(words)))[w])
+        known = F.transform(cut, lambda w: F.get(words, slot_of(w, slots))[w])
         pairs = lambda k: F.zip_with(cut, k, lambda w, p: F.when(p.isNotNull(), F.struct(p.alias("p"), w.alias("d"))).otherwise(coded(t, w, gap)))
         return bound(known, f"array<{PIECE}>", pairs)
 
@@ -266,8 +266,9 @@ def with_codes(rows: DataFrame, path: str, pattern: str, memo: int, memo_docs: i
     """The columns of ``rows`` but its text, and ``codes`` with the text, ids and bytes."""
     ranks = ranks_of(path)
     tables, gap = literal(rows.sparkSession, **rank_map(ranks), **byte_tables(ranks)), gap_of(ranks)
-    words = word_map(memo_words(rows, ranks, tables, pattern, memo, memo_docs), slots_for(memo + len(ranks)))
-    codes = lambda t, w: bound(F.col("text"), CODED, lambda x: text_codes(t, w, x, pattern, gap))
+    slots = slots_for(memo + len(ranks))
+    words = word_map(memo_words(rows, ranks, tables, pattern, memo, memo_docs), slots)
+    codes = lambda t, w: bound(F.col("text"), CODED, lambda x: text_codes(t, w, x, pattern, gap, slots))
     return with_tables(rows, tables, "codes", codes, words, [c for c in rows.columns if c != "text"])
 
 
