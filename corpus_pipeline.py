@@ -21,7 +21,10 @@ MEMO = 40_000
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the classifier rejects; it is fitted on all labelled rows' bounded sample."""
+    """Drops the documents that the classifier rejects; it is fitted on all labelled rows' bounded sample.
+
+    Null and empty texts are scored like others; repeated rows and null doc_ids are rows of their own; no rows give none.
+    """
     return quality.accepted(docs, table(spark, sf_dir, "labels"), train=table(spark, sf_dir, "documents"))
 
 
@@ -40,12 +43,15 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats and drops documents so that sources reach their target weights."""
+    """Repeats and drops documents so that sources reach their target weights.
+
+    A null source is a source, after all others; a text without words has size 0; a document taken several times is as many rows; no rows give none.
+    """
     return mixing.mixed_documents(docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokens of every document of the mix."""
+    """Tokens of every document of the mix; null and empty texts have none, repeated rows are rows of their own, no rows give none."""
     import public_tokenizers
 
     return byte_bpe.tokens_digest(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, memo=MEMO)

@@ -6,8 +6,8 @@ word beginnings weighted by smoothed log odds. A document's hits, less those ins
 phrase (a lexicon word with its neighbour as only clean training documents have it), are normalised
 by its length and turned into a probability by a logistic curve fitted on the training rows.
 
-``max_rows`` bounds the training sample (the ids with the smallest hashes). Every document is
-scored whole.
+``max_rows`` bounds the training sample (the ids with the smallest hashes), and the model has 600 terms and 300 exception
+phrases at most, the heaviest. Every document is scored whole.
 
 Edge cases: null and empty texts have no hits; null labels are no labels; without both labels among
 the training rows the score is 0; repeated rows and repeated or null doc_ids are rows of their own, a
