@@ -129,6 +129,16 @@ def test_cocitation(spark):
         graph.cocitation(e, min_strength=0)
 
 
+def test_cocitation_of_a_hot_citer_is_dealt_out(spark):
+    """One citer with 90 references among small ones: the same pairs, each once a citer."""
+    pairs = [("hot", f"n{i:02d}") for i in range(90)] + [(f"c{i}", f"n{(i * 7 + j) % 90:02d}") for i in range(40) for j in range(3)]
+    e = edges_of(spark, pairs)
+    whole, dealt = ({tuple(r) for r in graph.cocitation(e, min_strength=1, hot=h).collect()} for h in (1000, 10))
+    assert dealt == whole and len(whole) == 90 * 89 // 2
+    rows = e.selectExpr("source_id AS citer", "target_id AS a").where("citer = 'hot'")
+    assert graph.cited_pairs(rows, 10).distinct().count() == graph.cited_pairs(rows, 10).count() == 90 * 89 // 2
+
+
 def test_depth_and_direction(spark):
     def metrics(nodes, pairs, roots):
         got = graph.depth_metrics(spark.createDataFrame([(x,) for x in nodes], "node_id string"), edges_of(spark, pairs), spark.createDataFrame([(x,) for x in roots], "node_id string"))

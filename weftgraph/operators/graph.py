@@ -8,10 +8,33 @@ from pyspark.sql import functions as F
 from weftgraph.sources.store import cut
 
 
-def cocitation(edges: DataFrame, nodes: DataFrame | None = None, min_strength: int = 2, max_edges: int | None = None) -> DataFrame:
+#: References above which a citer's pairs are dealt over several tasks.
+HOT_CITER = 2_000
+
+
+def cited_pairs(e: DataFrame, hot: int = HOT_CITER) -> DataFrame:
+    """a, b: the pairs (a < b) that each citer of ``e`` (citer, a) cites, once a citer.
+
+    A citer of up to ``hot`` references is one group of a join on the citer. One with more has its references dealt to blocks of about that
+    many, and each pair of blocks is a group of its own, so that no group makes more than ``hot`` by ``hot`` pairs, whatever a citer cites.
+    """
+    degree = e.groupBy("citer").agg(F.count("*").alias("n")).where(F.col("n") > hot)
+    large = cut(degree.select(F.col("citer").alias("large"), F.ceil(F.col("n") / hot).cast("int").alias("blocks")))
+    other = lambda t: t.select(F.col("citer").alias("c2"), F.col("a").alias("b"))
+    if not large.limit(1).count():
+        return e.join(other(e), (F.col("citer") == F.col("c2")) & (F.col("a") < F.col("b"))).select("a", "b")
+    small = e.join(large, F.col("citer") == F.col("large"), "left_anti")
+    pairs = small.join(other(small), (F.col("citer") == F.col("c2")) & (F.col("a") < F.col("b"))).select("a", "b")
+    dealt = e.join(large, F.col("citer") == F.col("large")).select("citer", "a", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("across"))
+    right = dealt.select(F.col("citer").alias("c2"), F.col("a").alias("b"), F.col("own").alias("across2"), F.col("across").alias("own2"))
+    same = (F.col("citer") == F.col("c2")) & (F.col("own") == F.col("own2")) & (F.col("across") == F.col("across2")) & (F.col("a") < F.col("b"))
+    return pairs.unionAll(dealt.join(right, same).select("a", "b"))
+
+
+def cocitation(edges: DataFrame, nodes: DataFrame | None = None, min_strength: int = 2, max_edges: int | None = None, hot: int = HOT_CITER) -> DataFrame:
     """Pairs of nodes that the same sources cite: source_id < target_id, and strength, the number of those sources.
 
-    The self-join is on the citer, so its cost is the sum of squared reference counts.
+    The self-join is on the citer, so its cost is the sum of squared reference counts; ``cited_pairs`` tells how that of one citer is dealt out.
     """
     if min_strength < 1 or (max_edges is not None and max_edges < 0):
         raise ValueError("min_strength must be 1 or more and max_edges 0 or more")
@@ -20,8 +43,7 @@ def cocitation(edges: DataFrame, nodes: DataFrame | None = None, min_strength: i
         ids = nodes.select("node_id")
         e = e.join(ids, e.source_id == ids.node_id, "left_semi").join(ids, e.target_id == ids.node_id, "left_semi")
     e = e.select(F.col("source_id").alias("citer"), F.col("target_id").alias("a")).distinct()
-    pairs = e.join(e.select(F.col("citer").alias("c2"), F.col("a").alias("b")), (F.col("citer") == F.col("c2")) & (F.col("a") < F.col("b")))
-    out = pairs.groupBy(F.col("a").alias("source_id"), F.col("b").alias("target_id")).agg(F.count("*").alias("strength")).where(F.col("strength") >= min_strength)
+    out = cited_pairs(e, hot).groupBy(F.col("a").alias("source_id"), F.col("b").alias("target_id")).agg(F.count("*").alias("strength")).where(F.col("strength") >= min_strength)
     return out if max_edges is None else out.orderBy(F.desc("strength"), "source_id", "target_id").limit(max_edges)
 
 
