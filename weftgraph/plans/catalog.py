@@ -221,14 +221,14 @@ def strong_components(spark, d):
 def communities(spark, d):
     """Communities of the part chain by the map equation."""
     e = corpus.part_chain(spark, d)
-    return grouping.map_communities(_chain_nodes(e), e)[0]
+    return grouping.map_communities(_chain_nodes(e), e, rounds=6, levels=3, tolerance=0.01)[0]
 
 
 @query("communities_modularity")
 def communities_modularity(spark, d):
     """The same by modularity with refinement."""
     e = corpus.part_chain(spark, d)
-    return grouping.modularity_communities(_chain_nodes(e), e)[0]
+    return grouping.modularity_communities(_chain_nodes(e), e, rounds=6, levels=3, tolerance=0.01)[0]
 
 
 @query("communities_propagated")
