@@ -2,6 +2,7 @@ import glob
 import os
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,6 +77,36 @@ def test_cycle_clean_covers_the_whole_chain(spark):
     assert any(r.suppressed and r.source_id != r.target_id for r in rows)
 
 
+@pytest.mark.parametrize("block", [7, 64, 1000])
+def test_edges_that_close_a_cycle_are_found_by_blocks_and_by_searches(block):
+    rng = np.random.default_rng(block)
+    s, t = rng.integers(0, 60, 700), rng.integers(0, 60, 700)
+    s, t = s[s != t], t[s != t]
+    after, want = {i: set() for i in range(60)}, []
+
+    def reaches(a, b):
+        seen, todo = {a}, [a]
+        while todo:
+            todo = [y for y in set().union(*(after[x] for x in todo)) if y not in seen]
+            seen.update(todo)
+        return b in seen
+
+    for x, y in zip(s.tolist(), t.tolist()):
+        want.append(reaches(y, x))
+        if not want[-1]:
+            after[x].add(y)
+    assert cycles._closes(s, t, 60, block).tolist() == cycles._closes(s, t, 60, block, deep=3).tolist() == want
+
+
+def test_suppressed_edges_are_the_same_with_rings_and_without(spark):
+    pairs = [(f"{c}{i}", f"{c}{j}") for c in "ABCDEF" for i in range(6) for j in range(6) if i != j]
+    nodes = nodes_of(spark, [(x, 1) for x in {x for p in pairs for x in p}])
+    _, bare = cycles.clean_cycles(nodes, edges_of(spark, pairs), rings=False)
+    _, gone = cycles.clean_cycles(nodes, edges_of(spark, pairs))
+    assert {(r.source_id, r.target_id) for r in bare.collect()} == {(r.source_id, r.target_id) for r in gone.collect()}
+    assert gone.count() == 6 * 15 and gone.where("size(cycle_members) < 2").count() == 0
+
+
 def test_suppressed_edges_are_the_least_of_a_cycle_that_stays(spark):
     import random
 
