@@ -119,6 +119,21 @@ def test_probabilities_add_up_to_one(spark, odd_rows, hot):
         assert 0.998 < total <= 1 + 1e-9
 
 
+def test_splitting_frequent_words_changes_no_score(spark, odd_rows):
+    real = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    docs = odd_rows.select("doc_id", "text").union(real)
+    rows = lambda h: sorted((tuple(r) for r in lm.scores(docs, held(), 100_000, 30_000, h).collect()), key=repr)
+    assert rows(1000) == rows(1_000_000)
+
+
+def test_children_may_be_none():
+    level = Children(Children.pack(np.array([0, 2, 0, 0, 1, 0]), np.array([3, 7, 3])))
+    node, child = (x.ravel() for x in np.meshgrid(np.arange(-1, 6), np.arange(9), indexing="ij"))
+    want = [{(1, 3): 0, (1, 7): 1, (4, 3): 2}.get(k, -1) for k in zip(node.tolist(), child.tolist())]
+    assert level.find(node, child.astype(np.uint64)).tolist() == want
+    assert (Children(Children.pack(np.zeros(3, int), np.zeros(0, int))).find(np.array([0, 2]), np.zeros(2, np.uint64)) == -1).all()
+
+
 def test_no_rows_and_no_training(spark, odd_rows, no_rows):
     assert lm.scores(no_rows, held()).count() == 0
     rows = lm.scores(odd_rows.select("doc_id", "text"), F.lit(True)).collect()

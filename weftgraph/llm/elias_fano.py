@@ -101,17 +101,18 @@ class Children:
 
     @staticmethod
     def pack(sizes: np.ndarray, values: np.ndarray) -> np.ndarray:
-        """``sizes``: the number of children of each node, one or more; ``values``: all children, node by node."""
+        """``sizes``: the number of children of each node; ``values``: all children, node by node."""
         ends = np.cumsum(sizes)
         values = np.asarray(values, U)
-        last = values[ends - 1] + U(1) if len(sizes) else values
+        last = np.zeros(len(sizes), U)
+        last[sizes > 0] = values[ends[sizes > 0] - 1] + U(1)
         base = np.concatenate([np.zeros(min(1, len(sizes)), U), np.cumsum(last)[:-1]])
         return np.concatenate([Ascending.pack(np.concatenate([[0], ends])), Ascending.pack(values + np.repeat(base, sizes))])
 
     def find(self, node: np.ndarray, child: np.ndarray) -> np.ndarray:
         """The place of a child over all nodes, or -1; -1 also where the node is -1."""
         out = np.full(len(node), -1, np.int64)
-        some = np.flatnonzero(node >= 0)
+        some = np.flatnonzero(node >= 0) if self.values.n else np.zeros(0, np.int64)
         nodes, which = np.unique(node[some], return_inverse=True)
         a, b = self.pointers[nodes].astype(np.int64), self.pointers[nodes + 1].astype(np.int64)
         base = np.where(a > 0, self.values[np.maximum(a - 1, 0)] + U(1), U(0)) if len(nodes) else np.zeros(0, U)

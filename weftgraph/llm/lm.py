@@ -12,8 +12,9 @@ training trigrams, looks every distinct one up, and returns a sum for each docum
 A row that is shuffled is what one block has for one shard; no table of the vocabulary or the model is in one place.
 
 Frequent words. Words are counted in blocks before the shuffle. A middle word with more than ``hot`` training occurrences is
-split by classes of the word before and of the word after it, A by A of them (A a power of two, at most ``SPLIT``): the word before only picks the
-distribution, and the class of the word after has its unigram mass as a factor, so probabilities still add up to one. That holds for hot pairs too.
+split by classes of the word before and of the word after it, A by A of them (A a power of two, at most ``SPLIT``), which holds for hot pairs too. What its
+probabilities rest on is counted over all its parts first: contexts over the classes after, bigrams over the classes before, and the middle word's
+own totals. Each part is sent what it needs of these, so a split word has the probabilities that it would have unsplit.
 
 Edge cases: a null or empty text is its end only; a null doc_id counts as held out; repeated rows and doc_ids are documents of
 their own; words that training lacks have the unigram probability of an unknown word, and after one the next word has its unigram probability; without training
@@ -148,7 +149,7 @@ def bin_of(ids: np.ndarray) -> np.ndarray:
 
 
 class Unigrams:
-    """Totals of all words by class, of fixed size: codes of unigram probabilities, and the mass of each class of words that splits a hot word."""
+    """Totals of all words by class, of fixed size, and their unigram probabilities."""
 
     def __init__(self, rows: list[tuple[int, int, int, int]]):
         self.n, self.v = sum(r[3] for r in rows), sum(r[2] for r in rows)
@@ -160,14 +161,6 @@ class Unigrams:
         self.p = np.full(256, ADD / self.z)
         has = words > 0
         self.p[has] = (total[has] / words[has] + ADD) / self.z
-        mass = np.zeros(SPLIT)
-        for c, b, w, _ in rows:
-            mass[b] += w * self.p[c]
-        mass[bin_of(np.array([UNKNOWN]))[0]] += ADD / self.z
-        #: By the exponent of A and the class of a word among A.
-        self.mass = np.zeros((SPLIT.bit_length(), SPLIT))
-        for e in range(SPLIT.bit_length()):
-            self.mass[e, : 1 << e] = mass.reshape(-1, 1 << e).sum(0)
 
     def of(self, ids: np.ndarray) -> np.ndarray:
         return self.p[(ids >> CLASS_AT).astype(np.int64)]
@@ -208,7 +201,8 @@ def parts_of(w1: np.ndarray, w2: np.ndarray, w3: np.ndarray, counts2: np.ndarray
     return out
 
 
-def trigram_requests(states: DataFrame, answers: DataFrame, unigrams: Unigrams, shards: int, hot: int) -> DataFrame:
+def trigram_requests(states: DataFrame, answers: DataFrame, unigrams: Unigrams, shards: int, hot: int, split: bool = False) -> DataFrame:
+    """Rows of ``REQUESTS``. With ``split``, the training trigrams of split middle words only."""
     schema = pa.schema([("shard", pa.int64()), ("block", pa.int64()), *((c, pa.binary()) for c in ("w2", "w1", "w3", "docs", "sums", "base"))])
 
     def run(state: pa.Table, answer: pa.Table) -> pa.Table:
@@ -235,35 +229,125 @@ def trigram_requests(states: DataFrame, answers: DataFrame, unigrams: Unigrams,
         rows = [(0, name, None, None, None, None, packed(alone), base.tobytes() + known.tobytes())]
         at = np.flatnonzero(w2 != UNKNOWN)
         w1, w3, doc, w2 = w1[at], w3[at], doc[at], parts_of(w1[at], w2[at], w3[at], c2[at], hot)
+        if split:
+            at = np.flatnonzero((w2 >> U(60) > 0) & ~held[doc])
+            w1, w2, w3, doc, rows = w1[at], w2[at], w3[at], np.zeros(len(at), np.int64), []
+            held = held & False
         shard = home_of(w2, shards)
         order = np.lexsort((w3, w1, w2, shard))
         shard, w1, w2, w3, doc = shard[order], w1[order], w2[order], w3[order], doc[order]
         doc = doc.astype(U) << U(1) | (~held[doc]).astype(U)
         cuts = np.flatnonzero(np.diff(shard, prepend=FAR))
         rows += [(int(shard[i]), name, packed(rises(w2[i:j])), packed(w1[i:j]), packed(w3[i:j]), packed(doc[i:j]), None, None) for i, j in zip(cuts, [*cuts[1:], len(shard)])]
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+        return table_of(rows, schema)
 
     return states.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, REQUESTS)
 
 
+def table_of(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(schema), schema)], schema=schema)
+
+
 def home_of(w2: np.ndarray, shards: int) -> np.ndarray:
     """The shard of a middle word's part."""
     return ((mix64(w2) >> U(32)) * U(shards)) >> U(32)
 
 
 class Grams:
-    """The distinct trigrams of a shard: dense numbers of words and of the middle word's parts, contexts and bigrams."""
-
-    def __init__(self, w2: np.ndarray, w1: np.ndarray, w3: np.ndarray):
-        self.u2, i2 = np.unique(w2, return_inverse=True)
-        self.u1, i1 = np.unique(w1, return_inverse=True)
-        self.u3, i3 = np.unique(w3, return_inverse=True)
+    """The distinct trigrams of a shard: dense numbers of words and of the middle word's parts, contexts and bigrams.
+
+    ``whole`` has what split middle words have over all their parts (``whole_of``); its contexts and bigrams are numbered too.
+    """
+
+    def __init__(self, w2: np.ndarray, w1: np.ndarray, w3: np.ndarray, whole: list[tuple[np.ndarray, ...]] | None = None):
+        self.whole = whole or whole_of(None)
+        (pc, c1, *_), (pb, c3, *_), (pm, *_) = self.whole
+        k, nc, nb = len(w2), len(pc), len(pb)
+        self.u2, i2 = np.unique(np.concatenate([w2, pc, pb, pm]), return_inverse=True)
+        self.u1, i1 = np.unique(np.concatenate([w1, c1]), return_inverse=True)
+        self.u3, i3 = np.unique(np.concatenate([w3, c3]), return_inverse=True)
         self.n1, self.n3 = len(self.u1), len(self.u3)
-        self.contexts, c = np.unique(i2 * self.n1 + i1, return_inverse=True)
-        self.tri, self.of = np.unique(c * self.n3 + i3, return_inverse=True)
-        self.context, self.third = self.tri // self.n3, self.tri % self.n3
-        self.second = self.contexts // self.n1
-        self.bigrams, self.bigram = np.unique(self.second[self.context] * self.n3 + self.third, return_inverse=True)
+        self.contexts, c = np.unique(i2[: k + nc] * self.n1 + i1, return_inverse=True)
+        self.tri, self.of = np.unique(c[:k] * self.n3 + i3[:k], return_inverse=True)
+        self.context, self.third = self.tri // max(1, self.n3), self.tri % max(1, self.n3)
+        self.second = self.contexts // max(1, self.n1)
+        self.bigrams, b = np.unique(np.concatenate([self.second[self.context] * self.n3 + self.third, i2[k + nc : k + nc + nb] * self.n3 + i3[k:]]), return_inverse=True)
+        self.bigram = b[: len(self.tri)]
+        #: Where the rows of ``whole`` are among contexts, bigrams and middles.
+        self.at_whole = c[k:], b[len(self.tri) :], i2[k + nc + nb :]
+
+
+def whole_of(t: pa.Table | None) -> list[tuple[np.ndarray, ...]]:
+    """Of split middle words' parts: (part, w1, total, kinds) of contexts, (part, w3, before, 0) of bigrams, (part, 0, all before, after) of middles."""
+    out = []
+    for kind in range(3):
+        rows = [] if t is None else [r for r in t.select(["kind", "part", "ids", "a", "b"]).to_pylist() if r["kind"] == kind]
+        columns = [[np.full(int.from_bytes(r["ids"][:7], "little"), np.int64(r["part"]).view(U)) for r in rows], *([unpacked(r[c]) for r in rows] for c in ("ids", "a", "b"))]
+        part, ids, one, two = (np.concatenate([np.zeros(0, U), *c]) for c in columns)
+        out.append((part, ids, one.astype(np.int64), two.astype(np.int64)))
+    return out
+
+
+#: The class of the word before and of the word after in a middle word's part.
+BEFORE_AT, AFTER_AT, CLASS = U(54), U(48), U(63)
+WHOLE = "shard long, kind int, part long, ids binary, a binary, b binary"
+
+
+def merged(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    own, at = np.unique(ids, return_inverse=True)
+    return packed(own), *(packed(np.bincount(at, v, minlength=len(own)).astype(U)) for v in (a, b))
+
+
+def wholes(requests: DataFrame, shards: int) -> DataFrame:
+    """Rows of ``WHOLE`` for each shard: counts of split middle words over all their parts, for each part that the shard can have.
+
+    ``requests`` are those of split words. A shard's parts give their contexts without the class after and their bigrams without the class
+    before; these are added up by word and class, and go to the parts of that class, whether or not training has a trigram there.
+    """
+    schema = pa.schema([("shard", pa.int64()), ("kind", pa.int32()), ("part", pa.int64()), ("ids", pa.binary()), ("a", pa.binary()), ("b", pa.binary())])
+    signed = lambda x: int(np.uint64(x).view(np.int64))
+
+    def partial(t: pa.Table) -> pa.Table:
+        g, counts, _, _ = shard_grams(t)
+        seen = counts > 0
+        total, kinds = (np.bincount(g.context, v, minlength=len(g.contexts)) for v in (counts, seen))
+        before = np.bincount(g.bigram, seen, minlength=len(g.bigrams))
+        out = []
+        for kind, part, ids, a, b in (
+            (0, g.u2[g.second] & ~(CLASS << AFTER_AT), g.u1[g.contexts % g.n1], total, kinds),
+            (1, g.u2[g.bigrams // g.n3] & ~(CLASS << BEFORE_AT), g.u3[g.bigrams % g.n3], before, before * 0),
+        ):
+            order = np.argsort(part, kind="stable")
+            cuts = np.flatnonzero(np.diff(part[order], prepend=U(0)) | (np.arange(len(part)) == 0))
+            for i, j in zip(cuts, [*cuts[1:], len(part)]):
+                at = order[i:j]
+                out.append((None, kind, signed(part[at[0]]), *merged(ids[at], a[at], b[at])))
+        return table_of(out, schema)
+
+    def added(t: pa.Table) -> pa.Table:
+        kind, part = t.column("kind")[0].as_py(), t.column("part")[0].as_py()
+        ids, a, b = (np.concatenate([unpacked(v) for v in t.column(c).to_pylist()]) for c in ("ids", "a", "b"))
+        out = [(None, kind, part, *merged(ids, a, b))]
+        if kind == 1:  # and what it adds to its middle word's totals
+            middle = signed(np.int64(part).view(U) & ~(CLASS << AFTER_AT))
+            out.append((None, 2, middle, packed(np.zeros(1, U)), packed(np.array([a.sum()], U)), packed(np.array([len(np.unique(ids))], U))))
+        return table_of(out, schema)
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                key = np.int64(r["part"]).view(U)
+                classes = np.arange(1 << int(key >> U(60)), dtype=U)
+                parts = {0: key | classes << AFTER_AT, 1: key | classes << BEFORE_AT, 2: (key | (classes << BEFORE_AT)[:, None] | classes << AFTER_AT).ravel()}[r["kind"]]
+                for lo in range(0, len(parts), 8):
+                    some = parts[lo : lo + 8]
+                    rows = [(int(h), r["kind"], signed(p), r["ids"], r["a"], r["b"]) for h, p in zip(home_of(some, shards), some)]
+                    yield from table_of(rows, schema).to_batches()
+
+    sums = requests.groupBy("shard").applyInArrow(partial, WHOLE).groupBy("kind", "part").applyInArrow(added, WHOLE)
+    sums = stored(sums, "sums")
+    middles = sums.where("kind = 2").groupBy("kind", "part").applyInArrow(added, WHOLE)
+    return stored(arrow_map(sums.where("kind < 2").unionByName(middles), dealt, WHOLE), "wholes")
 
 
 def build(g: Grams, counts: np.ndarray, unigrams: Unigrams) -> np.ndarray:
@@ -273,29 +357,30 @@ def build(g: Grams, counts: np.ndarray, unigrams: Unigrams) -> np.ndarray:
     kinds = np.bincount(g.context[seen], minlength=len(g.contexts))
     before = np.bincount(g.bigram[seen], minlength=len(g.bigrams))  # distinct words before a bigram
     middle, third = g.bigrams // g.n3, g.bigrams % g.n3
-    all_before = np.bincount(middle, before, minlength=len(g.u2))
-    after = np.bincount(middle[before > 0], minlength=len(g.u2))
-    e, k = (g.u2 >> U(60)).astype(np.int64), ((g.u2 >> U(48)) & U(63)).astype(np.int64)
-    mass = np.where(e > 0, unigrams.mass[e, k], 1.0)
+    all_kinds, (contexts, bigrams, middles) = kinds.copy(), g.at_whole
+    (_, _, total[contexts], all_kinds[contexts]), (_, _, before[bigrams], _) = g.whole[:2]
+    all_before, after = np.bincount(middle, before, minlength=len(g.u2)), np.bincount(middle[before > 0], minlength=len(g.u2))
+    here = after.copy()  # followers in this trie
+    _, _, all_before[middles], after[middles] = g.whole[2]
     b = np.flatnonzero(before)
     p1 = unigrams.of(g.u3)
     n2, back2 = all_before[middle[b]], D2 * after / np.maximum(all_before, 1)
-    p2 = np.maximum(before[b] - D2, 0) / n2 * mass[middle[b]] + back2[middle[b]] * p1[third[b]]
+    p2 = np.maximum(before[b] - D2, 0) / n2 + back2[middle[b]] * p1[third[b]]
     place = np.full(len(g.bigrams), -1)
     place[b] = np.arange(len(b))
     t, c = np.flatnonzero(seen), np.flatnonzero(total)
-    back3 = D3 * kinds / np.maximum(total, 1)
+    back3 = D3 * all_kinds / np.maximum(total, 1)
     ct = g.context[t]
-    p3 = np.maximum(counts[t] - D3, 0) / total[ct] * mass[g.second[ct]] + back3[ct] * p2[place[g.bigram[t]]]
+    p3 = np.maximum(counts[t] - D3, 0) / total[ct] + back3[ct] * p2[place[g.bigram[t]]]
     m = np.flatnonzero(all_before)
-    first = np.cumsum(after[m]) - after[m]
+    first = np.cumsum(here[m]) - here[m]
     spot = np.zeros(len(g.u2), np.int64)
     spot[m] = first
     rank = place[g.bigram[t]] - spot[g.second[ct]]  # among the followers of the middle word
     per_middle = np.bincount(g.second[c], minlength=len(g.u2))[m]
     return np.concatenate([
         Ascending.pack(g.u2[m]), Ascending.pack(g.u1), Ascending.pack(g.u3), packed_codes(code(back2[m])),
-        Children.pack(after[m], third[b]), packed_codes(code(p2)), Children.pack(per_middle, g.contexts[c] % g.n1), packed_codes(code(back3[c])),
+        Children.pack(here[m], third[b]), packed_codes(code(p2)), Children.pack(per_middle, g.contexts[c] % g.n1), packed_codes(code(back3[c])),
         Children.pack(kinds[c], rank), packed_codes(code(p3)),
     ])
 
@@ -337,24 +422,24 @@ class Trie:
         return out
 
 
-def shard_grams(t: pa.Table) -> tuple[Grams, np.ndarray, np.ndarray, list[int]]:
+def shard_grams(t: pa.Table, whole: pa.Table | None = None) -> tuple[Grams, np.ndarray, np.ndarray, list[int]]:
     """The trigrams of a shard, the training count of each, and the documents of all occurrences by block."""
     column = lambda c, f=lambda x: x: [f(unpacked(x)) for x in t.column(c).to_pylist()]
     sizes = [int.from_bytes(x[:7], "little") for x in t.column("w2").to_pylist()]
-    g = Grams(np.concatenate(column("w2", np.cumsum)), np.concatenate(column("w1")), np.concatenate(column("w3")))
-    doc = np.concatenate(column("docs"))
+    w2, w1, w3, doc = (np.concatenate([np.zeros(0, U), *column(*c)]) for c in (("w2", np.cumsum), ("w1",), ("w3",), ("docs",)))
+    g = Grams(w2, w1, w3, whole_of(whole))
     counts = np.bincount(g.of[(doc & U(1)) == 1], minlength=len(g.tri))
     return g, counts, (doc >> U(1)).astype(np.int64), sizes
 
 
-def shard_sums(requests: DataFrame, unigrams: Unigrams) -> DataFrame:
+def shard_sums(requests: DataFrame, whole: DataFrame, unigrams: Unigrams) -> DataFrame:
     schema = pa.schema([("block", pa.int64()), ("docs", pa.binary()), ("sums", pa.binary()), ("base", pa.binary())])
 
-    def run(t: pa.Table) -> pa.Table:
+    def run(t: pa.Table, whole: pa.Table) -> pa.Table:
         plain, t = t.filter(pa.compute.is_valid(t.column("base"))), t.filter(pa.compute.is_valid(t.column("w2")))
         out = [(b, None, s, x) for b, s, x in zip(*(plain.column(c).to_pylist() for c in ("block", "sums", "base")))]
         if t.num_rows:
-            g, counts, doc, sizes = shard_grams(t)
+            g, counts, doc, sizes = shard_grams(t, whole)
             trie = Trie(build(g, counts, unigrams))
             found = trie.codes(g, unigrams)[g.of]
             end = 0
@@ -363,9 +448,9 @@ def shard_sums(requests: DataFrame, unigrams: Unigrams) -> DataFrame:
                 has = np.flatnonzero(sums)
                 out.append((name, packed(rises(has.astype(U))), packed(sums[has]), None))
                 end += n
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+        return table_of(out, schema)
 
-    return requests.groupBy("shard").applyInArrow(run, SUMS)
+    return requests.groupBy("shard").cogroup(whole.groupBy("shard")).applyInArrow(run, SUMS)
 
 
 def block_scores(states: DataFrame, sums: DataFrame, train_tokens: int) -> DataFrame:
@@ -387,35 +472,39 @@ def block_scores(states: DataFrame, sums: DataFrame, train_tokens: int) -> DataF
 
 
 def requests_of(docs: DataFrame, held_out, block: int, shard: int, hot: int):
-    """The trigram requests of all documents, with the states and totals they rest on."""
+    """The trigram requests of all documents, with the states and totals they rest on, and the counts of split words over their parts."""
     spark = docs.sparkSession
     rows = texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), F.coalesce(held_out, F.lit(True)).alias("held_out"))
     n = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     answers = stored(word_answers(word_requests(rows, n, block), n), "words")
     totals = answers.where("class IS NOT NULL").groupBy("class", "bin").agg(F.sum("words").alias("words"), F.sum("total").alias("total"))
-    unigrams = Unigrams([tuple(r) for r in totals.collect()])  # at most 256 by SPLIT rows
+    sums = totals.collect()  # at most 256 by SPLIT rows
+    unigrams = Unigrams([tuple(r) for r in sums])
     tokens = answers.agg(F.sum("seen")).first()[0] or 0
     states = block_states(rows, block)
     answers = answers.where("class IS NULL").select("shard", "block", "ids", "counts")
     shards = max(1, -(-tokens // shard))
-    return trigram_requests(states, answers, unigrams, shards, hot), states, unigrams, shards
+    whole = spark.createDataFrame([], WHOLE)
+    if any(r["class"] >= class_of(np.array([hot + 1]))[0] for r in sums):
+        whole = wholes(trigram_requests(states, answers, unigrams, shards, hot, split=True), shards)
+    return trigram_requests(states, answers, unigrams, shards, hot), states, unigrams, shards, whole
 
 
 def scores(docs: DataFrame, held_out, block: int = BLOCK, shard: int = SHARD, hot: int = HOT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; learnt from the rows that ``held_out`` (a column) leaves."""
-    requests, states, unigrams, _ = requests_of(docs, held_out, block, shard, hot)
-    return block_scores(states.select("block", "doc_ids", "sizes", "held"), shard_sums(requests, unigrams), unigrams.n)
+    requests, states, unigrams, _, whole = requests_of(docs, held_out, block, shard, hot)
+    return block_scores(states.select("block", "doc_ids", "sizes", "held"), shard_sums(requests, whole, unigrams), unigrams.n)
 
 
 def tries(docs: DataFrame, held_out, block: int = BLOCK, shard: int = SHARD, hot: int = HOT) -> tuple[DataFrame, Unigrams, int]:
     """The model as a table of shard and trie, to be kept, with its unigrams and number of shards; ``Trie(numpy.frombuffer(trie, 'uint64'))`` or a mapped file of one answers."""
-    requests, _, unigrams, shards = requests_of(docs, held_out, block, shard, hot)
+    requests, _, unigrams, shards, whole = requests_of(docs, held_out, block, shard, hot)
 
-    def run(t: pa.Table) -> pa.Table:
-        g, counts, _, _ = shard_grams(t)
-        return pa.table({"shard": t.column("shard").slice(0, 1), "trie": [build(g, counts, unigrams).tobytes()]})
+    def run(t: pa.Table, whole: pa.Table) -> pa.Table:
+        g, counts, _, _ = shard_grams(t, whole)
+        return pa.table({"shard": (t if t.num_rows else whole).column("shard").slice(0, 1), "trie": [build(g, counts, unigrams).tobytes()]})
 
-    return requests.where("w2 IS NOT NULL").groupBy("shard").applyInArrow(run, "shard long, trie binary"), unigrams, shards
+    return requests.where("w2 IS NOT NULL").groupBy("shard").cogroup(whole.groupBy("shard")).applyInArrow(run, "shard long, trie binary"), unigrams, shards
 
 
 def op12_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
