@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 from weftgraph.operators import communities
-from weftgraph.operators.graph import components
+from weftgraph.operators.graph import components, packed
 
 EDGES = "source_id string, target_id string"
 
@@ -98,3 +98,21 @@ def test_report_flags_and_unknown_ends(spark):
     assert [r.node_id for r in got["warnings"].collect()] == ["nobody"]
     nothing = communities.detected(n.limit(0), e)
     assert nothing["communities"].count() == 0 and nothing["report"].first().community_count == 0
+
+
+def test_packed_links_lose_nothing_and_totals_equal_plain_sums(spark):
+    """A hub's links are several rows; what leaves and reaches a module is counted from them."""
+    pairs = [("h", f"n{i:02d}") for i in range(40)] + [("n01", "h"), ("n02", "n03"), ("n03", "n02")]
+    n, e = graph_of(spark, pairs)
+    rows = packed(e, "source_id", "targets", most=8).collect()
+    assert sorted((r.source_id, x.target_id) for r in rows for x in r.targets) == sorted(pairs)
+    assert sum(r.source_id == "h" for r in rows) > 1 and max(len(r.targets) for r in rows) < 40
+    names, ids, links = communities.counted(n, e)
+    assert [r.name for r in names.orderBy("node_id").collect()] == sorted({x for p in pairs for x in p})
+    level = communities.flow_level(ids, links, 0.15, 40)
+    labels = ids.selectExpr("node_id AS id", "node_id % 3 AS module")
+    flows = [tuple(r) for r in level.links.select("a", "b", "w").collect()]
+    got = {r.module: r for r in level.totals(labels).collect()}
+    for m in range(3):
+        assert got[m].exit == pytest.approx(sum(w for a, b, w in flows if a % 3 == m != b % 3), abs=1e-12)
+        assert got[m].enter == pytest.approx(sum(w for a, b, w in flows if b % 3 == m != a % 3), abs=1e-12)
