@@ -20,16 +20,23 @@ from weftgraph.llm.common import stored, table
 MEMO = 40_000
 
 
+def tidied(spark: SparkSession) -> None:
+    """Collects the driver's garbage, as Spark itself does at intervals: the code it generated for the stage before, and with that stage's plans its shuffles' files."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the classifier rejects; it is fitted on all labelled rows' bounded sample.
 
     Null and empty texts are scored like others; repeated rows and null doc_ids are rows of their own; no rows give none.
     """
+    tidied(spark)
     return quality.accepted(docs, table(spark, sf_dir, "labels"), train=table(spark, sf_dir, "documents"))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deletes later copies of repeated line runs."""
+    tidied(spark)
     return line_dedup.without_repeated_lines(docs)
 
 
@@ -39,6 +46,7 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Line dedup leaves a later copy only the lines that differ, so documents are compared as they are and, of those
     left, as they were in the ``documents`` table.
     """
+    tidied(spark)
     return near_copies.without_near_copies(docs, originals=table(spark, sf_dir, "documents"))
 
 
@@ -47,6 +55,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null source is a source, after all others; a text without words has size 0; a document taken several times is as many rows; no rows give none.
     """
+    tidied(spark)
     return mixing.mixed_documents(docs)
 
 
@@ -54,6 +63,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Tokens of every document of the mix; null and empty texts have none, repeated rows are rows of their own, no rows give none."""
     import public_tokenizers
 
+    tidied(spark)
     return byte_bpe.tokens_digest(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, memo=MEMO)
 
 

@@ -467,3 +467,23 @@ def test_pipeline(spark, raw):
     got = corpus_pipeline.run(spark, SF).collect()
     assert 0 < len(got) and {r.doc_id for r in got} <= set(raw)
     assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in d.collect())
+
+
+def test_byte_bpe_tables_are_written_from_compact_ones():
+    """The driver holds little but the tables' text; all pairs that merge are in their slots."""
+    import json
+    import tracemalloc
+
+    import public_tokenizers
+
+    ranks = byte_bpe.ranks_of(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    tracemalloc.start()
+    made = {n: byte_bpe.spelled(v) for n, (v, _) in {**byte_bpe.rank_map(ranks), **byte_bpe.byte_tables(ranks)}.items()}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 25_000_000
+    want = {(ranks[t[:i]] * byte_bpe.SHIFT + ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
+    keys, values = json.loads(made["keys"]), json.loads(made["ranks"])
+    assert len(keys) == len(values) == byte_bpe.SLOTS and all(k % byte_bpe.SLOTS == s for s, slot in enumerate(keys) for k in slot)
+    assert {p for k, v in zip(keys, values) for p in zip(k, v, strict=True)} == want
+    assert byte_bpe.spelled([]) == "[]"

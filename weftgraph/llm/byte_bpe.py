@@ -23,9 +23,13 @@ no part.
 from __future__ import annotations
 
 import base64
+import io
 import json
 import re
+from array import array
+from collections.abc import Iterable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,9 +79,18 @@ def with_tables(rows: DataFrame, tables: Column, name: str, f, words: Column | N
     return held.select(*(rows.columns if kept is None else kept), F.get(F.transform(F.array(F.col("bpe_tables")), inner), F.lit(0)).alias(name))
 
 
+def spelled(values: Iterable) -> str:
+    """JSON of a list, written element by element: of what makes these, only the text is held."""
+    out = io.StringIO()
+    for i, v in enumerate(values):
+        out.write("," if i else "[")
+        out.write(json.dumps(v, separators=(",", ":")))
+    return out.getvalue() + "]" if out.tell() else "[]"
+
+
 def literal(spark: SparkSession, **tables: tuple[object, str]) -> Column:
     """Lookup tables as one value that the query's plan holds as a scalar subquery: read once, not printed in plans."""
-    rows = spark.createDataFrame([tuple(json.dumps(v, ensure_ascii=False, separators=(",", ":")) for v, _ in tables.values())], [*tables])
+    rows = spark.createDataFrame([tuple(spelled(v) for v, _ in tables.values())], [*tables])
     value = {n: F.from_json(F.concat(F.lit('{"v":'), F.col(n), F.lit("}")), f"v {kind}")["v"] for n, (_, kind) in tables.items()}
     if "keys" in value:
         value["pairs"] = F.zip_with(value.pop("keys"), value.pop("ranks"), F.map_from_arrays)
@@ -86,23 +99,25 @@ def literal(spark: SparkSession, **tables: tuple[object, str]) -> Column:
 
 def rank_map(ranks: dict[bytes, int]) -> dict[str, tuple[object, str]]:
     """Literal tables: keys and ranks of all mergeable pairs by slot, the fold's number of a last byte and of each byte before another, at place 0."""
-    keys: list[list[int]] = [[] for _ in range(SLOTS)]
-    values: list[list[int]] = [[] for _ in range(SLOTS)]
+    found, ranked = array("q"), array("q")
     for token, rank in ranks.items():
         for i in range(1, len(token)):
             a, b = ranks.get(token[:i]), ranks.get(token[i:])
             if a is not None and b is not None:
-                key = a * SHIFT + b
-                keys[key % SLOTS].append(key)
-                values[key % SLOTS].append(rank)
+                found.append(a * SHIFT + b)
+                ranked.append(rank)
+    keys, values = np.frombuffer(found, np.int64), np.frombuffer(ranked, np.int64)
+    order = np.argsort(keys % SLOTS, kind="stable")
+    ends = np.searchsorted((keys % SLOTS)[order], np.arange(SLOTS + 1))
+    by_slot = lambda x: (x[order[a:b]].tolist() for a, b in zip(ends[:-1], ends[1:]))
     own = [ranks[bytes([i])] for i in range(256)]
-    first = [(ranks.get(bytes([a, b]), NO_RANK) << RANK_AT) + own[a] for a in range(256) for b in range(256)]
-    joins = [0] * 65_536
+    first = ((ranks.get(bytes([a, b]), NO_RANK) << RANK_AT) + own[a] for a in range(256) for b in range(256))
+    joins = bytearray(65_536)
     for token in ranks:
         for a, b in zip(token, token[1:]):
             joins[a * 256 + b] = 1
     kinds = {"keys": "array<array<bigint>>", "ranks": "array<array<bigint>>", "bytes": "array<bigint>", "first": "array<bigint>", "joins": "array<int>"}
-    return {n: (v, k) for (n, k), v in zip(kinds.items(), (keys, values, [(NO_RANK << RANK_AT) + x for x in own], first, joins))}
+    return {n: (v, k) for (n, k), v in zip(kinds.items(), (by_slot(keys), by_slot(values), [(NO_RANK << RANK_AT) + x for x in own], first, joins))}
 
 
 def slots_for(pieces: int) -> int:
@@ -220,10 +235,10 @@ def byte_tables(ranks: dict[bytes, int]) -> dict[str, tuple[object, str]]:
     """Of each id: its little-endian form, without the zeros that ``gap_of`` puts between ids, and the bytes it stands for, both hexadecimal."""
     size = max(ranks.values()) + 1
     width = 4 - len(gap_of(ranks)) // 2
-    pieces = [""] * size
+    pieces = [b""] * size
     for token, rank in ranks.items():
-        pieces[rank] = token.hex()
-    return {"packed": ([i.to_bytes(width, "little").hex() for i in range(size)], "array<string>"), "text": (pieces, "array<string>")}
+        pieces[rank] = token
+    return {"packed": ((i.to_bytes(width, "little").hex() for i in range(size)), "array<string>"), "text": ((p.hex() for p in pieces), "array<string>")}
 
 
 def gap_of(ranks: dict[bytes, int]) -> str:
