@@ -364,6 +364,49 @@ def test_large_buckets_give_all_unequal_pairs_or_the_nearest():
     assert got == {i: min(near_copies.NEAREST, int((apart[i] <= near_copies.MOST).sum())) for i in range(700) if apart[i].min() <= near_copies.MOST}
 
 
+def near_equal_buckets(rows, size):
+    """A chunk of buckets of ``size`` fingerprints each, all near one another within a bucket."""
+    rng = np.random.default_rng(4)
+    of = np.repeat(np.arange(rows // size), size)
+    bits = rng.integers(0, 2, (rows // size, 256), dtype=np.uint8)[of]
+    bits[:, :40] ^= (rng.random((rows, 40)) < 0.2).astype(np.uint8)
+    fp = np.packbits(bits, axis=1).view(np.int64)
+    chunk = {"key": of, "node": np.arange(rows), "n": np.full(rows, 50), "label": rng.integers(0, 3, rows)}
+    return chunk | {f: fp[:, i] for i, f in enumerate(near_copies.FP)} | {"long": np.array([bytes(128)] * rows, object)}
+
+
+def test_pairs_held_at_once_do_not_grow_with_a_chunk(monkeypatch):
+    import tracemalloc
+
+    def found(chunk, labelled):
+        return {x for b in near_copies.chunk_pairs(chunk, labelled, 0.8) for x in zip(*(b.column(c).to_pylist() for c in "abd"))}
+
+    chunk = near_equal_buckets(2_000, 50)
+    got = {labelled: found(chunk, labelled) for labelled in (False, True)}
+    fp = np.stack([chunk[f] for f in near_copies.FP], axis=1).view(np.uint64)
+    every = [(i, j, int(near_copies.hamming(fp[i], fp[j]))) for i in range(2_000) for j in range(i + 1, i + 50 - i % 50)]
+    assert got[True] == {(i, j, d) for i, j, d in every if d <= near_copies.MOST and chunk["label"][i] != chunk["label"][j]}
+    least = {}
+    for i, j, d in every:
+        for x in (i, j):
+            least[x] = sorted([*least.get(x, []), d])[: near_copies.NEAREST]
+    own = {}
+    for i, j, d in got[False]:
+        for x in (i, j):
+            own[x] = sorted([*own.get(x, []), d])[: near_copies.NEAREST]
+    assert own == least
+    monkeypatch.setattr(near_copies, "SOME", 100)  # the same pairs from smaller blocks
+    assert found(chunk, True) == got[True] and found(chunk, False) == got[False]
+    monkeypatch.undo()
+    chunk = near_equal_buckets(50_000, 250)
+    tracemalloc.start()
+    for b in near_copies.chunk_pairs(chunk, False, 0.8):
+        assert b.num_rows <= near_copies.NEAREST * 50_000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6
+
+
 def test_buckets_above_a_block_lose_no_pair():
     """A tight group of over 4096 fingerprints, of which few bits differ, and loose ones beside it."""
     rng = np.random.default_rng(9)

@@ -47,6 +47,8 @@ MOST, SURE, NEAREST = 56, 15, 2
 #: A pair at 0.8 differs in 155 of 1024 bits, with a standard deviation of 11.5; one at 0.65 in 217.
 LONG_LANES, LONG_MOST = 16, 193
 PIVOTS, WIDE, ROWS, COLS, FLUSH = 8, 256, 128, 4096, 2_000_000
+#: Rows whose small buckets are compared at once.
+SOME = 8_192
 FP = [f"f{i}" for i in range(LANES)]
 
 
@@ -184,62 +186,85 @@ def least(apart: np.ndarray, a: int, c: int) -> tuple[np.ndarray, np.ndarray, np
     return a + rows, c + at, d
 
 
+def small_pairs(key: np.ndarray, fp: np.ndarray, n: np.ndarray, label: np.ndarray | None, wide: np.ndarray | None, likeness: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, distance) as of ``bucket_pairs``, in all whole buckets of up to ``WIDE`` rows at once; the first member is the pivot.
+
+    With labels, pairs that differ in more than ``LONG_MOST`` bits of the long fingerprints are left out too. What is held at
+    once are the pairs of the given rows, up to ``WIDE`` / 2 a row.
+    """
+    none = np.zeros(0, np.int64)
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(fp)]])
+    sizes = np.diff(cuts)
+    size = np.repeat(sizes, sizes)
+    near, found = hamming(fp, fp[np.repeat(cuts[:-1], sizes)]), [(none, none, np.zeros(0, np.int16))]
+    for lag in range(1, min(WIDE, int(sizes.max(initial=0)))):
+        at = np.flatnonzero((key[:-lag] == key[lag:]) & (size[:-lag] <= WIDE))
+        if not len(at):
+            break
+        at = at[np.abs(near[at] - near[at + lag]) <= MOST]
+        at = at[np.minimum(n[at], n[at + lag]) >= likeness * np.maximum(n[at], n[at + lag])]
+        if label is not None:
+            at = at[label[at] != label[at + lag]]
+        d = hamming(fp[at], fp[at + lag])
+        at, d = at[d <= MOST], d[d <= MOST]
+        if label is not None:
+            close = hamming(wide[at], wide[at + lag]) <= LONG_MOST
+            at, d = at[close], d[close]
+        found.append((at, at + lag, d))
+    i, j, d = (np.concatenate(x) for x in zip(*found))
+    if label is None:  # each row's nearest in its bucket
+        i, j, d = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([d, d])
+        by = np.lexsort((d, i))
+        i, j, d = i[by], j[by], d[by]
+        start = np.concatenate([[True], i[1:] != i[:-1]])[: len(i)]
+        place = np.arange(len(i)) - np.maximum.accumulate(np.where(start, np.arange(len(i)), 0)) if len(i) else i
+        i, j, d = (x[place < NEAREST] for x in (i, j, d))
+    return i, j, d
+
+
+def pair_batch(c: dict[str, np.ndarray], found: list) -> pa.RecordBatch:
+    none = np.zeros(0, np.int64)
+    i, j, d = (np.concatenate([none, *x]).astype(np.int64) for x in (zip(*found) if found else (none, none, none)))
+    a, b = np.minimum(c["node"][i], c["node"][j]), np.maximum(c["node"][i], c["node"][j])
+    a, b, d = np.unique(np.stack([a, b, d]), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d)], names=["a", "b", "d"])
+
+
+def chunk_pairs(c: dict[str, np.ndarray], labelled: bool, likeness: float) -> Iterator[pa.RecordBatch]:
+    """Batches (a, b, d) of the pairs in whole buckets of rows, sorted by key; what is held at once doesn't grow with their number."""
+    fp = np.ascontiguousarray(np.stack([c[f] for f in FP], axis=1)).view(np.uint64)
+    cuts = np.flatnonzero(np.diff(c["key"])) + 1
+    cuts = np.concatenate([[0], cuts, [len(fp)]])
+    sizes = np.diff(cuts)
+    found, many = [], 0
+    wide = np.frombuffer(b"".join(c["long"]), np.uint64).reshape(-1, LONG_LANES) if labelled and len(fp) else None
+    starts = np.unique(cuts[np.searchsorted(cuts, np.arange(0, len(fp), SOME))])  # of whole buckets
+    for x, y in zip(starts, [*starts[1:], len(fp)]):
+        own = slice(x, y)
+        i, j, d = small_pairs(c["key"][own], fp[own], c["n"][own], c["label"][own] if labelled else None, wide[own] if labelled else None, likeness)
+        found.append((i + x, j + x, d))
+        many += len(i)
+        if many >= FLUSH:
+            yield pair_batch(c, found)
+            found, many = [], 0
+    for k in np.flatnonzero(sizes > WIDE):
+        s = slice(cuts[k], cuts[k + 1])
+        for i, j, d in bucket_pairs(fp[s], c["n"][s], c["label"][s] if labelled else None, likeness):
+            i, j = i + cuts[k], j + cuts[k]
+            if labelled and len(i):
+                close = np.concatenate([hamming(wide[i[x : x + 65_536]], wide[j[x : x + 65_536]]) <= LONG_MOST for x in range(0, len(i), 65_536)])
+                i, j, d = i[close], j[close], d[close]
+            found.append((i, j, d))
+            many += len(i)
+            if many >= FLUSH:
+                yield pair_batch(c, found)
+                found, many = [], 0
+    yield pair_batch(c, found)
+
+
 def candidates(classes: DataFrame, plan: tuple[int, int], labelled: bool, likeness: float) -> DataFrame:
     """Distinct (a, b, d), a < b: pairs of nodes that survive the pivots and are within ``MOST``."""
 
-    def batch(c: dict[str, np.ndarray], found: list) -> pa.RecordBatch:
-        none = np.zeros(0, np.int64)
-        i, j, d = (np.concatenate([none, *x]).astype(np.int64) for x in (zip(*found) if found else (none, none, none)))
-        a, b = np.minimum(c["node"][i], c["node"][j]), np.maximum(c["node"][i], c["node"][j])
-        a, b, d = np.unique(np.stack([a, b, d]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d)], names=["a", "b", "d"])
-
-    def pairs(c: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        fp = np.ascontiguousarray(np.stack([c[f] for f in FP], axis=1)).view(np.uint64)
-        cuts = np.flatnonzero(np.diff(c["key"])) + 1
-        cuts = np.concatenate([[0], cuts, [len(fp)]])
-        sizes = np.diff(cuts)
-        size, first = np.repeat(sizes, sizes), np.repeat(cuts[:-1], sizes)
-        found = []
-        wide = np.frombuffer(b"".join(c["long"]), np.uint64).reshape(-1, LONG_LANES) if labelled and len(fp) else None
-        near = hamming(fp, fp[first])  # small buckets, all at once: the first member is the pivot
-        for lag in range(1, min(WIDE, int(sizes.max(initial=0)))):
-            at = np.flatnonzero((c["key"][:-lag] == c["key"][lag:]) & (size[:-lag] <= WIDE))
-            if not len(at):
-                break
-            at = at[np.abs(near[at] - near[at + lag]) <= MOST]
-            at = at[np.minimum(c["n"][at], c["n"][at + lag]) >= likeness * np.maximum(c["n"][at], c["n"][at + lag])]
-            if labelled:
-                at = at[c["label"][at] != c["label"][at + lag]]
-            d = hamming(fp[at], fp[at + lag])
-            at, d = at[d <= MOST], d[d <= MOST]
-            if labelled:
-                close = hamming(wide[at], wide[at + lag]) <= LONG_MOST
-                at, d = at[close], d[close]
-            found.append((at, at + lag, d))
-        if not labelled and found:  # each row's nearest in its bucket
-            i, j, d = (np.concatenate([*x]) for x in zip(*found))
-            i, j, d = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([d, d])
-            by = np.lexsort((d, i))
-            i, j, d = i[by], j[by], d[by]
-            start = np.concatenate([[True], i[1:] != i[:-1]])[: len(i)]
-            place = np.arange(len(i)) - np.maximum.accumulate(np.where(start, np.arange(len(i)), 0)) if len(i) else i
-            found = [(i[place < NEAREST], j[place < NEAREST], d[place < NEAREST])]
-        many = 0
-        for k in np.flatnonzero(sizes > WIDE):
-            s = slice(cuts[k], cuts[k + 1])
-            for i, j, d in bucket_pairs(fp[s], c["n"][s], c["label"][s] if labelled else None, likeness):
-                i, j = i + cuts[k], j + cuts[k]
-                if labelled and len(i):
-                    close = np.concatenate([hamming(wide[i[x : x + 65_536]], wide[j[x : x + 65_536]]) <= LONG_MOST for x in range(0, len(i), 65_536)])
-                    i, j, d = i[close], j[close], d[close]
-                found.append((i, j, d))
-                many += len(i)
-                if many >= FLUSH:
-                    yield batch(c, found)
-                    found, many = [], 0
-        yield batch(c, found)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict[str, np.ndarray]] = []
         rows = 0
@@ -251,10 +276,10 @@ def candidates(classes: DataFrame, plan: tuple[int, int], labelled: bool, likene
             if rows >= 100_000 and held[0]["key"][0] != held[-1]["key"][-1]:  # all but the last key are whole
                 c = {f: np.concatenate([h[f] for h in held]) for f in held[0]}
                 cut = int(np.flatnonzero(c["key"] == c["key"][-1])[0])
-                yield from pairs({f: x[:cut] for f, x in c.items()})
+                yield from chunk_pairs({f: x[:cut] for f, x in c.items()}, labelled, likeness)
                 held, rows = [{f: x[cut:] for f, x in c.items()}], rows - cut
         if held:
-            yield from pairs({f: np.concatenate([h[f] for h in held]) for f in held[0]})
+            yield from chunk_pairs({f: np.concatenate([h[f] for h in held]) for f in held[0]}, labelled, likeness)
 
     return keyed(classes, *plan).repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long, d long").distinct()
 
