@@ -232,6 +232,13 @@ def test_byte_bpe_folds_short_and_long_pieces_alike(spark):
         assert all(r.ids == enc._encode_single_piece(r.w.encode()) for r in got)
 
 
+def test_byte_bpe_binds_one_value_a_merge(spark):
+    """What a binding results in is copied: a merge binds its index, and no array of a text's pieces leaves one."""
+    assert str(byte_bpe.merged(F.col("t"), F.col("w"), byte_bpe.SHORT)).count("aggregate(") == 3
+    kinds = re.findall(r"CAST\(NULL AS ([A-Z]+)", str(byte_bpe.text_codes(F.col("t"), F.col("words"), F.col("text"), "x", "00", 1024)).upper())
+    assert kinds[:2] == ["STRUCT"] * 2
+
+
 def test_byte_bpe_cuts_long_pieces(spark):
     """A piece of a megabyte in seconds, and random bytes of many scripts, as the library has them."""
     import public_tokenizers

@@ -140,7 +140,8 @@ def word_map(words: DataFrame, size: int) -> Column:
 def looked_up(tables: Column, a: Column, b: Column) -> Column:
     """Rank of the pair of tokens (a, b); null where they don't merge or one is null."""
 
-    return bound(a * SHIFT + b, "bigint", lambda key: F.get(tables["pairs"], (key % SLOTS).cast("int"))[key])
+    key = a * SHIFT + b
+    return F.get(tables["pairs"], (key % SLOTS).cast("int"))[key]
 
 
 def folded(tables: Column, piece: Column, short: int = SHORT) -> Column:
@@ -164,8 +165,8 @@ def merged(tables: Column, latin: Column, short: int) -> Column:
 
     The state is one array with a number for each token: the rank of its pair with the next token (``NO_RANK`` for
     none), the place of its first byte, and the token. So the least number is the lowest rank at its first
-    place. Its index is the count of numbers with lower places. Where more than ``short`` are left, array_position,
-    slices and concat serve, which cost more a call (the first throws where it finds) and less a number.
+    place, and no number is there twice, so that it can be removed by its value. Where more than ``short`` are left, slices
+    and concat serve, which cost more a call and less a number. Only the index is bound: a bound array is copied.
     """
     units = F.transform(F.split(latin, ""), F.ascii)
     token_of = lambda x: x.bitwiseAND(SHIFT - 1)
@@ -175,25 +176,22 @@ def merged(tables: Column, latin: Column, short: int) -> Column:
         first = F.transform(u, lambda x, i: F.coalesce(F.get(tables["first"], x * 256 + F.get(u, i + 1)), F.get(tables["bytes"], x)) + F.shiftleft(i.cast("bigint"), 20))
         return F.when(F.size(u) <= LONGEST, first).otherwise(F.raise_error(F.lit(f"a piece has more than {LONGEST} bytes that merges could join")).cast("array<bigint>"))
 
-    def entry(left: Column, following: Column) -> Column:
-        return F.shiftleft(F.coalesce(looked_up(tables, token_of(left), following), F.lit(NO_RANK).cast("bigint")), RANK_AT) + left
+    def rank_at(left: Column, right: Column) -> Column:  # of a pair of tokens, as a number has it
+        return F.shiftleft(F.coalesce(looked_up(tables, left, right), F.lit(NO_RANK).cast("bigint")), RANK_AT)
 
     def merge(state: Column, _: Column) -> Column:
-        def at(least: Column) -> Column:
-            own = placed(least)
-
-            def joined(i: Column) -> Column:  # count of the numbers before the pair's left token
-                best = F.shiftright(least, RANK_AT)
-                new = entry(own - token_of(least) + best, token_of(F.get(state, i + 2)))
-                all_but = F.filter(state, lambda _, j: j != i + 1)
-                here = F.transform(all_but, lambda x, j: F.when(j == i, new).when(j == i - 1, entry(placed(x), best)).otherwise(x))
-                ahead = F.when(i > 0, F.concat(F.slice(state, F.lit(1), i - 1), F.array(entry(placed(F.get(state, i - 1)), best)))).otherwise(F.array().cast("array<bigint>"))
-                return F.when(F.size(state) <= short, here).otherwise(F.concat(ahead, F.array(new), F.slice(state, i + 3, F.size(state))))
-
-            index = F.when(F.size(state) <= short, F.size(F.filter(state, lambda x: placed(x) < own))).otherwise((F.array_position(state, least) - 1).cast("int"))
-            return F.when(least < NO_RANK << RANK_AT, bound(index, "array<bigint>", joined)).otherwise(state)
-
-        return bound(F.array_min(state), "array<bigint>", at)
+        def joined(i: Column) -> Column:  # index of the pair's left token
+            least, behind = F.get(state, i), F.get(state, i - 1)
+            best = F.shiftright(least, RANK_AT)
+            new = rank_at(best, token_of(F.get(state, i + 2))) + least.bitwiseAND((1 << RANK_AT) - SHIFT) + best
+            last = rank_at(token_of(behind), best) + placed(behind)
+            here = F.array_insert(F.array_remove(F.array_remove(state, F.get(state, i + 1)), least), i + 1, new)
+            here = F.when(i > 0, F.array_insert(F.array_remove(here, behind), i, last)).otherwise(here)
+            ahead = F.when(i > 0, F.concat(F.slice(state, F.lit(1), i - 1), F.array(last))).otherwise(F.array().cast("array<bigint>"))
+            merged = F.when(F.size(state) <= short, here).otherwise(F.concat(ahead, F.array(new), F.slice(state, i + 3, F.size(state))))
+            return F.when(least < NO_RANK << RANK_AT, merged).otherwise(state)
+
+        return bound((F.array_position(state, F.array_min(state)) - 1).cast("int"), "array<bigint>", joined)
 
     done = lambda s: F.transform(s, lambda x: token_of(x).cast("int"))
     return bound(units, "array<int>", lambda u: F.aggregate(F.slice(u, F.lit(2), F.size(u)), start(u), merge, done))
@@ -268,13 +266,13 @@ def text_codes(t: Column, words: Column, text: Column, pattern: str, gap: str, s
     def spelled(cut: Column) -> Column:  # each piece with its tokens, and what these decode to
         known = F.transform(cut, lambda w: F.get(words, slot_of(w, slots))[w])
         pairs = lambda k: F.zip_with(cut, k, lambda w, p: F.when(p.isNotNull(), F.struct(p.alias("p"), w.alias("d"))).otherwise(coded(t, w, gap)))
-        return bound(known, f"array<{PIECE}>", pairs)
+        return bound(known, CODED, lambda k: bound(pairs(k), CODED, whole))
 
     def whole(found: Column) -> Column:
         ids = F.concat(F.array_join(found["p"], gap), F.when(F.size(found) > 0, F.lit(gap)).otherwise(F.lit("")))
         return F.struct(text.alias("text"), F.unhex(ids).alias("ids"), F.array_join(found["d"], "").cast("binary").alias("bytes"))
 
-    return bound(bound(pieces_of(text, pattern), f"array<{PIECE}>", spelled), CODED, whole)
+    return bound(pieces_of(text, pattern), CODED, spelled)  # nested, as what a binding results in is copied
 
 
 def with_codes(rows: DataFrame, path: str, pattern: str, memo: int, memo_docs: int) -> DataFrame:
