@@ -537,3 +537,54 @@ def test_byte_bpe_tables_are_written_from_compact_ones():
     assert len(keys) == len(values) == byte_bpe.SLOTS and all(k % byte_bpe.SLOTS == s for s, slot in enumerate(keys) for k in slot)
     assert {p for k, v in zip(keys, values) for p in zip(k, v, strict=True)} == want
     assert byte_bpe.spelled([]) == "[]"
+
+
+def test_byte_bpe_leaves_the_driver_little(spark):
+    """Tables are made in a task, and the map of pieces holds none that folding would give and the sample hasn't."""
+    import tracemalloc
+
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    rows = spark.createDataFrame([(1, " the the cat sat on the mat")], "doc_id long, text string")
+    tracemalloc.start()
+    byte_bpe.with_codes(rows, path, public_tokenizers.PATTERN, memo=20, memo_docs=10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16_000_000
+    ranks = byte_bpe.ranks_of(path)
+    tables, gap, early = byte_bpe.made_tables(spark, path), byte_bpe.gap_of(ranks), byte_bpe.early_merges(ranks)[1]
+    one = lambda t, n: spark.range(1).select(F.to_json(F.struct(t[n].alias("v")))).first()[0]
+    plain = byte_bpe.literal(spark, **byte_bpe.rank_map(ranks), **byte_bpe.byte_tables(ranks))
+    assert all(one(tables, n) == one(plain, n) for n in ("pairs", "bytes", "first", "joins", "packed", "text"))
+    words = byte_bpe.memo_words(rows, path, tables, public_tokenizers.PATTERN, 20, 10, gap, early).collect()
+    assert [(r.w, r.p, r.n) for r in words] == [(" the", ranks[b" the"].to_bytes(2, "little").hex(), 3)]
+    # a vocabulary whose token "abc" no merge gives: that piece is in the map all the same
+    import base64
+    import tempfile
+
+    odd = {**{bytes([i]): i for i in range(256)}, b"abc": 256, b"xy": 257}
+    with tempfile.NamedTemporaryFile("w", suffix=".tiktoken") as f:
+        f.write("".join(f"{base64.b64encode(t).decode()} {i}\n" for t, i in odd.items()))
+        f.flush()
+        got = byte_bpe.encoded(spark.createDataFrame([(1, "abc"), (2, "abcx"), (3, "xyxy")], "doc_id long, text string"), f.name, r"\S+", memo=0).collect()
+    assert {r.doc_id: list(r.ids) for r in got} == {1: [256], 2: [97, 98, 99, 120], 3: [257, 257]}
+
+
+def test_byte_bpe_makes_the_first_merges_by_replacement(spark):
+    import public_tokenizers
+    import tiktoken
+
+    ranks = byte_bpe.ranks_of(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    made, early = byte_bpe.early_merges(ranks)
+    assert 20 < len(made) <= byte_bpe.EARLY and sorted(made, key=ranks.get) == made
+    # with "ab" merged, "abc" of a lower rank could follow: the list ends before it
+    few = {**{bytes([i]): i for i in range(256)}, b"bc": 256, b"abc": 257, b"ab": 258, b"cd": 259}
+    assert byte_bpe.early_merges(few)[0] == [b"bc", b"abc"]
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rnd = random.Random(4)
+    words = [rnd.choice(["", " "]) + "".join(rnd.choice(["th", "he", "in", "an", "s", "t", "tt", "ing", "é", "the", "aaa", "on", "e", "漢"]) for _ in range(rnd.randrange(1, 30))) for _ in range(400)]
+    df, tables = spark.createDataFrame([(w,) for w in words], "w string"), byte_bpe.literal(spark, **byte_bpe.rank_map(ranks))
+    for short in (0, byte_bpe.SHORT):
+        got = byte_bpe.with_tables(df, tables, "ids", lambda t, short=short: byte_bpe.folded(t, F.col("w"), short, early)).collect()
+        assert all(r.ids == enc._encode_single_piece(r.w.encode()) for r in got if r.w.encode() not in ranks)

@@ -4,14 +4,16 @@ A text is cut into pieces by the tokenizer's pattern. A piece that is a token as
 token; any other starts as the tokens of its bytes, and a fold merges, again and again, the
 leftmost of the adjacent pairs with the lowest rank, looking ranks up in a literal map. The fold's
 state is one array that holds each token with its pair's rank, so that a merge looks up two ranks only.
-Ranks are below 2**20. Long pieces are cut where no token of the vocabulary has the two bytes side by side, since no merge crosses
+Ranks are below 2**20. The first merges of the vocabulary, as far as no later merge can come before one of them, are made
+in the piece's text by replacement, so that the fold starts from fewer tokens. Long pieces are cut where no token of the vocabulary has the two bytes side by side, since no merge crosses
 that; a stretch without such a place takes time in the square of its length, and one of over 2**23 bytes raises.
 
 Frequent distinct pieces are folded once beforehand, and their tokens decoded once, into a second literal map of those
-that decode to themselves; every other piece is folded and decoded where it stands, so the map's size changes the
+that decode to themselves, beside the vocabulary's pieces that merges wouldn't give; every other piece is folded and decoded where it stands, so the map's size changes the
 speed and never the result. It is drawn from ``memo_docs`` documents and holds ``memo`` pieces at most.
 
-Decoding looks up each id's bytes and concatenates them. Tokens leave a piece as hexadecimal little-endian
+Decoding looks up each id's bytes and concatenates them. The lookup tables are made in a task from the vocabulary's file, and the driver holds them only as
+the queries' values. Tokens leave a piece as hexadecimal little-endian
 numbers, as wide as the vocabulary needs and with zeros between them up to 32 bits, so that a text's tokens
 are its pieces' joined.
 
@@ -27,18 +29,22 @@ import io
 import json
 import re
 from array import array
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import stored, table, texts
+from weftgraph.llm.common import arrow_map, stored, table, texts
 
 SLOTS = 65_537
 SHIFT = 1 << 20
 #: A fold's numbers hold rank, place (23 bits) and token (20 bits).
 RANK_AT, NO_RANK, LONGEST = 43, (1 << 20) - 1, 1 << 23
+#: Merges made by replacement at most, and what a piece then consists of: bytes and these merges' tokens.
+EARLY = 40
+UNITS = 256 + EARLY
 #: Length of the fold's array up to which a merge counts to its place.
 SHORT = 64
 #: Bytes above which a piece is cut before it is folded, and the mark of a cut, which isn't a Latin-1 letter.
@@ -49,9 +55,34 @@ MEMO, MEMO_DOCS = 300_000, 30_000
 SPACE = r"\t-\r \x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
 
+def ranks_in(lines: Iterable[bytes]) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+
+
 def ranks_of(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        return ranks_in(f)
+
+
+def early_merges(ranks: dict[bytes, int]) -> tuple[list[bytes], list[tuple[str, str]]]:
+    """Tokens of the vocabulary's first merges, and what to replace by what, in this order; a token stands as the letter 256 and up.
+
+    Replacing all of a pair at once is what merging the lowest rank first does, if no pair with the new token has a rank as
+    low, and if the ways to make the token can't overlap. The list ends before the first token of which that isn't so.
+    """
+    made: list[bytes] = []
+    letter, steps = {bytes([i]): chr(i) for i in range(256)}, []
+    for token in sorted((t for t in ranks if len(t) > 1), key=ranks.get):
+        ways = [(token[:i], token[i:]) for i in range(1, len(token))]
+        ways = [w for w in ways if w[0] in letter and w[1] in letter]
+        sooner = any(t.startswith(token) and t[len(token) :] in ranks or t.endswith(token) and t[: -len(token)] in ranks for t in made)
+        overlap = len(ways) > 1 and any(token.startswith(token[i:]) for i in range(1, len(token)))
+        if len(made) == EARLY or sooner or overlap:
+            break
+        letter[token] = chr(256 + len(made))
+        steps += [(letter[a] + letter[b], letter[token]) for a, b in ways]
+        made.append(token)
+    return made, steps
 
 
 def java_pattern(pattern: str) -> str:
@@ -91,14 +122,58 @@ def spelled(values: Iterable) -> str:
 def literal(spark: SparkSession, **tables: tuple[object, str]) -> Column:
     """Lookup tables as one value that the query's plan holds as a scalar subquery: read once, not printed in plans."""
     rows = spark.createDataFrame([tuple(spelled(v) for v, _ in tables.values())], [*tables])
-    value = {n: F.from_json(F.concat(F.lit('{"v":'), F.col(n), F.lit("}")), f"v {kind}")["v"] for n, (_, kind) in tables.items()}
+    return parsed(rows, {n: kind for n, (_, kind) in tables.items()}).scalar()
+
+
+def parsed(rows: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """The tables' JSON as one struct ``t``."""
+    value = {n: F.from_json(F.concat(F.lit('{"v":'), F.col(n), F.lit("}")), f"v {kind}")["v"] for n, kind in kinds.items()}
     if "keys" in value:
         value["pairs"] = F.zip_with(value.pop("keys"), value.pop("ranks"), F.map_from_arrays)
-    return rows.select(F.struct(*[v.alias(n) for n, v in value.items()]).alias("t")).scalar()
+    return rows.select(F.struct(*[v.alias(n) for n, v in value.items()]).alias("t"))
+
+
+def vocabulary_file(spark: SparkSession, path: str) -> DataFrame:
+    """The file at the driver as one row; executors needn't have it."""
+    with open(path, "rb") as f:
+        return spark.createDataFrame([(bytearray(f.read()),)], "file binary")
+
+
+def made_tables(spark: SparkSession, path: str) -> Column:
+    """All lookup tables of the vocabulary's file as ``literal`` gives them, made and written by a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for file in b.column("file").to_pylist():
+                ranks = ranks_in(file.splitlines())
+                tables = {**rank_map(ranks), **byte_tables(ranks)}
+                yield pa.RecordBatch.from_pydict({n: [spelled(tables[n][0])] for n in KINDS})
+
+    rows = arrow_map(vocabulary_file(spark, path), run, ", ".join(f"{n} string" for n in KINDS))
+    return stored(parsed(rows, KINDS), "tables").scalar()
+
+
+def own_pieces(spark: SparkSession, path: str) -> DataFrame:
+    """w, p: the tokens that are text, with their own numbers as ``coded`` has them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for file in b.column("file").to_pylist():
+                ranks, own = ranks_in(file.splitlines()), {"w": [], "p": []}
+                width = 4 - len(gap_of(ranks)) // 2
+                for token, rank in ranks.items():
+                    try:
+                        own["w"].append(token.decode())
+                    except UnicodeDecodeError:
+                        continue
+                    own["p"].append(rank.to_bytes(width, "little").hex())
+                yield pa.RecordBatch.from_pydict(own)
+
+    return arrow_map(vocabulary_file(spark, path), run, "w string, p string")
 
 
 def rank_map(ranks: dict[bytes, int]) -> dict[str, tuple[object, str]]:
-    """Literal tables: keys and ranks of all mergeable pairs by slot, the fold's number of a last byte and of each byte before another, at place 0."""
+    """Literal tables: keys and ranks of all mergeable pairs by slot, the fold's number of a last unit and of each unit before another, at place 0."""
     found, ranked = array("q"), array("q")
     for token, rank in ranks.items():
         for i in range(1, len(token)):
@@ -111,13 +186,15 @@ def rank_map(ranks: dict[bytes, int]) -> dict[str, tuple[object, str]]:
     ends = np.searchsorted((keys % SLOTS)[order], np.arange(SLOTS + 1))
     by_slot = lambda x: (x[order[a:b]].tolist() for a, b in zip(ends[:-1], ends[1:]))
     own = [ranks[bytes([i])] for i in range(256)]
-    first = ((ranks.get(bytes([a, b]), NO_RANK) << RANK_AT) + own[a] for a in range(256) for b in range(256))
+    units = [*(bytes([i]) for i in range(256)), *early_merges(ranks)[0]]
+    own += [ranks[u] for u in units[256:]]
+    units += [b""] * (UNITS - len(units))  # none; no letter stands for these
+    first = ((ranks.get(a + b, NO_RANK) if a and b else NO_RANK) << RANK_AT | (ranks[a] if a else 0) for a in units for b in units)
     joins = bytearray(65_536)
     for token in ranks:
         for a, b in zip(token, token[1:]):
             joins[a * 256 + b] = 1
-    kinds = {"keys": "array<array<bigint>>", "ranks": "array<array<bigint>>", "bytes": "array<bigint>", "first": "array<bigint>", "joins": "array<int>"}
-    return {n: (v, k) for (n, k), v in zip(kinds.items(), (by_slot(keys), by_slot(values), [(NO_RANK << RANK_AT) + x for x in own], first, joins))}
+    return {n: (v, KINDS[n]) for n, v in zip(KINDS, (by_slot(keys), by_slot(values), [(NO_RANK << RANK_AT) + x for x in own], first, joins))}
 
 
 def slots_for(pieces: int) -> int:
@@ -130,13 +207,18 @@ def slot_of(piece: Column, slots: int) -> Column:
 
 
 def word_map(words: DataFrame, size: int) -> Column:
-    """A map from pieces to their tokens, in ``size`` slots by the piece's hash, as one value that the plan holds as a subquery."""
-    slots = words.select(slot_of(F.col("w"), size).alias("slot"), "w", "p").groupBy("slot").agg(F.collect_list(F.struct("w", "p")).alias("e"))
+    """A map from pieces to their tokens, in ``size`` slots by the piece's hash, the most frequent first, as one value that the plan holds as a subquery."""
+    slots = words.select(slot_of(F.col("w"), size).alias("slot"), F.coalesce(-F.col("n"), F.lit(0)).alias("n"), "w", "p")
+    slots = slots.groupBy("slot").agg(F.sort_array(F.collect_list(F.struct("n", "w", "p"))).alias("e")).select("slot", F.transform("e", lambda x: F.struct(x["w"].alias("w"), x["p"].alias("p"))).alias("e"))
     every = words.sparkSession.range(size).select(F.col("id").cast("int").alias("slot"))
     full = every.join(slots, "slot", "left").agg(F.sort_array(F.collect_list(F.struct("slot", "e"))).alias("all"))
     return full.select(F.transform("all", lambda s: F.map_from_entries(F.coalesce(s["e"], F.array().cast("array<struct<w:string,p:string>>")))).alias("words")).scalar()
 
 
+#: The tables' types.
+KINDS = {"keys": "array<array<bigint>>", "ranks": "array<array<bigint>>", "bytes": "array<bigint>", "first": "array<bigint>", "joins": "array<int>", "packed": "array<string>", "text": "array<string>"}
+
+
 def looked_up(tables: Column, a: Column, b: Column) -> Column:
     """Rank of the pair of tokens (a, b); null where they don't merge or one is null."""
 
@@ -144,8 +226,8 @@ def looked_up(tables: Column, a: Column, b: Column) -> Column:
     return F.get(tables["pairs"], (key % SLOTS).cast("int"))[key]
 
 
-def folded(tables: Column, piece: Column, short: int = SHORT) -> Column:
-    """Tokens of one piece by ranked merges.
+def folded(tables: Column, piece: Column, short: int = SHORT, early: list[tuple[str, str]] = ()) -> Column:
+    """Tokens of one piece by ranked merges; ``early`` are the first merges, as ``early_merges`` gives them (none: all are folded).
 
     A piece of over ``CUT`` bytes is first cut where two bytes meet that stand side by side in no token of the
     vocabulary: no merge ever crosses such a place, so what is on either side is folded alone.
@@ -155,12 +237,12 @@ def folded(tables: Column, piece: Column, short: int = SHORT) -> Column:
     def parts(chars: Column) -> Column:
         apart = lambda x, i: (i > 0) & (F.get(tables["joins"], F.ascii(F.get(chars, i - 1)) * 256 + F.ascii(x)) == 0)
         marked = F.transform(chars, lambda x, i: F.when(apart(x, i), F.concat(F.lit(APART), x)).otherwise(x))
-        return F.flatten(F.transform(F.split(F.array_join(marked, ""), APART), lambda p: merged(tables, p, short)))
+        return F.flatten(F.transform(F.split(F.array_join(marked, ""), APART), lambda p: merged(tables, p, short, early)))
 
-    return F.when(F.octet_length(piece) <= CUT, merged(tables, latin, short)).otherwise(bound(F.split(latin, ""), "array<int>", parts))
+    return F.when(F.octet_length(piece) <= CUT, merged(tables, latin, short, early)).otherwise(bound(F.split(latin, ""), "array<int>", parts))
 
 
-def merged(tables: Column, latin: Column, short: int) -> Column:
+def merged(tables: Column, latin: Column, short: int, early: list[tuple[str, str]] = ()) -> Column:
     """Tokens of bytes, given as Latin-1 text, by ranked merges.
 
     The state is one array with a number for each token: the rank of its pair with the next token (``NO_RANK`` for
@@ -168,12 +250,14 @@ def merged(tables: Column, latin: Column, short: int) -> Column:
     place, and no number is there twice, so that it can be removed by its value. Where more than ``short`` are left, slices
     and concat serve, which cost more a call and less a number. Only the index is bound: a bound array is copied.
     """
+    for pair, token in early:
+        latin = F.replace(latin, F.lit(pair), F.lit(token))
     units = F.transform(F.split(latin, ""), F.ascii)
     token_of = lambda x: x.bitwiseAND(SHIFT - 1)
     placed = lambda x: x.bitwiseAND((1 << RANK_AT) - 1)  # noqa: E731  place and token
 
     def start(u: Column) -> Column:
-        first = F.transform(u, lambda x, i: F.coalesce(F.get(tables["first"], x * 256 + F.get(u, i + 1)), F.get(tables["bytes"], x)) + F.shiftleft(i.cast("bigint"), 20))
+        first = F.transform(u, lambda x, i: F.coalesce(F.get(tables["first"], x * UNITS + F.get(u, i + 1)), F.get(tables["bytes"], x)) + F.shiftleft(i.cast("bigint"), 20))
         return F.when(F.size(u) <= LONGEST, first).otherwise(F.raise_error(F.lit(f"a piece has more than {LONGEST} bytes that merges could join")).cast("array<bigint>"))
 
     def rank_at(left: Column, right: Column) -> Column:  # of a pair of tokens, as a number has it
@@ -201,32 +285,29 @@ def pieces_of(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(java_pattern(pattern)), F.lit(0))
 
 
-def memo_words(rows: DataFrame, ranks: dict[bytes, int], tables: Column, pattern: str, memo: int, memo_docs: int) -> DataFrame:
-    """w, p: the vocabulary's own text pieces and the most frequent distinct pieces of a sample, with their tokens; all decode to themselves."""
+def memo_words(rows: DataFrame, path: str, tables: Column, pattern: str, memo: int, memo_docs: int, gap: str, early: list[tuple[str, str]]) -> DataFrame:
+    """w, p, n: the most frequent distinct pieces of a sample with their tokens and counts, all of which decode to themselves.
+
+    A piece that is a token is that token; those that merges alone wouldn't give are all among the rows, with n null.
+    """
     spark = rows.sparkSession
-    own, width = [], 4 - len(gap_of(ranks)) // 2
-    for token, rank in ranks.items():  # a piece that is a token is that token
-        try:
-            own.append((token.decode(), rank.to_bytes(width, "little").hex()))
-        except UnicodeDecodeError:
-            continue
-    words = spark.createDataFrame(own, "w string, p string")
+    words = own_pieces(spark, path).select("w", "p", F.lit(None).cast("long").alias("n"))
     if memo:
         share = min(1.0, memo_docs / max(1, rows.count()))
         some = rows.select("text").sample(False, share, 1) if share < 1 else rows.select("text")
-        seen = some.select(F.explode(pieces_of(F.col("text"), pattern)).alias("w")).groupBy("w").count().where(F.length("w") <= 64)
+        seen = some.select(F.explode(pieces_of(F.col("text"), pattern)).alias("w")).groupBy("w").agg(F.count("*").alias("n")).where(F.length("w") <= 64)
         if share > 0.5:  # what a text has once gains nothing by being folded beforehand
-            seen = seen.where("count > 1")
-        seen = seen.orderBy(F.desc("count"), "w").limit(memo).select("w").join(words.select("w"), "w", "left_anti")
-        seen = seen.repartition(max(16, 2 * spark.sparkContext.defaultParallelism))
-        seen = with_tables(seen, tables, "v", lambda t: bound(F.col("w"), WORD, lambda w: F.struct(w.alias("w"), coded(t, w, gap_of(ranks)).alias("c"))), kept=[]).select("v.w", "v.c.*")
-        words = words.union(seen.where("d = w").select("w", "p"))
-    return stored(words, "pieces")
+            seen = seen.where("n > 1")
+        words = words.union(seen.orderBy(F.desc("n"), "w").limit(memo).select("w", F.lit(None).cast("string"), "n"))
+    words = words.groupBy("w").agg(F.max("p").alias("own"), F.max("n").alias("n")).repartition(max(16, 2 * spark.sparkContext.defaultParallelism))
+    both = F.struct(F.col("w").alias("w"), F.col("own").alias("own"), F.col("n").alias("n"))
+    value = lambda t: bound(both, f"struct<w:string,own:string,n:bigint,c:{PIECE}>", lambda r: F.struct(r["w"].alias("w"), r["own"].alias("own"), r["n"].alias("n"), coded(t, r["w"], gap, early).alias("c")))
+    found = with_tables(words, tables, "v", value, kept=[]).select("v.*")
+    return stored(found.where("n IS NOT NULL AND c.d = w OR own != c.p").select("w", F.coalesce("own", "c.p").alias("p"), "n"), "pieces")
 
 
 #: A piece's tokens, hexadecimal, and what they decode to.
 PIECE = "struct<p:string,d:string>"
-WORD = f"struct<w:string,c:{PIECE}>"
 
 
 def byte_tables(ranks: dict[bytes, int]) -> dict[str, tuple[object, str]]:
@@ -249,9 +330,9 @@ def joined_bytes(ids: Column, parts: Column) -> Column:
     return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(parts, i)), ""))
 
 
-def coded(t: Column, piece: Column, gap: str) -> Column:
+def coded(t: Column, piece: Column, gap: str, early: list[tuple[str, str]] = ()) -> Column:
     """A piece's tokens by folding, and their bytes by decoding these; a whole piece's bytes are text again."""
-    return bound(folded(t, piece), PIECE, lambda ids: F.struct(
+    return bound(folded(t, piece, early=early), PIECE, lambda ids: F.struct(
         F.array_join(F.transform(ids, lambda i: F.get(t["packed"], i)), gap).alias("p"), joined_bytes(ids, t["text"]).cast("string").alias("d")
     ))
 
@@ -260,12 +341,12 @@ def coded(t: Column, piece: Column, gap: str) -> Column:
 CODED = "struct<text:string,ids:binary,bytes:binary>"
 
 
-def text_codes(t: Column, words: Column, text: Column, pattern: str, gap: str, slots: int) -> Column:
+def text_codes(t: Column, words: Column, text: Column, pattern: str, gap: str, slots: int, early: list[tuple[str, str]] = ()) -> Column:
     """The text with its codes, by the lookup tables t and the map of known pieces."""
 
     def spelled(cut: Column) -> Column:  # each piece with its tokens, and what these decode to
         known = F.transform(cut, lambda w: F.get(words, slot_of(w, slots))[w])
-        pairs = lambda k: F.zip_with(cut, k, lambda w, p: F.when(p.isNotNull(), F.struct(p.alias("p"), w.alias("d"))).otherwise(coded(t, w, gap)))
+        pairs = lambda k: F.zip_with(cut, k, lambda w, p: F.when(p.isNotNull(), F.struct(p.alias("p"), w.alias("d"))).otherwise(coded(t, w, gap, early)))
         return bound(known, CODED, lambda k: bound(pairs(k), CODED, whole))
 
     def whole(found: Column) -> Column:
@@ -278,10 +359,10 @@ def text_codes(t: Column, words: Column, text: Column, pattern: str, gap: str, s
 def with_codes(rows: DataFrame, path: str, pattern: str, memo: int, memo_docs: int) -> DataFrame:
     """The columns of ``rows`` but its text, and ``codes`` with the text, ids and bytes."""
     ranks = ranks_of(path)
-    tables, gap = literal(rows.sparkSession, **rank_map(ranks), **byte_tables(ranks)), gap_of(ranks)
-    slots = slots_for(memo + len(ranks))
-    words = word_map(memo_words(rows, ranks, tables, pattern, memo, memo_docs), slots)
-    codes = lambda t, w: bound(F.col("text"), CODED, lambda x: text_codes(t, w, x, pattern, gap, slots))
+    gap, (_, early), tables = gap_of(ranks), early_merges(ranks), made_tables(rows.sparkSession, path)
+    slots = slots_for(memo)
+    words = word_map(memo_words(rows, path, tables, pattern, memo, memo_docs, gap, early), slots)
+    codes = lambda t, w: bound(F.col("text"), CODED, lambda x: text_codes(t, w, x, pattern, gap, slots, early))
     return with_tables(rows, tables, "codes", codes, words, [c for c in rows.columns if c != "text"])
 
 
@@ -296,7 +377,7 @@ def encoded(rows: DataFrame, path: str, pattern: str, memo: int = MEMO, memo_doc
 
 def decoded(rows: DataFrame, path: str) -> DataFrame:
     """Adds ``bytes``, what the tokens in ``ids`` stand for."""
-    tables = literal(rows.sparkSession, text=byte_tables(ranks_of(path))["text"])
+    tables = made_tables(rows.sparkSession, path)
     both = with_tables(rows, tables, "both", lambda t: bound(F.col("ids"), "struct<ids:array<int>,bytes:binary>", lambda ids: F.struct(ids.alias("ids"), joined_bytes(ids, t["text"]).alias("bytes"))), kept=[c for c in rows.columns if c != "ids"])
     return both.select(*[F.col("both.ids").alias("ids") if c == "ids" else F.col(c) for c in rows.columns], "both.bytes")
 
