@@ -98,6 +98,15 @@ def test_edges_that_close_a_cycle_are_found_by_blocks_and_by_searches(block):
     assert cycles._closes(s, t, 60, block).tolist() == cycles._closes(s, t, 60, block, deep=3).tolist() == want
 
 
+def test_levels_are_looked_at_a_few_times_however_many_edges_join(monkeypatch):
+    rng, seen, levels = np.random.default_rng(1), [], cycles._levels
+    s, t = rng.integers(0, 300, 6000), rng.integers(0, 300, 6000)
+    monkeypatch.setattr(cycles, "_levels", lambda *a: seen.append(1) or levels(*a))
+    gone = cycles._closes(s, t, 300, 20)
+    assert len(seen) <= 60 and gone[s == t].all()
+    assert levels(s[~gone], t[~gone], 300)[1] == len(set(levels(s[~gone], t[~gone], 300)[0])) and 0 < gone.sum() < 3000  # no cycle is left
+
+
 def test_suppressed_edges_are_the_same_with_rings_and_without(spark):
     pairs = [(f"{c}{i}", f"{c}{j}") for c in "ABCDEF" for i in range(6) for j in range(6) if i != j]
     nodes = nodes_of(spark, [(x, 1) for x in {x for p in pairs for x in p}])
